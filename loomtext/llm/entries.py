@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from loomtext.llm import quality_rules
+from loomtext.llm import quality_rules, source_mixing, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": url_filter.op1_url_filter,
+        "op3_source_mixing": source_mixing.op3_source_mixing,
         "op5_quality_rules": quality_rules.op5_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": url_filter.oracle_sql(),
+        "op3_source_mixing": source_mixing.oracle_sql(),
         "op5_quality_rules": quality_rules.oracle_sql(),
     }
