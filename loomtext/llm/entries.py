@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from loomtext.llm import bpe, quality_rules, source_mixing, url_filter
+from loomtext.llm import bpe, language_id, license_scan, quality_rules, source_mixing, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op2_language_id": language_id.op2_language_id,
         "op3_source_mixing": source_mixing.op3_source_mixing,
         "op4_bpe": bpe.op4_bpe,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op8_license_scan": license_scan.op8_license_scan,
     }
 
 
