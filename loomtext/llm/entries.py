@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import bpe, language_id, license_scan, quality_rules, source_mixing, url_filter
+from loomtext.llm import bpe, language_id, license_scan, quality_rules, source_mixing, token_binary, topk_search, url_filter
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op3_source_mixing": source_mixing.op3_source_mixing,
         "op4_bpe": bpe.op4_bpe,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op7_token_binary": token_binary.op7_token_binary,
         "op8_license_scan": license_scan.op8_license_scan,
+        "op9_topk_search": topk_search.op9_topk_search,
     }
 
 
@@ -21,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filter": url_filter.oracle_sql(),
         "op3_source_mixing": source_mixing.oracle_sql(),
         "op5_quality_rules": quality_rules.oracle_sql(),
+        "op9_topk_search": topk_search.oracle_sql(),
     }
