@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import bpe, language_id, license_scan, quality_rules, source_mixing, token_binary, topk_search, url_filter
+from loomtext.llm import bpe, language_id, license_scan, minhash_dedup, quality_rules, source_mixing, token_binary, topk_search, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_source_mixing": source_mixing.op3_source_mixing,
         "op4_bpe": bpe.op4_bpe,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
         "op7_token_binary": token_binary.op7_token_binary,
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_topk_search": topk_search.op9_topk_search,
