@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import bpe, language_id, license_scan, minhash_dedup, quality_rules, source_mixing, token_binary, topk_search, url_filter
+from loomtext.llm import bpe, language_id, license_scan, minhash_dedup, quality_rules, source_mixing, suffix_dedup, token_binary, topk_search, url_filter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_token_binary": token_binary.op7_token_binary,
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_topk_search": topk_search.op9_topk_search,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
