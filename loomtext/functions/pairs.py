@@ -40,8 +40,7 @@ def found(text: Column, pattern: str) -> Column:
 
 def kept_share(before: Column, after: Column, none: float) -> Column:
     """Share of the distinct items before that are among those after; `none` if there are none before."""
-    before = F.array_distinct(before)
-    return F.when(F.size(before) == 0, F.lit(none)).otherwise(F.size(F.array_intersect(before, after)) / F.size(before))
+    return T.let(F.array_distinct(before), lambda x: F.when(F.size(x) == 0, F.lit(none)).otherwise(F.size(F.array_intersect(x, after)) / F.size(x)))
 
 
 @metric("numeric_drift")
@@ -56,9 +55,14 @@ def citation_drift(a: Column, b: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Capitalized words of letters only that do not begin a sentence."""
-    words = T.spaced(text)
-    rows = F.transform(words, lambda w, i: F.when((i > 0) & ~F.get(words, i - 1).rlike(r"[.!?]$"), F.regexp_replace(w, r"""^[.,;:!?"'()\[\]]+|[.,;:!?"'()\[\]]+$""", "")))
-    return F.filter(rows, lambda w: w.isNotNull() & w.rlike(r"^\p{Lu}\p{L}*$"))
+    edge = r"""^[.,;:!?"'()\[\]]+|[.,;:!?"'()\[\]]+$"""
+
+    def of(words: Column) -> Column:
+        before = F.concat(F.array(F.lit(".")), F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
+        rows = F.zip_with(words, before, lambda w, b: F.when(~b.rlike(r"[.!?]$"), F.regexp_replace(w, edge, "")))
+        return F.filter(rows, lambda w: w.isNotNull() & w.rlike(r"^\p{Lu}\p{L}*$"))
+
+    return T.let(T.spaced(text), of)
 
 
 @metric("entity_drift")
@@ -69,8 +73,8 @@ def entity_drift(a: Column, b: Column) -> Column:
 @metric("heading_preservation")
 def heading_preservation(a: Column, b: Column) -> Column:
     """Headings count as often as they occur."""
-    mine, others = found(a, HEADINGS), found(b, HEADINGS)
-    return F.when(F.size(mine) == 0, 1.0).otherwise(F.size(F.filter(mine, lambda h: F.array_contains(others, h))) / F.size(mine))
+    both = F.struct(found(a, HEADINGS).alias("a"), found(b, HEADINGS).alias("b"))
+    return T.let(both, lambda x: F.when(F.size(x["a"]) == 0, 1.0).otherwise(F.size(F.filter(x["a"], lambda h: F.array_contains(x["b"], h))) / F.size(x["a"])))
 
 
 @metric("sentence_length_variance")
@@ -81,8 +85,7 @@ def sentence_length_variance(a: Column, b: Column) -> Column:
 
 @metric("lexical_diversity")
 def lexical_diversity(a: Column, b: Column) -> Column:
-    words = T.spaced(F.lower(b))
-    return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.array_distinct(words)) / F.size(words))
+    return T.let(T.spaced(F.lower(b)), lambda w: F.when(F.size(w) == 0, 0.0).otherwise(F.size(F.array_distinct(w)) / F.size(w)))
 
 
 def missing_placeholders(a: Column, b: Column) -> Column:
@@ -97,14 +100,19 @@ def same_number(x: Column, y: Column) -> Column:
 
 def missing_numbers(a: Column, b: Column) -> Column:
     others = found(F.regexp_replace(b, r"(\d)\s+%", "$1%"), NUMBER)
-    return F.array_sort(F.array_distinct(F.filter(found(a, NUMBER), lambda x: ~F.exists(others, lambda y: same_number(x, y)))))
+    lost = T.let(F.array_distinct(others), lambda o: F.filter(F.array_distinct(found(a, NUMBER)), lambda x: ~F.exists(o, lambda y: same_number(x, y))))
+    return F.array_sort(lost)
 
 
 def verification(a: Column, b: Column) -> Column:
     """Struct of passed, missing placeholders, missing numbers and the reason, null if it passed."""
-    marks, numbers = missing_placeholders(a, b), missing_numbers(a, b)
-    reason = F.concat_ws("; ", F.when(F.size(marks) > 0, F.concat(F.lit("missing placeholders: "), F.array_join(marks, ", "))), F.when(F.size(numbers) > 0, F.concat(F.lit("missing numbers: "), F.array_join(numbers, ", "))))
-    return F.struct((reason == "").alias("passed"), marks.alias("placeholders"), numbers.alias("numbers"), F.when(reason != "", reason).alias("reason"))
+    some = lambda text, items: F.when(F.size(items) > 0, F.concat(F.lit(text), F.array_join(items, ", ")))
+
+    def of(x: Column) -> Column:
+        reason = F.concat_ws("; ", some("missing placeholders: ", x["marks"]), some("missing numbers: ", x["numbers"]))
+        return F.struct((reason == "").alias("passed"), x["marks"].alias("placeholders"), x["numbers"].alias("numbers"), F.when(reason != "", reason).alias("reason"))
+
+    return T.let(F.struct(missing_placeholders(a, b).alias("marks"), missing_numbers(a, b).alias("numbers")), of)
 
 
 @metric("term_preservation")
@@ -123,7 +131,8 @@ def tokens(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return F.when(F.size(F.array_union(a, b)) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    sizes = F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("any"))
+    return T.let(sizes, lambda x: F.when(x["any"] == 0, 1.0).otherwise(x["both"] / x["any"]))
 
 
 def overlaps(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import constants as C
 from loomtext.functions.features import normalized
+from loomtext.functions.text import let, total
 
 
 def ensemble(scores: list[Column], weights: tuple) -> Column:
@@ -35,9 +36,8 @@ def cross_score(raw: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    raised = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+    raised = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return let(raised, lambda r: let(total(r), lambda t: F.transform(r, lambda x: x / t)))
 
 
 def clamped(score: Column) -> Column:

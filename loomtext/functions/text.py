@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: inside a lambda, an expression would be computed anew for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters; runs that hold digits are dropped."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"^\p{L}+$"))
@@ -60,4 +65,9 @@ def mean(values: Column) -> Column:
 
 def variance(values: Column) -> Column:
     """Population variance."""
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean(values)) * (x - mean(values))) / F.size(values))
+
+    def of(v: Column) -> Column:
+        squares = let(total(v) / F.size(v), lambda m: F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
+        return F.when(F.size(v) > 0, squares / F.size(v))
+
+    return let(values, of)
