@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 K, EVERY = 5, 50
 BLOCK, QUERIES = 2048, 1024
-STEPS = 8
+#: Shares of the lists after which the bounds are compared.
+DEPTHS = (1 / 8, 1 / 4, 1 / 2, 3 / 4, 1)
 #: Reading stops when so many times k vectors remain.
 FEW = 8
 
@@ -35,46 +36,62 @@ def scaled(vector: Column) -> Column:
 
 
 class Lists:
-    """The sorted lists of one block."""
+    """The sorted lists of one block, read from both ends in step for many queries at once.
+
+    What has been read lies in two tables, `top` for the ends of large values and `bottom` for those of small ones, with zeros where a
+    list has not come to a vector yet. A query multiplies its positive components with the former and its negative ones with the latter.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(vectors, self.order, axis=0).astype(np.float64)
 
-    def best(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(id, score) of the k highest scores, ties to smaller ids."""
-        count = len(self.ids)
-        used = np.flatnonzero(query)
-        q = query[used].astype(np.float64)
-        order, values = self.order[:, used], self.values[:, used]
-        up = q > 0
-        order[:, up], values[:, up] = order[::-1, up], values[::-1, up]
-        products = values * q  # descending in each list
-        least = products[-1]
-        slack = np.abs(products).max(axis=0, initial=0).sum() * 1e-12  # sums below 2**53 are exact
-        alive = np.flatnonzero(self.ids != query_id)
-        known, low, seen = np.zeros(count), np.full(count, least.sum()), np.zeros((count, len(used)), bool)
-        step = max(1, -(-count // STEPS))
-        for start in range(0, count, step):
-            if len(alive) <= k * FEW:
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(query, id, score) of the k highest scores of each query, ties to smaller ids."""
+        count, width = self.vectors.shape
+        columns = np.arange(width)
+        top, bottom, seen_top, seen_bottom = (np.zeros((count, width)) for _ in range(4))
+        signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).astype(np.float64)
+        ends = np.concatenate([self.values[0], self.values[-1]])  # the least products' values
+        slack = np.abs(signed) @ np.abs(ends) * 1e-12  # sums below 2**53 are exact
+        left, found, start = np.arange(len(queries)), [], 0
+        for depth in DEPTHS:
+            stop = max(1, int(count * depth))
+            low, high = self.order[start:stop], self.order[count - stop : count - start]
+            bottom[low, columns], seen_bottom[low, columns] = self.values[start:stop], 1
+            top[high, columns], seen_top[high, columns] = self.values[count - stop : count - start], 1
+            start = stop
+            q = signed[left]
+            present = np.concatenate([self.values[count - stop], self.values[stop - 1]])
+            read, seen = np.concatenate([top, bottom], axis=1), np.concatenate([seen_top, seen_bottom], axis=1)
+            lower = q @ (read - ends * seen).T + (q @ ends)[:, None]
+            upper = q @ (read - present * seen).T + (q @ present)[:, None]
+            own = query_ids[left][:, None] == self.ids
+            lower[own], upper[own] = -np.inf, -np.inf
+            if count > k:
+                bound = np.partition(lower, count - k, axis=1)[:, count - k]
+                alive = (upper >= (bound - slack[left])[:, None]) & ~own
+            else:
+                alive = ~own
+            # Nothing outside the remaining few can qualify: resolve their scores. At full depth all bounds are scores.
+            done = (alive.sum(axis=1) <= k * FEW) | (stop == count)
+            for i in np.flatnonzero(done):
+                rows = np.flatnonzero(alive[i])
+                scores = self.resolve(rows, queries[left[i]])
+                first = sorted(zip((-scores).tolist(), self.ids[rows].tolist()))[:k]
+                found += [(int(query_ids[left[i]]), x, -s) for s, x in first]
+            left = left[~done]
+            if not len(left):
                 break
-            places, read = order[start : start + step], products[start : start + step]
-            known += np.bincount(places.ravel(), read.ravel(), count)
-            low += np.bincount(places.ravel(), (read - least).ravel(), count)
-            seen[places, np.arange(len(used))] = True
-            high = known[alive] + (~seen[alive]).astype(np.float64) @ read[-1]
-            bound = np.partition(low[alive], len(alive) - k)[len(alive) - k]
-            alive = alive[high >= bound - slack]
-        scores = [int(x) for x in self.resolve(alive, query)]
-        return sorted(((int(i), s) for i, s in zip(self.ids[alive], scores, strict=True)), key=lambda x: (-x[1], x[0]))[:k]
+        return found
 
     def resolve(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Scores in whole numbers; where 64 bits could overflow, Python's integers, cut off at the ends of a long."""
         vectors = self.vectors[rows]
         if float(np.abs(vectors.astype(float)).max(initial=0)) * float(np.abs(query.astype(float)).sum()) < 2.0**62:
             return vectors @ query
-        return np.clip(vectors.astype(object) @ query.astype(object), -(2**63), 2**63 - 1)
+        return np.clip(vectors.astype(object) @ query.astype(object), -(2**63) + 1, 2**63 - 1)
 
 
 def as_matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -99,8 +116,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if rows.num_rows and asked.num_rows:
             width = max(max(map(len, c.to_pylist()), default=0) for c in (rows["v"], asked["q"]))
             lists = Lists(rows["vec_id"].to_numpy(), as_matrix(rows["v"], width))
-            for query_id, query in zip(asked["query_id"].to_pylist(), as_matrix(asked["q"], width), strict=True):
-                found += [(query_id, *x) for x in lists.best(query_id, query, k)]
+            found = lists.best(asked["query_id"].to_numpy(), as_matrix(asked["q"], width), k)
         return pa.table({n: pa.array([x[i] for x in found], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
     best = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(run, "query_id long, vec_id long, score long")
