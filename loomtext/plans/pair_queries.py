@@ -113,7 +113,7 @@ def rewrites(spark, sf_dir) -> DataFrame:
     """Pairs with stand-ins for a model's labels, from their ids."""
     df = P.overlaps(pairs(spark, sf_dir), "a", "b").withColumn("v", P.verification(F.col("a"), F.col("b")))
     kinds = F.array(*[F.lit(x) for x in ("entailment", "neutral", "contradiction", "entailment")])
-    return df.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("v.reason")).alias("term_reason"), F.round(F.col("unigram_overlap"), 6).alias("similarity"), F.get(kinds, F.pmod("doc_id", F.lit(4)).cast("int")).alias("nli_forward"), F.get(kinds, F.pmod(F.col("doc_id") + 1, F.lit(3)).cast("int")).alias("nli_backward"))
+    return df.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("v.reason")).alias("term_reason"), F.round(F.col("unigram_overlap"), 3).alias("similarity"), F.get(kinds, F.pmod("doc_id", F.lit(4)).cast("int")).alias("nli_forward"), F.get(kinds, F.pmod(F.col("doc_id") + 1, F.lit(3)).cast("int")).alias("nli_backward"))
 
 
 def eval_cascade(spark, sf_dir):
@@ -192,7 +192,7 @@ def cascade_sql() -> str:
     no = "(f = 'contradiction' or b = 'contradiction')"
     return overlap_sql() + ", " + metrics_sql().removeprefix(PAIRS + ",").strip() + f""",
 r as (
-  select o.doc_id, case when o.doc_id % 3 = 0 and reason <> '' then reason end term_reason, round(unigram_overlap, 6) s,
+  select o.doc_id, case when o.doc_id % 3 = 0 and reason <> '' then reason end term_reason, round(unigram_overlap, 3) s,
     ['entailment', 'neutral', 'contradiction', 'entailment'][(o.doc_id % 4 + 1)::int] f, ['entailment', 'neutral', 'contradiction'][((o.doc_id + 1) % 3 + 1)::int] b
   from o join m using (doc_id)),
 g as (select *, term_reason is null t, term_reason is null and s >= 0.1 c, term_reason is null and s >= 0.1 and not {no} and (f = 'entailment' or b = 'entailment') n from r),
