@@ -12,8 +12,7 @@ keep all that could match and drop the rest early:
     their successors are sorted directly, all others are induced by scans over buckets of first bytes. Neighbours in that order that
     share a prefix of 50 bytes form runs; a window goes if its run holds a smaller document.
 
-Documents lie in a table bucketed by doc_id, so that the two passes that need their texts again do not shuffle them. Anchors with very
-many different neighbourhoods are dealt to several tasks by the bytes in them: a window is found by each of its anchors' parts.
+Documents lie in a table bucketed by doc_id, so that the two passes that need their texts again do not shuffle them.
 
 Cases: null and empty texts have no bytes; texts under 50 bytes keep theirs; equal rows with one doc_id keep theirs, since neither has
 the smaller id; a row with a null doc_id is left as it is and removes nothing; an empty table gives an empty result; other columns are
@@ -27,11 +26,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import settled, small, sub_batches
+from loomtext.llm.common import Table, settled, small, sub_batches
 
 LENGTH, GRAM = 50, 16
 LEFT = LENGTH - GRAM
@@ -108,7 +108,8 @@ def anchors(texts: list[bytes]):
     start = np.maximum(place - LEFT, ends[row] - np.diff(ends, prepend=0)[row])
     stop = np.minimum(place + LENGTH, ends[row])
     around = _mixed(rolled.of(start, stop) + (place - start).astype(np.uint64) * BASE + (stop - place).astype(np.uint64))
-    return row, place, grams[place].view(np.int64), around.view(np.int64), start, stop, buffer
+    # Names of 56 and 48 bits: both name a neighbourhood, and short ones take less room.
+    return row, place, (grams[place] >> _U(8)).view(np.int64), (around >> _U(16)).view(np.int64), start, stop, buffer
 
 
 def window_order(texts: np.ndarray, ends: np.ndarray):
@@ -204,39 +205,44 @@ def texts_of(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode() for t in batch.column("text").to_pylist()]
 
 
+def named(row: np.ndarray, h: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """One number for a row of a batch and a neighbourhood in it."""
+    return _mixed(_mixed(row.astype(np.uint64) * BASE + h.view(np.uint64)) + around.view(np.uint64))
+
+
+def listed(column: pa.Array):
+    """Row numbers of a list column's entries, and its entries' fields, each a long, as arrays."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    inner = pc.list_flatten(column)
+    fields = [np.asarray(inner.field(i)).astype(np.int64) for i in range(inner.type.num_fields)]
+    return np.repeat(np.arange(len(sizes)), sizes), fields
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(h, doc): each document's distinct anchors."""
+    """(h, around, doc): each document's distinct anchors with their neighbourhoods."""
 
     def run(batches):
         for whole in batches:
             for batch in sub_batches(whole, "text", BATCH_BYTES):
-                row, _, h, _, _, _, _ = anchors(texts_of(batch))
-                names = batch.column("doc_id").to_numpy(zero_copy_only=False)[row]
-                by = np.lexsort((h, row))
-                h, names, row = h[by], names[by], row[by]
-                keep = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(names[keep].astype(np.int64))], names=["h", "doc"])
+                row, _, h, around, _, _, _ = anchors(texts_of(batch))
+                keep = np.unique(named(row, h, around), return_index=True)[1]
+                names = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(around[keep]), pa.array(names[row[keep]])], names=["h", "around", "doc"])
 
-    return docs.mapInArrow(run, "h long, doc long")
+    return docs.mapInArrow(run, "h long, around long, doc long")
 
 
 def neighbourhoods(docs: DataFrame) -> DataFrame:
-    """(h, around, doc, left, bytes) for the anchors in the column `shared` of each document, each distinct one once."""
+    """(h, around, doc, left, bytes) of the neighbourhoods (h, around) that the column `wanted` of each document lists."""
 
     def run(batches):
         for whole in batches:
             for batch in sub_batches(whole, "text", BATCH_BYTES):
                 row, place, h, around, start, stop, buffer = anchors(texts_of(batch))
                 names = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                shared = batch.column("shared")
-                held = np.asarray(shared.values if isinstance(shared, pa.ListArray) else shared.flatten())
-                sizes = np.diff(np.asarray(shared.offsets))
-                held = held[shared.offsets[0].as_py() : shared.offsets[-1].as_py()]
-                keep = np.isin(pairs(row, h), pairs(np.repeat(np.arange(len(sizes)), sizes), held))
-                first = np.unique(pairs(row, around), return_index=True)[1]
-                chosen = np.zeros(len(row), bool)
-                chosen[first] = True
-                k = np.flatnonzero(keep & chosen)
+                mine, first = np.unique(named(row, h, around), return_index=True)
+                rows, fields = listed(batch.column("wanted"))
+                k = first[np.isin(mine, named(rows, *fields))]
                 parts = [buffer[a:b] for a, b in zip(start[k].tolist(), stop[k].tolist())]
                 columns = [pa.array(h[k]), pa.array(around[k]), pa.array(names[row[k]]), pa.array((place - start)[k].astype(np.int32)), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["h", "around", "doc", "left", "bytes"])
@@ -244,44 +250,38 @@ def neighbourhoods(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h long, around long, doc long, left int, bytes binary")
 
 
-def pairs(row: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """One number for a row of a batch and a hash."""
-    return _mixed(row.astype(np.uint64) * BASE + value.view(np.uint64))
-
-
 def removals(around: DataFrame) -> DataFrame:
-    """(doc, h, around, mask): what goes of each neighbourhood; bit i stands for the window that starts LEFT - i bytes before the anchor."""
+    """(doc, h, around, mask): what goes of each neighbourhood; bit i stands for the window that starts LEFT - i bytes before the anchor.
+
+    Rows come sorted by h; strings of whole anchors are gathered until there are enough to sort their suffixes together.
+    """
 
     def run(batches):
-        names, strings, lefts, keys = [], [], [], []
-        before = None
+        held: list[pa.RecordBatch] = []
 
         def close():
-            whose, start = window_masks(strings, np.array(names, np.int64))
-            masks = np.zeros(len(strings), np.int64)
-            if len(whose):
-                np.bitwise_or.at(masks, whose, np.int64(1) << (start + LEFT - np.array(lefts)[whose]))
-            found = [(names[i], *keys[i], int(masks[i])) for i in np.flatnonzero(masks)]
-            names.clear(), strings.clear(), lefts.clear(), keys.clear()
-            return out(found)
-
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], names=["doc", "h", "around", "mask"])
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            h, near, docs, left = (table[c].to_numpy() for c in ("h", "around", "doc", "left"))
+            whose, start = window_masks(table["bytes"].to_pylist(), docs)
+            masks = np.zeros(len(h), np.int64)
+            np.bitwise_or.at(masks, whose, np.int64(1) << (start + LEFT - left[whose]))
+            k = np.flatnonzero(masks)
+            return pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (docs, h, near, masks)], names=["doc", "h", "around", "mask"])
 
         for batch in batches:
-            copies = []
-            for h, near, doc, left, part in zip(*(c.to_pylist() for c in batch.columns)):
-                if before == (h, near):
-                    if doc > first:
-                        copies.append((doc, h, near, ALL))
-                    continue
-                if len(strings) >= TOGETHER and before[0] != h:
+            while batch.num_rows:
+                h = batch.column("h").to_numpy()
+                held_rows = sum(b.num_rows for b in held)
+                if held_rows >= TOGETHER and held[-1].column("h")[-1].as_py() != h[0]:
                     yield close()
-                before, first = (h, near), doc
-                names.append(doc), strings.append(part), lefts.append(left), keys.append(before)
-            if copies:
-                yield out(copies)
-        if strings:
+                    held_rows = 0
+                # As far as enough rows go, and on to the end of the last anchor's.
+                last = h[min(max(TOGETHER - held_rows, 1), len(h)) - 1]
+                stop = int(np.searchsorted(h, last, side="right"))
+                held.append(batch.slice(0, stop))
+                batch = batch.slice(stop)
+        if held:
             yield close()
 
     return around.mapInArrow(run, "doc long, h long, around long, mask long")
@@ -295,20 +295,22 @@ def cut(docs: DataFrame, keep_text: bool) -> DataFrame:
             for batch in sub_batches(whole, "text", BATCH_BYTES):
                 texts = texts_of(batch)
                 row, place, h, around, _, _, buffer = anchors(texts)
-                known = {}
-                for i, gone in enumerate(batch.column("gone").to_pylist()):
-                    known.update(((i, g["h"], g["around"]), g["mask"]) for g in gone or ())
                 change = np.zeros(len(buffer) + 1, np.int64)
-                if known:
-                    masks = np.array([known.get(x, 0) for x in zip(row.tolist(), h.tolist(), around.tolist())], np.int64)
+                rows, fields = listed(batch.column("gone"))
+                if len(rows):
+                    keys, masks = named(rows, fields[0], fields[1]), fields[2]
+                    by = np.argsort(keys, kind="stable")
+                    keys, masks = keys[by], masks[by]
+                    mine = named(row, h, around)
+                    at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                    masks = np.where(keys[at] == mine, masks[at], 0)
                     some = np.flatnonzero(masks)
                     ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
                     low, high = (ends - np.diff(ends, prepend=0))[row[some]], ends[row[some]]
                     for bit in range(LEFT + 1):
                         start = place[some] - LEFT + bit
                         here = (masks[some] >> bit & 1).astype(bool) & (start >= low) & (start + LENGTH <= high)
-                        np.add.at(change, start[here], 1)
-                        np.add.at(change, start[here] + LENGTH, -1)
+                        change += np.bincount(start[here], minlength=len(change)) - np.bincount(start[here] + LENGTH, minlength=len(change))
                 covered = np.cumsum(change[:-1]) > 0
                 data, at, rows = np.frombuffer(buffer, np.uint8), 0, []
                 for text in texts:
@@ -336,7 +338,8 @@ def repeated(docs: DataFrame, columns: tuple = (), keep_text: bool = False) -> D
     first = marked.groupBy("digest").agg(F.min("doc_id").alias("least"))
     copies = settled(marked.join(first, "digest").filter("doc_id > least").select(F.col("doc_id").alias("copy"), F.col("digest").alias("of")).distinct())
     total = marked.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    # As many buckets as shuffles have partitions at least, or Spark would rather shuffle the texts.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     one = F.broadcast(copies) if small(copies, IDS_BROADCAST) else copies
     same = [F.col("doc_id") == F.col("copy"), F.md5(F.col("text").cast("binary")) == F.col("of")]
     rest = docs.join(one, same, "left_anti")
@@ -347,17 +350,24 @@ def repeated(docs: DataFrame, columns: tuple = (), keep_text: bool = False) -> D
     held = spark.table(table)
 
     known = held.filter("doc_id is not null").select("doc_id", "text")
+    seen = anchor_rows(known).withColumn("least", F.min("doc").over(W.partitionBy("h", "around")))
     of = W.partitionBy("h")
-    seen = anchor_rows(known).withColumn("low", F.min("doc").over(of)).withColumn("high", F.max("doc").over(of))
-    shared = seen.filter("low < high").groupBy("doc").agg(F.collect_list("h").alias("shared"))
-    near = neighbourhoods(known.join(shared, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "shared"))
-    masks = removals(near.repartition("h").sortWithinPartitions("h", "around", "doc"))
+    for name, value in (("low", F.min("doc")), ("high", F.max("doc")), ("one", F.min("around")), ("other", F.max("around"))):
+        seen = seen.withColumn(name, value.over(of))
+    # Larger documents lose a whole neighbourhood; the smallest one's is compared with different ones of the same anchor.
+    seen = seen.filter("low < high and (doc > least or one < other)").select("doc", "h", "around", (F.col("doc") > F.col("least")).alias("whole"))
+    marks = Table(seen)
+    wanted = marks.read().filter("not whole").groupBy("doc").agg(F.collect_list(F.struct("h", "around")).alias("wanted"))
+    near = neighbourhoods(known.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "wanted"))
+    masks = removals(near.repartition("h").sortWithinPartitions("h"))
+    masks = masks.union(marks.read().filter("whole").select("doc", "h", "around", F.lit(ALL).cast("long").alias("mask")))
     gone = masks.groupBy("doc").agg(F.collect_list(F.struct("h", "around", "mask")).alias("gone"))
     out = cut(held.join(gone, F.col("doc_id") == F.col("doc"), "left").drop("doc"), keep_text)
     whole = docs.join(one, same, "left_semi").select("doc_id", *columns, size.cast("long").alias("n_bytes"), size.cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), *([F.lit("").alias("kept_text")] if keep_text else []))
     out = out.unionByName(whole)
     if not keep_text:  # small rows: the table of texts can go now
         out = settled(out)
+        marks.drop()
         spark.sql(f"DROP TABLE {table}")
     return out
 
