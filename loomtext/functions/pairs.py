@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomtext.functions import text as T
 
@@ -142,7 +143,7 @@ def overlaps(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.withColumn("bigram_overlap", jaccard(T.ngrams(F.col("ta"), 2), T.ngrams(F.col("tb"), 2)))
 
 
-@F.pandas_udf("struct<chars:double,joined:double,tokens:double>")
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("chars", "joined", "tokens")]))
 def matching(a: pd.Series, b: pd.Series, ta: pd.Series, tb: pd.Series) -> pd.DataFrame:
     """Shares of matching characters, of characters of the joined tokens, and of tokens. The longest-match recursion has no column form."""
 

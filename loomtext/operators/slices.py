@@ -37,7 +37,7 @@ def ranking(points: DataFrame) -> DataFrame:
     points = points.withColumn("tpr", F.try_divide("tp", "p")).withColumn("fpr", F.try_divide("fp", "n"))
     points = points.withColumn("tpr0", F.coalesce(F.lag("tpr").over(part), F.lit(0.0))).withColumn("fpr0", F.coalesce(F.lag("fpr").over(part), F.lit(0.0)))
     # A negative loses to the positives above it and half of those at its score.
-    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / F.max(F.col("p") * F.col("n"))
+    area = F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), F.max(F.col("p") * F.col("n")))
     steps = F.sum((F.col("tpr") - F.col("tpr0")) * F.try_divide("tp", F.col("tp") + F.col("fp")))
     # The point before the target with the largest rates, and the first one beyond it.
     low = F.max(F.when(F.col("fpr") <= TARGET_FPR, F.struct("fpr", "tpr")))
