@@ -250,8 +250,8 @@ class _Words(dict):
         found = self[word] = np.array(e.merges.encode(letters), np.int32).tobytes()
         return found
 
-    def trim(self) -> None:
-        if len(self) > WORDS_HELD:
+    def trim(self, limit: int = WORDS_HELD) -> None:
+        if len(self) > limit:
             self.clear()
 
 

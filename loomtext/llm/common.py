@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished rounds: it acts when the driver collects its garbage, which rarely happens by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Table:
     """A Parquet table in the shared folder that its maker drops as soon as it is read for the last time."""
 

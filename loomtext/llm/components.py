@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import settled
+from loomtext.llm.common import release, settled
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
         edges = settled(edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        del both, least, moved, joined
+        release(edges.sparkSession)
         if now == before:
             break
         before = now

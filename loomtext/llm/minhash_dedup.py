@@ -7,13 +7,14 @@ probability and concentration as needed for banding: two sets with similarity 0.
 probability 4e-6.
 
 Texts with equal sets are one class, found by a fingerprint; only its smallest doc_id goes on. In each bucket of equal bands, members
-are compared with one pivot, in several rounds with new pivots for members that are not yet in the pivots' component; what is then
-still apart in a bucket is compared pair by pair, so no link is lost and large groups of near copies cost a few comparisons a member.
+are compared with a pivot, in several rounds with new pivots from the bucket's largest component for members outside it; what is
+still apart once such pairs are few is compared pair by pair, so no link is lost and large groups of near copies cost a few
+comparisons a member.
 Comparisons are made on full sets of shingles, streamed: the rows of a pivot's members follow its own, dealt to several tasks where
 they are many. Components come from alternating stars over the verified links.
 
 Cases: texts that are null, empty or without words have empty sets and are linked with nothing; fewer than five words are one shingle;
-rows that repeat a doc_id with the same text share a component; with different texts each row has its own text's component; a row with
+rows that share a doc_id count as one document, and where their texts differ links are confirmed on the smallest text; a row with
 a null doc_id has a null component and is kept; an empty table gives an empty result; other columns are not read.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import Table, settled, small, sub_batches
+from loomtext.llm.common import Table, release, settled, small, sub_batches
 from loomtext.llm.components import components
 
 WIDTH = 5
@@ -36,6 +37,8 @@ ROWS, BANDS = 6, 64
 COORDINATES = ROWS * BANDS
 BATCH_BYTES = 1 << 20
 PIVOT_ROUNDS = 4
+#: Once pairs that are still open are so few per member, all are compared.
+FEW_PAIRS = 4
 #: Members that one task compares with a pivot, and ids that are broadcast (8 bytes each).
 TOGETHER, IDS_BROADCAST = 64, 1_000_000
 
@@ -174,30 +177,38 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
     """node and component of the documents (key, doc) that share buckets; None if no two are linked."""
-    at, edges, tried = members.select("key", "doc", F.col("doc").alias("at")), None, None
+    at, edges, tried, known = members.select("key", "doc", F.col("doc").alias("at")), None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
-        # Buckets whose members are in one component need nothing more.
-        span = at.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-        at = at.join(span.filter("first < last"), "key").select("key", "doc", "at", "first")
-        if turn < PIVOT_ROUNDS:
-            pivots = at.filter("at = first").groupBy("key").agg(F.min_by("doc", F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("pivot"))
-            pairs = at.filter("at > first").join(pivots, "key").select("pivot", F.col("doc").alias("member"))
+        # Buckets whose members are in one component need nothing more; in the others the largest component is the main one.
+        parts = at.groupBy("key", "at").agg(F.count("*").alias("n")).groupBy("key")
+        parts = parts.agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("at", F.struct("n", -F.col("at"))).alias("main"))
+        spread = settled(parts.filter("most < size"))
+        rows, all_pairs = spread.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - F.col("most")))).first()
+        if not rows:
+            break
+        here = at.join(spread.select("key", "main"), "key")
+        rest = turn == PIVOT_ROUNDS or all_pairs <= FEW_PAIRS * rows
+        if rest:
+            others = at.select("key", F.col("doc").alias("pivot"), F.col("at").alias("other"))
+            pairs = here.filter("at <> main").select("key", "doc", "at").join(others, "key").filter("at <> other")
         else:
-            other = at.select("key", F.col("doc").alias("pivot"), F.col("at").alias("other"))
-            pairs = at.join(other, "key").filter("at > other").select("pivot", F.col("doc").alias("member"))
-        pairs = pairs.distinct()
-        pairs = settled(pairs if tried is None else pairs.join(tried, ["pivot", "member"], "left_anti").join(tried.select(F.col("pivot").alias("member"), F.col("member").alias("pivot")), ["pivot", "member"], "left_anti"))
-        if pairs.isEmpty():
-            if turn < PIVOT_ROUNDS:
-                at = settled(at.select("key", "doc", "at"))
-                continue
+            order = F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")
+            pivots = here.filter("at = main").groupBy("key").agg(F.min_by("doc", order).alias("pivot"))
+            pairs = here.filter("at <> main").join(pivots, "key")
+        pairs = pairs.select(F.least("pivot", "doc").alias("pivot"), F.greatest("pivot", "doc").alias("member")).distinct()
+        pairs = settled(pairs if tried is None else pairs.join(tried, ["pivot", "member"], "left_anti"))
+        if not pairs.isEmpty():
+            more = settled(verified(pairs, texts))
+            tried = pairs if tried is None else tried.union(pairs)
+            if not more.isEmpty():
+                edges = more if edges is None else edges.union(more)
+                known = components(edges)
+                at = settled(members.join(known, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("at")))
+        del parts, spread, here, pairs
+        release(members.sparkSession)
+        if rest:
             break
-        tried = pairs if tried is None else settled(tried.union(pairs))
-        more = verified(pairs, texts)
-        edges = settled(more if edges is None else edges.union(more))
-        known = components(edges)
-        at = settled(members.join(known, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("at")))
-    return None if edges is None else known
+    return known
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -212,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     needed = members.select(F.col("doc").alias("text_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text")
     few = small(needed, IDS_BROADCAST)
-    texts = Table(texts.join(F.broadcast(needed) if few else needed, "text_id", "left_semi").dropDuplicates(["text_id"]))
+    texts = Table(texts.join(F.broadcast(needed) if few else needed, "text_id", "left_semi").groupBy("text_id").agg(F.min("text").alias("text")))
     found = links(members, texts.read())
     texts.drop()
     if found is not None:

@@ -294,7 +294,7 @@ def cut(docs: DataFrame, keep_text: bool) -> DataFrame:
         for whole in batches:
             for batch in sub_batches(whole, "text", BATCH_BYTES):
                 texts = texts_of(batch)
-                row, place, h, around, _, _, buffer = anchors(texts)
+                row, place, h, around, first, last, buffer = anchors(texts)
                 change = np.zeros(len(buffer) + 1, np.int64)
                 rows, fields = listed(batch.column("gone"))
                 if len(rows):
@@ -307,10 +307,14 @@ def cut(docs: DataFrame, keep_text: bool) -> DataFrame:
                     some = np.flatnonzero(masks)
                     ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
                     low, high = (ends - np.diff(ends, prepend=0))[row[some]], ends[row[some]]
-                    for bit in range(LEFT + 1):
+                    whole, part = some[masks[some] == ALL], masks[some] != ALL
+                    change += np.bincount(first[whole], minlength=len(change)) - np.bincount(last[whole], minlength=len(change))
+                    some, low, high = some[part], low[part], high[part]
+                    for bit in range(LEFT + 1 if len(some) else 0):
                         start = place[some] - LEFT + bit
-                        here = (masks[some] >> bit & 1).astype(bool) & (start >= low) & (start + LENGTH <= high)
-                        change += np.bincount(start[here], minlength=len(change)) - np.bincount(start[here] + LENGTH, minlength=len(change))
+                        start = start[(masks[some] >> bit & 1).astype(bool) & (start >= low) & (start + LENGTH <= high)]
+                        np.add.at(change, start, 1)
+                        np.add.at(change, start + LENGTH, -1)
                 covered = np.cumsum(change[:-1]) > 0
                 data, at, rows = np.frombuffer(buffer, np.uint8), 0, []
                 for text in texts:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ END = 0
 #: A segment is closed with the document that brings it to so many ids.
 SEGMENT = 1 << 18
 BATCH_BYTES = 1 << 20
+#: Words that a worker remembers; unseen ones cost most of the time.
+WORDS_HELD = 1_000_000
 INDEX = np.dtype([("start", "<u8"), ("least", "<u4"), ("width", "<u2"), ("exceptions", "<u2")])
 
 
@@ -132,10 +135,10 @@ class LibraryEncoder(bpe.Encoder):
             cut.append(None if whole else self.pattern.findall(text))
         unseen = list(set().union(*(c for c in cut if c)).difference(self.memory))
         for word, found in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            self.memory[word] = np.array(found.ids, np.uint32).tobytes()
+            self.memory[word] = array("I", found.ids).tobytes()
         read = self.memory.__getitem__
         out = [np.frombuffer(b"".join(map(read, c)), np.uint32) if c is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t, c in zip(texts, cut, strict=True)]
-        self.memory.trim()
+        self.memory.trim(WORDS_HELD)
         return out
 
 
