@@ -179,22 +179,22 @@ def links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
     """node and component of the documents (key, doc) that share buckets; None if no two are linked."""
     at, edges, tried, known = members.select("key", "doc", F.col("doc").alias("at")), None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
-        # Buckets whose members are in one component need nothing more; in the others the largest component is the main one.
-        parts = at.groupBy("key", "at").agg(F.count("*").alias("n")).groupBy("key")
-        parts = parts.agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("at", F.struct("n", -F.col("at"))).alias("main"))
+        # Buckets whose members are in one component need nothing more and leave; in the others the largest component is the main one.
+        order = F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")
+        largest = F.struct("n", -F.col("at"))
+        parts = at.groupBy("key", "at").agg(F.count("*").alias("n"), F.min_by("doc", order).alias("head")).groupBy("key")
+        parts = parts.agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("at", largest).alias("main"), F.max_by("head", largest).alias("pivot"))
         spread = settled(parts.filter("most < size"))
         rows, all_pairs = spread.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - F.col("most")))).first()
         if not rows:
             break
-        here = at.join(spread.select("key", "main"), "key")
+        here = at.join(spread.select("key", "main", "pivot"), "key")
         rest = turn == PIVOT_ROUNDS or all_pairs <= FEW_PAIRS * rows
         if rest:
-            others = at.select("key", F.col("doc").alias("pivot"), F.col("at").alias("other"))
+            others = here.select("key", F.col("doc").alias("pivot"), F.col("at").alias("other"))
             pairs = here.filter("at <> main").select("key", "doc", "at").join(others, "key").filter("at <> other")
         else:
-            order = F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")
-            pivots = here.filter("at = main").groupBy("key").agg(F.min_by("doc", order).alias("pivot"))
-            pairs = here.filter("at <> main").join(pivots, "key")
+            pairs = here.filter("at <> main")
         pairs = pairs.select(F.least("pivot", "doc").alias("pivot"), F.greatest("pivot", "doc").alias("member")).distinct()
         pairs = settled(pairs if tried is None else pairs.join(tried, ["pivot", "member"], "left_anti"))
         if not pairs.isEmpty():
@@ -203,7 +203,8 @@ def links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
             if not more.isEmpty():
                 edges = more if edges is None else edges.union(more)
                 known = components(edges)
-                at = settled(members.join(known, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("at")))
+                open_ = here.select("key", "doc")
+                at = settled(open_.join(known, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("at")))
         del parts, spread, here, pairs
         release(members.sparkSession)
         if rest:
