@@ -3,8 +3,8 @@
 Templates are word sequences of licence notices. A text's licence words with the highest inverse document frequency (counted over the
 whole corpus) are looked up in the templates' postings; each hit says at which place of the text a template would begin, and hits that
 agree vote for that place. A place counts if the template's mandatory phrase stands there word for word; its score is the share of
-the template's words that stand where they should. The base phrases are templates that are mandatory as a whole: the rarest word of
-each is always looked up, at all its places, so none is missed.
+the template's words that stand where they should. The base phrases are templates that are mandatory as a whole. The rarest word of
+each mandatory phrase is always looked up, at all its places, however common it is, so none is missed.
 
 Only counts per licence word reach the driver: a list as long as the templates' vocabulary.
 
@@ -39,8 +39,8 @@ TEMPLATES = (
     ("this work is licensed under a creative commons attribution 4 0 international license", "licensed under a creative commons attribution", "cc-by"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose with or without fee is hereby granted", "isc"),
 )
-#: Licence words looked up per text, besides the base phrases' rarest ones; words in more than this share of all texts never are.
-LOOKED_UP, COMMON = 16, 0.05
+#: Licence words looked up per text, besides the mandatory phrases' rarest ones.
+LOOKED_UP = 16
 #: Least share of a template's words in place.
 LEAST = 0.6
 
@@ -58,27 +58,27 @@ class Index:
         self.postings = defaultdict(list)
         self.anchors: dict[bytes, list] = defaultdict(list)
         for number, (words, at, size, _, base) in enumerate(self.templates):
-            if base:
-                rarest = max(words, key=lambda w: (self.weight[w], w))
-                self.anchors[rarest].append((number, words.index(rarest)))
-            else:
+            phrase = words[at : at + size]
+            rarest = max(phrase, key=lambda w: (self.weight[w], w))
+            self.anchors[rarest].append((number, at + phrase.index(rarest)))
+            if not base:
                 for place, word in enumerate(words):
                     self.postings[word].append((number, place))
-        floor = -math.log(COMMON)
-        self.rare = {w for w in self.postings if self.weight[w] >= floor}
 
     def scan(self, words: list[bytes]):
         """(places, first, last, base labels, labels, score) of one text's words."""
-        present = self.rare.intersection(words)
+        present = self.postings.keys() & set(words)
         chosen = set(sorted(present, key=lambda w: (-self.weight[w], w))[:LOOKED_UP])
         hits = [(i, w) for i, w in enumerate(words) if w in chosen or w in self.anchors]
         places, base, labels, best = [], set(), set(), 0.0
         votes: dict = defaultdict(float)
         for i, w in hits:
             for number, place in self.anchors.get(w, ()):
-                phrase, _, size, label, _ = self.templates[number]
+                phrase, _, size, label, whole = self.templates[number]
                 start = i - place
-                if start >= 0 and words[start : start + size] == phrase:
+                if not whole:
+                    votes[number, start] += self.weight[w]
+                elif start >= 0 and words[start : start + size] == phrase:
                     places.append(start)
                     base.add(label)
                     best = 1.0

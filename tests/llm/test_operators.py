@@ -244,6 +244,13 @@ def test_license_templates():
     assert index.scan(b"permission is granted free to use this software".split())[4] == ""
 
 
+def test_common_notices():
+    index = license_scan.Index({w: 40_000 for w in license_scan.vocabulary()}, 100_000)
+    for text, _, label in license_scan.TEMPLATES:
+        *_, labels, score = index.scan(("some words before " + text + " and after").encode().split())
+        assert label in labels.split(",") and score == 1.0
+
+
 def test_search(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 8], 1) for i in range(300)]
