@@ -1,10 +1,9 @@
 """License scans with a positional index of rare words.
 
-Templates are word sequences of licence notices. A text's licence words with the highest inverse document frequency (counted over the
-whole corpus) are looked up in the templates' postings; each hit says at which place of the text a template would begin, and hits that
-agree vote for that place. A place counts if the template's mandatory phrase stands there word for word; its score is the share of
-the template's words that stand where they should. The base phrases are templates that are mandatory as a whole. The rarest word of
-each mandatory phrase is always looked up, at all its places, however common it is, so none is missed.
+Templates are word sequences of licence notices. The rarest word of each template's mandatory phrase (by document frequency over the
+whole corpus) is looked up at all its places, however common it is and however many templates a text holds; each hit says at which
+place of the text the template would begin. A place counts if the mandatory phrase stands there word for word; its score is the share
+of the template's words that stand where they should. The base phrases are templates that are mandatory as a whole.
 
 Only counts per licence word reach the driver: a list as long as the templates' vocabulary.
 
@@ -39,14 +38,12 @@ TEMPLATES = (
     ("this work is licensed under a creative commons attribution 4 0 international license", "licensed under a creative commons attribution", "cc-by"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose with or without fee is hereby granted", "isc"),
 )
-#: Licence words looked up per text, besides the mandatory phrases' rarest ones.
-LOOKED_UP = 16
 #: Least share of a template's words in place.
 LEAST = 0.6
 
 
 class Index:
-    """Postings of all templates, and the words' weights."""
+    """The templates' anchors, and the words' weights."""
 
     def __init__(self, frequency: dict[bytes, int], documents: int):
         self.templates = [(p.encode().split(), 0, len(p.split()), label, True) for p, label in BASE.items()]
@@ -55,44 +52,30 @@ class Index:
             at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
             self.templates.append((words, at, len(key), label, False))
         self.weight = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in vocabulary()}
-        self.postings = defaultdict(list)
         self.anchors: dict[bytes, list] = defaultdict(list)
-        for number, (words, at, size, _, base) in enumerate(self.templates):
+        for number, (words, at, size, _, _) in enumerate(self.templates):
             phrase = words[at : at + size]
             rarest = max(phrase, key=lambda w: (self.weight[w], w))
             self.anchors[rarest].append((number, at + phrase.index(rarest)))
-            if not base:
-                for place, word in enumerate(words):
-                    self.postings[word].append((number, place))
 
     def scan(self, words: list[bytes]):
         """(places, first, last, base labels, labels, score) of one text's words."""
-        present = self.postings.keys() & set(words)
-        chosen = set(sorted(present, key=lambda w: (-self.weight[w], w))[:LOOKED_UP])
-        hits = [(i, w) for i, w in enumerate(words) if w in chosen or w in self.anchors]
         places, base, labels, best = [], set(), set(), 0.0
-        votes: dict = defaultdict(float)
-        for i, w in hits:
+        for i, w in enumerate(words):
             for number, place in self.anchors.get(w, ()):
-                phrase, _, size, label, whole = self.templates[number]
+                template, at, size, label, whole = self.templates[number]
                 start = i - place
-                if not whole:
-                    votes[number, start] += self.weight[w]
-                elif start >= 0 and words[start : start + size] == phrase:
+                if start + at < 0 or words[start + at : start + at + size] != template[at : at + size]:
+                    continue
+                if whole:
                     places.append(start)
                     base.add(label)
                     best = 1.0
-            if w in chosen:
-                for number, place in self.postings[w]:
-                    votes[number, i - place] += self.weight[w]
-        for number, start in votes:
-            template, at, size, label, _ = self.templates[number]
-            if start + at < 0 or words[start + at : start + at + size] != template[at : at + size]:
-                continue
-            there = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(template)) / len(template)
-            if there >= LEAST:
-                labels.add(label)
-                best = max(best, there)
+                    continue
+                there = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(template)) / len(template)
+                if there >= LEAST:
+                    labels.add(label)
+                    best = max(best, there)
         first, last = (min(places), max(places)) if places else (None, None)
         return len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), best
 

@@ -251,6 +251,32 @@ def test_common_notices():
         assert label in labels.split(",") and score == 1.0
 
 
+@pytest.mark.parametrize("rare", range(len(license_scan.TEMPLATES)))
+def test_all_notices_in_one_text(rare):
+    first = license_scan.TEMPLATES[rare][0].encode().split()
+    index = license_scan.Index({w: 1 if w in first else 100 for w in license_scan.vocabulary()}, 100_000)
+    *_, labels, score = index.scan(" and ".join(t for t, _, _ in license_scan.TEMPLATES).encode().split())
+    assert labels.split(",") == sorted(label for _, _, label in license_scan.TEMPLATES) and score == 1.0
+
+
+def test_places_against_all_starts():
+    rng = random.Random(8)
+    for _ in range(200):
+        parts = [license_scan.TEMPLATES[rng.randrange(8)][0].split() for _ in range(rng.randint(1, 4))]
+        words = [w for p in parts for w in p[rng.choice((0, 0, 3)) : rng.choice((None, None, -4))] if rng.random() > 0.01]
+        ws, best, labels = [w.encode() for w in words], 0.0, set()
+        for text, phrase, label in [(p, p, x) for p, x in license_scan.BASE.items()] + list(license_scan.TEMPLATES):
+            full, key = text.encode().split(), phrase.encode().split()
+            at = next(i for i in range(len(full)) if full[i : i + len(key)] == key)
+            for k in range(len(ws)):
+                there = sum(k - at + n in range(len(ws)) and ws[k - at + n] == w for n, w in enumerate(full)) / len(full)
+                if ws[k : k + len(key)] == key and there >= license_scan.LEAST:
+                    labels.add(label)
+                    best = max(best, there)
+        index = license_scan.Index({w: rng.randrange(90_000) for w in license_scan.vocabulary()}, 100_000)
+        assert index.scan(ws)[4:] == (",".join(sorted(labels)), best)
+
+
 def test_search(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 8], 1) for i in range(300)]
