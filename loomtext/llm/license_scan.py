@@ -1,9 +1,10 @@
 """License scans with a positional index of rare words.
 
-Templates are word sequences of licence notices. The rarest word of each template's mandatory phrase (by document frequency over the
-whole corpus) is looked up at all its places, however common it is and however many templates a text holds; each hit says at which
-place of the text the template would begin. A place counts if the mandatory phrase stands there word for word; its score is the share
-of the template's words that stand where they should. The base phrases are templates that are mandatory as a whole.
+Templates are word sequences of licence notices with a mandatory phrase. If a text has all words of the phrase, their places in the
+text, shifted by their places in the template, are intersected, the rarest word first (by document frequency over the whole corpus).
+What is left are the places where the template begins with its phrase standing word for word; their score is the share of the
+template's words that stand where they should. No word is left out, so none is missed. The base phrases are templates that are
+mandatory as a whole.
 
 Only counts per licence word reach the driver: a list as long as the templates' vocabulary.
 
@@ -43,7 +44,7 @@ LEAST = 0.6
 
 
 class Index:
-    """The templates' anchors, and the words' weights."""
+    """Postings of the mandatory phrases, each with its rarest words first."""
 
     def __init__(self, frequency: dict[bytes, int], documents: int):
         self.templates = [(p.encode().split(), 0, len(p.split()), label, True) for p, label in BASE.items()]
@@ -52,21 +53,35 @@ class Index:
             at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
             self.templates.append((words, at, len(key), label, False))
         self.weight = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in vocabulary()}
-        self.anchors: dict[bytes, list] = defaultdict(list)
-        for number, (words, at, size, _, _) in enumerate(self.templates):
-            phrase = words[at : at + size]
-            rarest = max(phrase, key=lambda w: (self.weight[w], w))
-            self.anchors[rarest].append((number, at + phrase.index(rarest)))
+        self.postings = []
+        for words, at, size, _, _ in self.templates:
+            self.postings.append(sorted(((words[k], k) for k in range(at, at + size)), key=lambda x: (-self.weight[x[0]], *x)))
+        self.phrases = [{w for w, _ in posting} for posting in self.postings]
+        self.looked_up = set().union(*self.phrases)
+
+    def starts(self, number: int, found: dict[bytes, list[int]]) -> set[int]:
+        """Where a template begins: the places of its phrase's words, intersected by relative position."""
+        (word, place), *rest = self.postings[number]
+        left = {i - place for i in found[word]}
+        for word, place in rest:
+            if not left:
+                break
+            left &= {i - place for i in found[word]}
+        return left
 
     def scan(self, words: list[bytes]):
         """(places, first, last, base labels, labels, score) of one text's words."""
         places, base, labels, best = [], set(), set(), 0.0
-        for i, w in enumerate(words):
-            for number, place in self.anchors.get(w, ()):
-                template, at, size, label, whole = self.templates[number]
-                start = i - place
-                if start + at < 0 or words[start + at : start + at + size] != template[at : at + size]:
-                    continue
+        present = self.looked_up.intersection(words)
+        live = [number for number, phrase in enumerate(self.phrases) if phrase <= present]
+        wanted = set().union(*(self.phrases[number] for number in live))
+        found: dict[bytes, list[int]] = defaultdict(list)
+        for i, w in enumerate(words if live else ()):
+            if w in wanted:
+                found[w].append(i)
+        for number in live:
+            template, _, _, label, whole = self.templates[number]
+            for start in self.starts(number, found):
                 if whole:
                     places.append(start)
                     base.add(label)

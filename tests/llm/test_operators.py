@@ -259,6 +259,15 @@ def test_all_notices_in_one_text(rare):
     assert labels.split(",") == sorted(label for _, _, label in license_scan.TEMPLATES) and score == 1.0
 
 
+def test_places_are_intersected():
+    index = license_scan.Index({w: 0 for w in license_scan.vocabulary()}, 100_000)
+    number = next(i for i, x in enumerate(index.templates) if x[3] == "mpl")
+    found = lambda text: {w: [i for i, x in enumerate(text.encode().split()) if x == w] for w in index.phrases[number]}
+    text, phrase, _ = next(x for x in license_scan.TEMPLATES if x[2] == "mpl")
+    assert index.starts(number, found(f"mozilla {text} mozilla {text}")) == {1, 2 + len(text.split())}
+    assert index.starts(number, found(" ".join(reversed(phrase.split())))) == set()
+
+
 def test_places_against_all_starts():
     rng = random.Random(8)
     for _ in range(200):
