@@ -56,6 +56,12 @@ def quick_similarity(spark, sf_dir):
     return df.select("conv_id", "turn", F.round("quick_similarity", 6).alias("quick_similarity"))
 
 
+def quick_similarity_documents(spark, sf_dir):
+    """The same over whole documents, as the other pair queries."""
+    df = P.quick_similarity(pairs(spark, sf_dir), "a", "b")
+    return df.select("doc_id", F.round("quick_similarity", 6).alias("quick_similarity"))
+
+
 def embedding_cosine(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     n = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
@@ -292,5 +298,5 @@ select z[i % len(z) + 1] operator, count(*) n from d group by 1""",
 
 QUERIES = {
     f.__name__: f
-    for f in (drift_metrics, metrics_long, term_verify, token_overlap, quick_similarity, embedding_cosine, paragraphs_with_offsets, roundtrip, merge_short_turns, skip_reason, token_windows, eval_cascade, rejection_summary, candidate_best, operator_choice, resume_pending)
+    for f in (drift_metrics, metrics_long, term_verify, token_overlap, quick_similarity, quick_similarity_documents, embedding_cosine, paragraphs_with_offsets, roundtrip, merge_short_turns, skip_reason, token_windows, eval_cascade, rejection_summary, candidate_best, operator_choice, resume_pending)
 }
