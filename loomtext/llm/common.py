@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -16,18 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a local session gets a temporary folder and any other one a folder in the warehouse.
-    """
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a folder in the warehouse where that is unset."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        local = master.startswith("local") and not master.startswith("local-cluster")
-        path = tempfile.mkdtemp(prefix="loomtext-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
     spark.sparkContext.setCheckpointDir(path)
     return jsc.getCheckpointDir().get()
 
@@ -47,6 +39,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder on any file system that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns and, in the struct `row`, all columns of docs: whatever they are called, they clash with nothing."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
 class Table:
     """A Parquet table in the shared folder that its maker drops as soon as it is read for the last time."""
 
@@ -59,9 +62,7 @@ class Table:
         return self.spark.read.parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)
 
 
 def small(df: DataFrame, rows: int) -> bool:

@@ -3,19 +3,23 @@
 A text's set holds its distinct five-word shingles. The sketch has COORDINATES bins. In round i every shingle is hashed anew to a bin
 and a value; a bin keeps the least value of the first round that reaches it. After COORDINATES rounds each bin still empty has a round
 of its own in which all shingles fall into it. So all coordinates are filled, after few rounds for large sets, and they agree with
-probability and concentration as needed for banding: two sets with similarity 0.75 share none of the 64 bands of 6 coordinates with
+probability and concentration as needed for banding: two sets with similarity 0.75 share none of the 46 bands of 5 coordinates with
 probability 4e-6.
 
-Texts with equal sets are one class, found by a fingerprint; only its smallest doc_id goes on. In each bucket of equal bands, members
-are compared with a pivot, in several rounds with new pivots from the bucket's largest component for members outside it; what is
-still apart once such pairs are few is compared pair by pair, so no link is lost and large groups of near copies cost a few
-comparisons a member.
+Texts with equal sets are one class, found by a fingerprint; only its smallest doc_id goes on. Bands are worked through in steps. In
+each bucket of equal bands the most central member (the one with the most bucket mates over all bands) is compared with those that are
+not in its component yet, and components are formed before the next step, so a large group of near copies costs a few comparisons a
+member. Pairs of open buckets that are left are found by rare shingles and bounds (`what_is_left`), so no link is lost and members of
+a large bucket are not all paired. What can still cost the square of a bucket are documents of different components that have hardly
+any rare shingle and yet are not linked.
+
 Comparisons are made on full sets of shingles, streamed: the rows of a pivot's members follow its own, dealt to several tasks where
 they are many. Components come from alternating stars over the verified links.
 
 Cases: texts that are null, empty or without words have empty sets and are linked with nothing; fewer than five words are one shingle;
 rows that share a doc_id count as one document, and where their texts differ links are confirmed on the smallest text; a row with
-a null doc_id has a null component and is kept; an empty table gives an empty result; other columns are not read.
+a null doc_id has a null component and is kept; doc_id is a whole number; an empty table gives an empty result; other columns are not
+read; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,20 +29,22 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import Table, release, settled, small, sub_batches
+from loomtext.llm.common import Table, packed, release, settled, small, sub_batches
 from loomtext.llm.components import components
 
 WIDTH = 5
 #: Least similarity, in hundredths.
 LEAST = 75
-ROWS, BANDS = 6, 64
+ROWS, BANDS = 5, 46
 COORDINATES = ROWS * BANDS
 BATCH_BYTES = 1 << 20
-PIVOT_ROUNDS = 4
-#: Once pairs that are still open are so few per member, all are compared.
-FEW_PAIRS = 4
+#: Bands of each step with pivots.
+STEPS = ((0, 4), (4, BANDS))
+#: Buckets of up to so many members are paired; in larger ones shingles of up to RARE documents lead to pairs.
+SMALL, RARE = 8, 32
 #: Members that one task compares with a pivot, and ids that are broadcast (8 bytes each).
 TOGETHER, IDS_BROADCAST = 64, 1_000_000
 
@@ -150,11 +156,12 @@ def shingle_set(text: str | None) -> frozenset:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (pivot, member) whose full sets are similar enough."""
-    count = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
-    heads = count.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("doc"), F.lit(0).alias("role"))
-    salt = F.pmod(F.xxhash64("member"), F.col("salts")).cast("int")
-    rows = heads.union(pairs.join(count, "pivot").select("pivot", salt.alias("salt"), F.col("member").alias("doc"), F.lit(1).alias("role")))
+    """The pairs (pivot, member) whose full sets are similar enough. A pivot with many members is dealt to several tasks."""
+    hot = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts")).filter("salts > 1")
+    hot = F.broadcast(hot) if small(hot, IDS_BROADCAST) else hot
+    dealt = pairs.join(hot, "pivot", "left").select("pivot", "member", F.pmod(F.xxhash64("member"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    heads = dealt.select("pivot", "salt", F.col("pivot").alias("doc"), F.lit(0).alias("role")).distinct()
+    rows = heads.union(dealt.select("pivot", "salt", F.col("member").alias("doc"), F.lit(1).alias("role")))
     rows = rows.join(texts, F.col("doc") == F.col("text_id")).select("pivot", "salt", "role", "doc", "text")
 
     def run(batches):
@@ -175,73 +182,135 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role").mapInArrow(run, "u long, v long")
 
 
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(token, doc): the hashes of each text's distinct shingles."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in sub_batches(whole, "text", BATCH_BYTES):
+                sets = shingle_hashes([(t or "").encode().lower() for t in batch.column("text").to_pylist()])
+                docs = np.repeat(batch.column("text_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(docs)], names=["token", "doc"])
+
+    return texts.mapInArrow(run, "token long, doc long")
+
+
+def labelled(members: DataFrame, known: DataFrame | None) -> DataFrame:
+    """members with the component `at` that each document is in so far."""
+    if known is None:
+        return members.withColumn("at", F.col("doc"))
+    return members.join(known, F.col("doc") == F.col("node"), "left").withColumn("at", F.coalesce("component", "doc")).drop("node", "component")
+
+
+def as_pairs(pivot, member) -> list:
+    return [F.least(pivot, member).alias("pivot"), F.greatest(pivot, member).alias("member")]
+
+
+def with_pivots(here: DataFrame) -> DataFrame:
+    """Pairs of each open bucket's most central member with those in other components."""
+    central = F.struct("weight", -F.col("doc"))
+    spread = here.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.max_by("doc", central).alias("pivot"), F.max_by("at", central).alias("main"))
+    spread = spread.filter("low < high").select("key", "pivot", "main")
+    return here.join(spread, "key").filter("at <> main").select(*as_pairs("pivot", "doc")).distinct()
+
+
+def apart(left: DataFrame, on: str, *conditions) -> DataFrame:
+    """Pairs of rows (on, doc, at, size) that agree in `on`, lie in different components and may be similar by their sizes."""
+    right = left.select(*[F.col(c).alias(f"{c}_2") for c in left.columns])
+    fits = (100 * F.least("size", "size_2") >= LEAST * F.greatest("size", "size_2")) & (F.col("at") < F.col("at_2"))
+    for c in conditions:
+        fits &= c
+    return left.join(right, (F.col(on) == F.col(f"{on}_2")) & fits).select(*as_pairs("doc", "doc_2")).distinct()
+
+
+def open_buckets(here: DataFrame) -> DataFrame:
+    """The rows of buckets whose members lie in several components."""
+    spread = here.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("key")
+    return here.join(spread, "key", "left_semi")
+
+
+def what_is_left(here: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of open buckets that could still be similar, found without pairing all members of a large bucket.
+
+    Small buckets have few pairs. In large ones a shingle is rare if at most RARE of their documents hold it. A pair that shares a rare
+    shingle is found by that shingle. A pair that shares none has at most so many common shingles as either has that are not rare; that
+    bounds the size of a partner, and a member whose bound is under the least size in a bucket leaves it.
+    """
+    here = settled(open_buckets(here))
+    pairs = apart(here.filter(F.col("n") <= SMALL).select("key", "doc", "at", "size"), "key")
+    large = here.filter(F.col("n") > SMALL)
+    if large.isEmpty():
+        return pairs
+    docs = settled(large.select("doc", "at", "size").distinct())
+    tokens = shingle_rows(texts.join(docs.select(F.col("doc").alias("text_id")), "text_id", "left_semi"))
+    rare = settled(tokens.withColumn("n", F.count("*").over(W.partitionBy("token"))).filter(F.col("n") <= RARE))
+    sharing = apart(rare.filter("n > 1").select("token", "doc").join(docs, "doc").select("token", "doc", "at", "size"), "token")
+    # 100 * common >= LEAST * (size + partner - common), and no more common than what is not rare.
+    common = F.col("size") - F.coalesce("rare", F.lit(0))
+    most = F.floor(common * (100 + LEAST) / LEAST) - F.col("size")
+    bounds = docs.join(rare.groupBy("doc").agg(F.count("*").alias("rare")), "doc", "left").select("doc", most.alias("most"))
+    bounded = large.join(bounds, "doc")
+    least = bounded.groupBy("key").agg(F.min("size").alias("least"))
+    bounded = open_buckets(bounded.join(least, "key").filter("most >= least").select("key", "doc", "at", "size", "most"))
+    return pairs.union(sharing).union(apart(bounded, "key", F.col("size_2") <= F.col("most"), F.col("size") <= F.col("most_2"))).distinct()
+
+
 def links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """node and component of the documents (key, doc) that share buckets; None if no two are linked."""
-    at, edges, tried, known = members.select("key", "doc", F.col("doc").alias("at")), None, None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        # Buckets whose members are in one component need nothing more and leave; in the others the largest component is the main one.
-        order = F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")
-        largest = F.struct("n", -F.col("at"))
-        parts = at.groupBy("key", "at").agg(F.count("*").alias("n"), F.min_by("doc", order).alias("head")).groupBy("key")
-        parts = parts.agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("at", largest).alias("main"), F.max_by("head", largest).alias("pivot"))
-        spread = settled(parts.filter("most < size"))
-        rows, all_pairs = spread.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - F.col("most")))).first()
-        if not rows:
-            break
-        here = at.join(spread.select("key", "main", "pivot"), "key")
-        rest = turn == PIVOT_ROUNDS or all_pairs <= FEW_PAIRS * rows
-        if rest:
-            others = here.select("key", F.col("doc").alias("pivot"), F.col("at").alias("other"))
-            pairs = here.filter("at <> main").select("key", "doc", "at").join(others, "key").filter("at <> other")
-        else:
-            pairs = here.filter("at <> main")
-        pairs = pairs.select(F.least("pivot", "doc").alias("pivot"), F.greatest("pivot", "doc").alias("member")).distinct()
+    """node and component of the documents that share buckets (key, doc, band, n, size, weight); None if no two are linked."""
+    edges, tried, known = None, None, None
+    for first, last in (*STEPS, (0, BANDS)):
+        here = labelled(members.filter(F.col("band").between(first, last - 1)), known)
+        pairs = with_pivots(here) if (first, last) in STEPS else what_is_left(here, texts)
         pairs = settled(pairs if tried is None else pairs.join(tried, ["pivot", "member"], "left_anti"))
-        if not pairs.isEmpty():
-            more = settled(verified(pairs, texts))
-            tried = pairs if tried is None else tried.union(pairs)
-            if not more.isEmpty():
-                edges = more if edges is None else edges.union(more)
-                known = components(edges)
-                open_ = here.select("key", "doc")
-                at = settled(open_.join(known, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("at")))
-        del parts, spread, here, pairs
+        if pairs.isEmpty():
+            continue
+        more = settled(verified(pairs, texts))
+        tried = pairs if tried is None else tried.union(pairs)
+        if not more.isEmpty():
+            edges = more if edges is None else edges.union(more)
+            known = components(edges)
+        del here, pairs, more
         release(members.sparkSession)
-        if rest:
-            break
     return known
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     table = Table(described(docs))
-    rows = table.read()
-    full = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = settled(full.groupBy("a", "b").agg(F.min("doc_id").alias("rep")))
-    heads = full.join(classes, ["a", "b"]).filter("doc_id = rep").select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key"))
-    shared = heads.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("key")
-    members = settled(heads.join(shared, "key", "left_semi").distinct())
-    needed = members.select(F.col("doc").alias("text_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text")
-    few = small(needed, IDS_BROADCAST)
-    texts = Table(texts.join(F.broadcast(needed) if few else needed, "text_id", "left_semi").groupBy("text_id").agg(F.min("text").alias("text")))
-    found = links(members, texts.read())
-    texts.drop()
-    if found is not None:
-        classes = classes.join(found, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        classes = classes.withColumnRenamed("rep", "component_id")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = rows.select("doc_id", "n_shingles", "a", "b").join(classes, ["a", "b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
-    out = settled(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
-    table.drop()
-    return out
+    try:
+        rows = table.read()
+        full = rows.filter("n_shingles > 0 and doc_id is not null")
+        classes = settled(full.groupBy("a", "b").agg(F.min("doc_id").alias("rep")))
+        heads = full.join(classes, ["a", "b"]).filter("doc_id = rep")
+        keys = heads.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "key"))
+        shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        members = settled(keys.join(shared, "key").distinct())
+        central = members.groupBy("doc").agg(F.sum("n").alias("weight"))
+        members = settled(members.join(central, "doc"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text")
+        needed = central.select(F.col("doc").alias("text_id"))
+        needed = F.broadcast(needed) if small(needed, IDS_BROADCAST) else needed
+        texts = Table(texts.join(needed, "text_id", "left_semi").groupBy("text_id").agg(F.min("text").alias("text")))
+        try:
+            found = links(members, texts.read())
+        finally:
+            texts.drop()
+        if found is not None:
+            classes = classes.join(found, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("component_id"))
+        else:
+            classes = classes.withColumnRenamed("rep", "component_id")
+        own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+        out = rows.select("doc_id", "n_shingles", "a", "b").join(classes, ["a", "b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+        return settled(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    finally:
+        table.drop()
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns; rows with a null doc_id stay."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each component, with all its columns; rows with a null doc_id stay. Texts are shuffled only if very many go."""
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    gone = F.broadcast(gone) if small(gone, IDS_BROADCAST) else gone
+    return packed(docs, "doc_id").join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomtext.llm import bpe, language_id, license_scan, minhash_dedup, quality_rules, source_mixing, suffix_dedup, token_binary, topk_search, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ("size", "n", "h", "doc", "a", "b", "key", "place", "rank", "least", "low", "shared", "of", "copy", "kept", "bands", "target", "rate", "w", "s", "p", "lines", "again", "_times", "bucket")
+EXTRA = ("row", "gone", "_gone", "_kept_id", "_kept", "_repeats", "_last", "_salt", "_r_source", "repeats", "last", "doc_at", "n_bytes", "n_removed", "kept_text", "size", "n", "h", "doc", "a", "b", "key", "place", "rank", "least", "low", "shared", "of", "copy", "kept", "bands", "target", "rate", "w", "s", "p", "lines", "again", "_times", "bucket")
 
 
 def texts():
@@ -165,7 +165,8 @@ def test_near_duplicates(docs, empty):
     for i in sets:
         assert (out[i].n_shingles, out[i].component_id, out[i].kept) == (len(sets[i]), group[i], group[i] == i), i
     assert minhash_dedup.near_duplicates(empty).count() == 0
-    assert minhash_dedup.near_dedup(docs).columns == docs.columns
+    left = minhash_dedup.near_dedup(docs)
+    assert left.columns == docs.columns and sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if out[r.doc_id].kept)
 
 
 def test_many_near_copies(spark):
@@ -179,14 +180,33 @@ def test_many_near_copies(spark):
             t[k] = f"x{rng.randrange(9999)}"
         rows.append((i, " ".join(t)))
     out = by_id(minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
-    sets = [minhash_dedup.shingle_set(t) for _, t in rows]
-    group = list(range(300))
-    for i in range(300):
+    assert [out[i].component_id for i in range(300)] == plain_components([minhash_dedup.shingle_set(t) for _, t in rows])
+
+
+@pytest.mark.parametrize(("small", "rare"), [(2, 4), (2, 1), (minhash_dedup.SMALL, minhash_dedup.RARE)])
+def test_group_at_the_limit(spark, monkeypatch, small, rare):
+    """A large group with members on both sides of the limit and edits that recur: buckets stay open and what is left decides."""
+    monkeypatch.setattr(minhash_dedup, "SMALL", small)
+    monkeypatch.setattr(minhash_dedup, "RARE", rare)
+    rng = random.Random(9)
+    base, rows = [f"w{rng.randrange(9999)}" for _ in range(150)], []
+    for i in range(260):
+        t = list(base)
+        for k in rng.sample(range(150), rng.randint(0, 8)):
+            t[k] = f"x{rng.randrange(12)}"
+        rows.append((i, " ".join(t[rng.choice((0, 0, 4)) : rng.choice((150, 146))])))
+    out = by_id(minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [out[i].component_id for i in range(260)] == plain_components([minhash_dedup.shingle_set(t) for _, t in rows])
+
+
+def plain_components(sets):
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
         for j in range(i):
             if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 old, new = max(group[i], group[j]), min(group[i], group[j])
                 group = [new if g == old else g for g in group]
-    assert [out[i].component_id for i in range(300)] == group
+    return group
 
 
 def test_sketch_estimates():
