@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: every larger neighbour moves to the smallest one.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        moved = both.join(least, F.col("u") == F.col("n")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        moved = both.join(least, F.col("u") == F.col("n")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: every smaller neighbour and the node itself move to the smallest one.
         least = moved.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
         joined = moved.join(least, F.col("u") == F.col("n"))

@@ -8,8 +8,8 @@ probability 4e-6.
 
 Texts with equal sets are one class, found by a fingerprint; only its smallest doc_id goes on. Bands are worked through in steps. In
 each bucket of equal bands the most central member (the one with the most bucket mates over all bands) is compared with those that are
-not in its component yet, and components are formed before the next step, so a large group of near copies costs a few comparisons a
-member. Pairs of open buckets that are left are found by rare shingles and bounds (`what_is_left`), so no link is lost and members of
+not linked with it yet, over one or two links; what is linked is then known before the next step, so a large group of near copies
+costs a few comparisons a member. Pairs of open buckets that are left are found by rare shingles and bounds (`what_is_left`), so no link is lost and members of
 a large bucket are not all paired. What can still cost the square of a bucket are documents of different components that have hardly
 any rare shingle and yet are not linked.
 
@@ -44,7 +44,7 @@ BATCH_BYTES = 1 << 20
 #: Bands of each step with pivots.
 STEPS = ((0, 4), (4, BANDS))
 #: Buckets of up to so many members are paired; in larger ones shingles of up to RARE documents lead to pairs.
-SMALL, RARE = 8, 32
+SMALL, RARE = 8, 64
 #: Members that one task compares with a pivot, and ids that are broadcast (8 bytes each).
 TOGETHER, IDS_BROADCAST = 64, 1_000_000
 
@@ -244,7 +244,12 @@ def what_is_left(here: DataFrame, texts: DataFrame) -> DataFrame:
     docs = settled(large.select("doc", "at", "size").distinct())
     tokens = shingle_rows(texts.join(docs.select(F.col("doc").alias("text_id")), "text_id", "left_semi"))
     rare = settled(tokens.withColumn("n", F.count("*").over(W.partitionBy("token"))).filter(F.col("n") <= RARE))
-    sharing = apart(rare.filter("n > 1").select("token", "doc").join(docs, "doc").select("token", "doc", "at", "size"), "token")
+    # Shingles of one passage or edit have the same documents: each set of documents, RARE at most, is looked at once.
+    held = rare.filter("n > 1").join(docs, "doc").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("doc", "at", "size"))).alias("held"))
+    fits = lambda x, y: (x["at"] < y["at"]) & (100 * F.least(x["size"], y["size"]) >= LEAST * F.greatest(x["size"], y["size"]))
+    pair = lambda x, y: F.struct(*as_pairs(x["doc"], y["doc"]))
+    both = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: fits(x, y)), lambda y: pair(x, y))))
+    sharing = held.select("held").distinct().select(F.explode(both).alias("pair")).select("pair.*").distinct()
     # 100 * common >= LEAST * (size + partner - common), and no more common than what is not rare.
     common = F.col("size") - F.coalesce("rare", F.lit(0))
     most = F.floor(common * (100 + LEAST) / LEAST) - F.col("size")
@@ -255,6 +260,13 @@ def what_is_left(here: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.union(sharing).union(apart(bounded, "key", F.col("size_2") <= F.col("most"), F.col("size") <= F.col("most_2"))).distinct()
 
 
+def joined_so_far(edges: DataFrame) -> DataFrame:
+    """node and the least of what two steps along the links reach: equal ones are in one component, which is enough to pass pairs over."""
+    both = edges.union(edges.select("v", "u"))
+    near = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"))
+    return settled(both.join(near, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("component")).withColumnRenamed("u", "node"))
+
+
 def links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
     """node and component of the documents that share buckets (key, doc, band, n, size, weight); None if no two are linked."""
     edges, tried, known = None, None, None
@@ -268,10 +280,10 @@ def links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
         tried = pairs if tried is None else tried.union(pairs)
         if not more.isEmpty():
             edges = more if edges is None else edges.union(more)
-            known = components(edges)
+            known = joined_so_far(edges) if (first, last) in STEPS else None
         del here, pairs, more
         release(members.sparkSession)
-    return known
+    return None if edges is None else components(edges)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
