@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import uuid
 
@@ -45,11 +47,25 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def packed(docs: DataFrame, *columns: str) -> DataFrame:
+def with_row(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns and, in the struct `row`, all columns of docs: whatever they are called, they clash with nothing."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
 
 
+#: What lazy results still read; `sweep` drops it once they are written.
+pending: list = []
+
+
+def sweep() -> None:
+    """Drops the tables that results returned so far depend on. Callers do so after writing them; the rest goes when Python exits."""
+    while pending:
+        with contextlib.suppress(Exception):  # the session may have ended
+            pending.pop()()
+
+
+atexit.register(sweep)
+
+
 class Table:
     """A Parquet table in the shared folder that its maker drops as soon as it is read for the last time."""
 

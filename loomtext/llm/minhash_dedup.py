@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import Table, packed, release, settled, small, sub_batches
+from loomtext.llm.common import Table, with_row, release, settled, small, sub_batches
 from loomtext.llm.components import components
 
 WIDTH = 5
@@ -322,7 +322,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns; rows with a null doc_id stay. Texts are shuffled only if very many go."""
     gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
     gone = F.broadcast(gone) if small(gone, IDS_BROADCAST) else gone
-    return packed(docs, "doc_id").join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select("row.*")
+    return with_row(docs, "doc_id").join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:

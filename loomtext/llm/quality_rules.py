@@ -2,8 +2,11 @@
 
 The base rules count words, symbols, repeated lines and repeated five-word windows. Rates of documents that pass them go into
 quantile sketches: histograms over buckets of bounded relative width, held as rows (group, rate, bucket, count). Sketches merge by
-adding counts, so a group with few documents borrows the sketch of the whole corpus, and partial counts of a hot source meet as a
-few hundred rows. Limits are fences beyond the sketches' quantiles; documents outside them are rejected.
+adding counts, so partial counts of a hot source meet as a few hundred rows. Each language's sketch takes in the corpus' as PRIOR
+documents more, and each source's that of its language, so the fewer documents a group has the more its limits are its parent's.
+
+Limits are fences that the sketches alone decide: as far beyond an outer quantile as that lies from the median. Documents outside
+them are rejected. Which quantile is a parameter of the rate: 0.9 for symbols, since a tenth of a source may be junk, 0.99 for repeats.
 
 Everything is built from DataFrame functions: no Python runs on the executors.
 
@@ -14,29 +17,30 @@ repeated rows are judged each; an empty table gives an empty result; columns bes
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import SPACE, WORD, salted, settled
+from loomtext.llm.common import SPACE, WORD, with_row, salted, settled, small
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS = 10
 #: Most words in repeated windows, per cent of all words.
 MAX_REPEAT = 20
-#: Documents that a group needs for a sketch of its own.
-MIN_GROUP = 200
+#: Documents whose weight a parent's sketch has in its children's: the corpus in a language's, the language in those of its sources.
+PRIOR = 100
 #: Leading bits that a bucket keeps: its width is at most 1/32 of its values.
 BITS = 6
-#: Rates by name: (numerator, denominator, scale, sides on which documents are rejected, least distance of a fence from the median).
+#: Rates by name: (numerator, denominator, scale, lower and upper quantile from which fences are set, in per mille; None: no fence).
 RATES = {
-    "symbol_rate": ("n_symbols", "word_chars", 1000, "upper", 60),
-    "word_length": ("word_chars", "n_words", 100, "both", 500),
-    "line_rate": ("n_dup_lines", "n_lines", 1000, "upper", 600),
-    "repeat_rate": ("n_repeat_words", "n_words", 1000, "upper", 200),
+    "symbol_rate": ("n_symbols", "word_chars", 1000, None, 900),
+    "word_length": ("word_chars", "n_words", 100, 10, 950),
+    "line_rate": ("n_dup_lines", "n_lines", 1000, None, 990),
+    "repeat_rate": ("n_repeat_words", "n_words", 1000, None, 990),
 }
-#: A fence lies so many times the distance from the median to the outer quantile away from the median; quartiles bear a quarter of junk.
-LOW, HIGH, STRETCH = 0.25, 0.75, 6
-GROUPS_BROADCAST = 20_000
+#: A fence lies so many times the distance from the median to the outer quantile beyond the outer quantile.
+STRETCH = 1
+GROUPS_BROADCAST, IDS_BROADCAST = 20_000, 1_000_000
 SALTS = 32
 
 
@@ -87,34 +91,47 @@ def sketches(rated: DataFrame) -> DataFrame:
     """Rows (lang, source, rate, bucket, n) over the documents that pass the base rules."""
     pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), F.col(r).alias("bucket")) for r in RATES]))
     rows = rated.filter(~F.col("base_failed")).select("lang", "source", pairs.alias("x")).select("lang", "source", "x.*")
-    return rows.filter(F.col("bucket").isNotNull()).groupBy("lang", "source", "rate", "bucket").agg(F.count("*").alias("n"))
+    return rows.filter(F.col("bucket").isNotNull()).groupBy("lang", "source", "rate", "bucket").agg(F.count("*").cast(EXACT).alias("n"))
 
 
-def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Median, outer quantiles and count per key and rate, read from merged sketches."""
-    from pyspark.sql import Window as W
+#: Weights of buckets are whole numbers, so that every order of adding them gives the same quantiles.
+EXACT = "decimal(38,0)"
+
+
+def shrunk(own: DataFrame, keys: list[str], parent: DataFrame) -> DataFrame:
+    """The sketches of groups (keys, rate, bucket, n), mixed with their parents' (sketches by fewer of the keys) as PRIOR documents more.
 
-    merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+    Weights are multiples of the parent's total, so they stay whole numbers: n * total + PRIOR * parent's n.
+    """
+    up = [k for k in keys if k in parent.columns]
+    total = parent.groupBy(*up, "rate").agg(F.sum("n").cast(EXACT).alias("total"))
+    rename = lambda df: df.select(*[F.col(k).alias(f"up_{k}") for k in (*up, "rate")], *[c for c in df.columns if c not in (*up, "rate")])
+    same = lambda: [F.col(k).eqNullSafe(F.col(f"up_{k}")) for k in (*up, "rate")]
+    mine = own.join(rename(total), same()).select(*keys, "rate", "bucket", (F.col("n") * F.col("total")).cast(EXACT).alias("n"))
+    groups = own.select(*keys, "rate").distinct()
+    theirs = groups.join(rename(parent), same()).select(*keys, "rate", "bucket", (F.col("n") * PRIOR).cast(EXACT).alias("n"))
+    return mine.union(theirs).groupBy(*keys, "rate", "bucket").agg(F.sum("n").cast(EXACT).alias("n"))
+
+
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Median and outer quantiles per key and rate, read from merged sketches."""
     part = W.partitionBy(*keys, "rate")
-    merged = merged.withColumn("upto", F.sum("n").over(part.orderBy("bucket"))).withColumn("total", F.sum("n").over(part))
+    merged = sketch.withColumn("upto", F.sum("n").over(part.orderBy("bucket")).cast("decimal(38,0)") * 1000).withColumn("total", F.sum("n").over(part))
+    level = lambda side: F.coalesce(*[F.when(F.col("rate") == r, F.lit(x[side])) for r, x in RATES.items()])
     reach = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bucket")))
-    return merged.groupBy(*keys, "rate").agg(F.max("total").alias("total"), reach(LOW).alias("low"), reach(0.5).alias("mid"), reach(HIGH).alias("high"))
+    return merged.groupBy(*keys, "rate").agg(reach(level(3)).alias("low"), reach(F.lit(500)).alias("mid"), reach(level(4)).alias("high"))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """lang, source and for each rate its lower and upper fence; small groups take the corpus' fences."""
-    own = quantiles(sketch, ["lang", "source"])
-    whole = quantiles(sketch, []).select("rate", *[F.col(c).alias(f"all_{c}") for c in ("low", "mid", "high")])
-    both = own.join(F.broadcast(whole), "rate")  # one row per rate
-    pick = lambda c: F.when(F.col("total") >= MIN_GROUP, F.col(c)).otherwise(F.col(f"all_{c}"))
-    both = both.select("lang", "source", "rate", *[pick(c).alias(c) for c in ("low", "mid", "high")])
+    """lang, source and for each rate its lower and upper fence, from the sketches of groups shrunk toward their language's and the corpus'."""
+    merged = lambda keys: sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").cast(EXACT).alias("n"))
+    of_lang = shrunk(merged(["lang"]), ["lang"], merged([]))
+    both = quantiles(shrunk(sketch, ["lang", "source"], of_lang), ["lang", "source"])
     found = []
-    for name, (_, _, _, side, least) in RATES.items():
+    for name, (_, _, _, low, high) in RATES.items():
         here = F.col("rate") == name
-        upper = F.col("mid") + F.greatest(STRETCH * (F.col("high") - F.col("mid")), F.lit(least))
-        lower = F.col("mid") - F.greatest(STRETCH * (F.col("mid") - F.col("low")), F.lit(least))
-        found += [F.max(F.when(here, upper)).alias(f"{name}_upper")]
-        found += [F.max(F.when(here, lower)).alias(f"{name}_lower")] if side == "both" else []
+        found += [F.max(F.when(here, F.col("high") + STRETCH * (F.col("high") - F.col("mid")))).alias(f"{name}_upper")] if high else []
+        found += [F.max(F.when(here, F.col("low") - STRETCH * (F.col("mid") - F.col("low")))).alias(f"{name}_lower")] if low else []
     return both.groupBy("lang", "source").agg(*found)
 
 
@@ -124,18 +141,20 @@ def judge(docs: DataFrame) -> DataFrame:
     fences = settled(limits(sketches(rated)))
     out = salted(rated, fences, ["lang", "source"], SALTS, F.col("doc_id"), GROUPS_BROADCAST)
     inside = ~F.col("base_failed")
-    for name, (_, _, _, side, _) in RATES.items():
-        inside &= F.coalesce(F.col(name) <= F.col(f"{name}_upper"), F.lit(True))
-        if side == "both":
-            inside &= F.coalesce(F.col(name) >= F.col(f"{name}_lower"), F.lit(True))
+    for name, (_, _, _, low, high) in RATES.items():
+        inside &= F.coalesce(F.col(name) <= F.col(f"{name}_upper"), F.lit(True)) if high else F.lit(True)
+        inside &= F.coalesce(F.col(name) >= F.col(f"{name}_lower"), F.lit(True)) if low else F.lit(True)
     return out.withColumn("kept", inside)
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that all rules keep, with all their columns. Rows that share a doc_id stay or go together: any rejected row rejects it."""
-    verdicts = judge(docs).groupBy("doc_id").agg(F.min("kept").alias("_kept"))
-    kept = verdicts.filter("_kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The documents that all rules keep, with all their columns. Rows that share a doc_id stay or go together: any rejected row rejects it.
+
+    Texts are shuffled only if more than IDS_BROADCAST documents go.
+    """
+    gone = judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    gone = F.broadcast(gone) if small(gone, IDS_BROADCAST) else gone
+    return with_row(docs, "doc_id").join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
 
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -150,9 +169,8 @@ def oracle_sql() -> str:
     bucketed = "(x >> greatest(length(bin(x)) - {b}, 0)) << greatest(length(bin(x)) - {b}, 0)".format(b=BITS)
     rate = lambda top, bottom, scale: f"case when {bottom} > 0 then ({top} * {scale}) // {bottom} end"
     rows = " union all ".join(f"select doc_id, lang, source, base_failed, '{r}' rate, {rate(*x[:3])} x from counts" for r, x in RATES.items())
-    fences = "case rate " + " ".join(f"when '{r}' then mid + greatest({STRETCH} * (high - mid), {x[4]})" for r, x in RATES.items()) + " end"
-    floors = "case rate " + " ".join(f"when '{r}' then mid - greatest({STRETCH} * (mid - low), {x[4]})" for r, x in RATES.items() if x[3] == "both") + " end"
-    reach = lambda q: f"min(case when upto >= total * {q} then b end)"
+    level = lambda side: "case rate " + " ".join(f"when '{r}' then {x[side]}" for r, x in RATES.items() if x[side]) + " end"
+    reach = lambda q: f"min(case when upto * 1000 >= total * {q} then b end)"
     return f"""
 with w as (
   select doc_id, lang, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{WORD}') ws,
@@ -167,19 +185,23 @@ counts as (
     len(ws) < {MIN_WORDS} or 100 * coalesce(covered.n, 0) > {MAX_REPEAT} * len(ws) base_failed
   from w left join covered using (doc_id)),
 rated as (select doc_id, lang, source, base_failed, rate, {bucketed} b from ({rows}) where x is not null),
-merged as (select lang, source, rate, b, count(*) n from rated where not base_failed group by all),
-own as (
-  select lang, source, rate, max(total) total, {reach(LOW)} low, {reach(0.5)} mid, {reach(HIGH)} high
-  from (select *, sum(n) over (partition by lang, source, rate order by b) upto, sum(n) over (partition by lang, source, rate) total from merged) group by all),
-whole as (
-  select rate, {reach(LOW)} low, {reach(0.5)} mid, {reach(HIGH)} high
-  from (select *, sum(n) over (partition by rate order by b) upto, sum(n) over (partition by rate) total
-        from (select rate, b, sum(n) n from merged group by all)) group by all),
+own as (select lang, source, rate, b, count(*)::hugeint n from rated where not base_failed group by all),
+whole as (select rate, b, sum(n)::hugeint n from own group by all),
+lang_own as (select lang, rate, b, sum(n)::hugeint n from own group by all),
+of_lang as (
+  select lang, rate, b, sum(n)::hugeint n from (
+    select lang, l.rate, b, l.n * t.total n from lang_own l join (select rate, sum(n)::hugeint total from whole group by all) t on l.rate = t.rate
+    union all select g.lang, g.rate, p.b, p.n * {PRIOR} from (select distinct lang, rate from lang_own) g join whole p on g.rate = p.rate) group by all),
+mixed as (
+  select lang, source, rate, b, sum(n)::hugeint n from (
+    select o.lang, source, o.rate, b, o.n * t.total n
+    from own o join (select lang, rate, sum(n)::hugeint total from of_lang group by all) t on o.rate = t.rate and o.lang is not distinct from t.lang
+    union all select g.lang, source, g.rate, p.b, p.n * {PRIOR}
+    from (select distinct lang, source, rate from own) g join of_lang p on g.rate = p.rate and g.lang is not distinct from p.lang) group by all),
 picked as (
-  select lang, source, own.rate, case when total >= {MIN_GROUP} then own.low else whole.low end low, case when total >= {MIN_GROUP} then own.mid else whole.mid end mid,
-    case when total >= {MIN_GROUP} then own.high else whole.high end high
-  from own join whole on own.rate = whole.rate),
-fences as (select lang, source, rate, {fences} upper, {floors} lower from picked),
+  select lang, source, rate, {reach(level(3))} low, {reach(500)} mid, {reach(level(4))} high
+  from (select *, sum(n) over (partition by lang, source, rate order by b) upto, sum(n) over (partition by lang, source, rate) total from mixed) group by all),
+fences as (select lang, source, rate, high + {STRETCH} * (high - mid) upper, low - {STRETCH} * (mid - low) lower from picked),
 outside as (
   select distinct doc_id from rated r join fences f
   on r.lang is not distinct from f.lang and r.source is not distinct from f.source and r.rate = f.rate where b > upper or b < lower)
