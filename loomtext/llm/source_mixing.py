@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import WORD, salted, settled
+from loomtext.llm.common import WORD, with_row, salted, settled
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
@@ -57,14 +57,10 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     """source, source_size, target, repeats, last: a document is taken `repeats` times, and once more if its place is at most `last`."""
     repeats = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     wanted = settled(wanted.withColumn("repeats", repeats).withColumn("budget", F.col("target") - F.col("repeats") * F.col("source_size")))
-    bound = wanted.select("source", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
+    bound, rows = wanted.select("source", "budget", F.lit(0).cast("long").alias("below")), sizes
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
-        if shift + LEVEL_BITS < HASH_BITS:
-            rows = sizes.withColumn("prefix", F.shiftright("place", shift + LEVEL_BITS))
-            inside = salted(rows, bound.withColumn("held", F.lit(True)), ["source", "prefix"], SALTS, F.col("doc_id"), SOURCES_BROADCAST).filter("held")
-        else:
-            inside = salted(sizes, bound.drop("prefix"), ["source"], SALTS, F.col("doc_id"), SOURCES_BROADCAST)
-        counts = inside.groupBy("source", "budget", "below", F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("size"))
+        counts = rows.groupBy("source", F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("size"))
+        counts = salted(counts, bound.select("source", "budget", "below"), ["source"], SALTS, F.col("bucket"), SOURCES_BROADCAST)
         upto = F.col("below") + F.sum("size").over(W.partitionBy("source").orderBy("bucket"))
         over = counts.withColumn("upto", upto).filter(F.col("upto") > F.col("budget"))
         least = F.min_by(F.struct("bucket", "upto", "size", "budget"), "bucket").alias("b")
@@ -72,9 +68,11 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
             "source", "b.budget", F.col("b.bucket").alias("prefix"), (F.col("b.upto") - F.col("b.size")).alias("below"), F.col("b.size").alias("edge")
         )
         bound = settled(bound)
-        edge, bound = bound, bound.drop("edge")
+        if shift:  # only the boundary buckets' rows go on
+            marked = salted(rows.withColumn("prefix", F.shiftright("place", shift)), bound.select("source", "prefix", F.lit(True).alias("held")), ["source", "prefix"], SALTS, F.col("doc_id"), SOURCES_BROADCAST)
+            rows = settled(marked.filter("held").select(*sizes.columns))
     nearer = F.col("below") + F.col("edge") - F.col("budget") < F.col("budget") - F.col("below")
-    last = edge.select(F.col("source").alias("s"), F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("last"))
+    last = bound.select(F.col("source").alias("s"), F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("last"))
     both = wanted.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
     return settled(both.select("source", "source_size", "target", "repeats", F.coalesce("last", F.lit(-1)).cast("long").alias("last")))
 
@@ -95,10 +93,9 @@ def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns. Texts are not shuffled unless sources are very many."""
     sizes = settled(sized(docs))
     limits = thresholds(sizes, targets(sizes)).select("source", "repeats", "last")
-    rows = salted(docs.withColumn("place", position(F.col("doc_id"))), limits.withColumnsRenamed({"repeats": "_repeats", "last": "_last"}), ["source"], SALTS, F.col("doc_id"), SOURCES_BROADCAST)
-    count = F.col("_repeats") + F.when(F.col("place") <= F.col("_last"), 1).otherwise(0)
-    rows = rows.withColumn("_times", F.explode(F.array_repeat(F.lit(0), count.cast("int"))))
-    return rows.select(*docs.columns)
+    rows = with_row(docs, "source", "doc_id").withColumn("place", position(F.col("doc_id")))
+    rows = salted(rows, limits, ["source"], SALTS, F.col("doc_id"), SOURCES_BROADCAST)
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), times().cast("int")))).select("row.*")
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:
