@@ -7,10 +7,12 @@ keep all that could match and drop the rest early:
 2.  Anchors: of the GRAM-byte strings inside each 50-byte window, those with the least hash. Equal windows have equal anchors, and about
     one byte in seventeen starts one. Only anchors that occur in two documents matter.
 3.  Neighbourhoods: the bytes around a shared anchor that windows over it can reach. Of equal ones the smallest document keeps its
-    own; the others lose it as a whole.
+    own; the others lose it as a whole. Those that meet in one batch are settled there, so a very common passage sends one row a batch.
 4.  Different neighbourhoods of the same anchors are laid end to end and their suffixes sorted in two stages: suffixes smaller than
     their successors are sorted directly, all others are induced by scans over buckets of first bytes. Neighbours in that order that
     share a prefix of 50 bytes form runs; a window goes if its run holds a smaller document.
+5.  An anchor with more than MANY different neighbourhoods does not go to one task: its windows are dealt out by their own bytes, and
+    the smallest document of each comes from a sum that is pre-aggregated.
 
 Documents lie in a table bucketed by doc_id, so that the two passes that need their texts again do not shuffle them.
 
@@ -30,8 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomtext.llm.common import Table, settled, small, sub_batches
+from loomtext.llm.common import Table, pending, settled, small, sub_batches, with_row
 
 LENGTH, GRAM = 50, 16
 LEFT = LENGTH - GRAM
@@ -40,8 +43,8 @@ BUCKET_BYTES = 24 << 20
 #: Files that a bucketed table may get; beyond it texts are dealt to their buckets first.
 MOST_FILES = 20_000
 IDS_BROADCAST = 1_000_000
-#: Neighbourhoods whose suffixes are sorted together at least.
-TOGETHER = 8_192
+#: Neighbourhoods whose suffixes are sorted together at least, and most of one anchor: some 6 KB of memory each.
+TOGETHER, MANY = 8_192, 8_192
 ALL = (1 << (LEFT + 1)) - 1
 
 _U = np.uint64
@@ -219,17 +222,22 @@ def listed(column: pa.Array):
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(h, around, doc): each document's distinct anchors with their neighbourhoods."""
+    """(h, around, doc, sure): each document's distinct anchors with their neighbourhoods. Where `sure`, a smaller document of the batch has the same."""
 
     def run(batches):
         for whole in batches:
             for batch in sub_batches(whole, "text", BATCH_BYTES):
                 row, _, h, around, _, _, _ = anchors(texts_of(batch))
-                keep = np.unique(named(row, h, around), return_index=True)[1]
-                names = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(around[keep]), pa.array(names[row[keep]])], names=["h", "around", "doc"])
+                docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[row]
+                order = np.lexsort((docs, around, h))
+                h, around, docs = h[order], around[order], docs[order]
+                same = np.zeros(len(h), bool)
+                same[1:] = (h[1:] == h[:-1]) & (around[1:] == around[:-1])
+                keep = ~same
+                keep[1:] |= docs[1:] != docs[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(around[keep]), pa.array(docs[keep]), pa.array(same[keep])], names=["h", "around", "doc", "sure"])
 
-    return docs.mapInArrow(run, "h long, around long, doc long")
+    return docs.mapInArrow(run, "h long, around long, doc long, sure boolean")
 
 
 def neighbourhoods(docs: DataFrame) -> DataFrame:
@@ -287,6 +295,16 @@ def removals(around: DataFrame) -> DataFrame:
     return around.mapInArrow(run, "doc long, h long, around long, mask long")
 
 
+def removals_by_window(around: DataFrame) -> DataFrame:
+    """The same as `removals` for anchors with very many neighbourhoods: each window finds its smallest document by itself."""
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH))
+    rows = around.filter(F.octet_length("bytes") >= LENGTH).select("doc", "h", "around", "left", "bytes", at.alias("start"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("start") + LEFT - F.col("left"))
+    rows = rows.select("doc", "h", "around", bit.alias("bit"), F.sha2(F.substring("bytes", F.col("start") + 1, F.lit(LENGTH)), 256).alias("window"))
+    least = rows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("window", "least")
+    return rows.join(least, "window").filter("doc > least").groupBy("doc", "h", "around").agg(F.bit_or("bit").alias("mask"))
+
+
 def cut(docs: DataFrame, keep_text: bool) -> DataFrame:
     """Applies the masks in the column `gone` (structs h, around, mask) to each document."""
 
@@ -329,14 +347,17 @@ def cut(docs: DataFrame, keep_text: bool) -> DataFrame:
 
     carried = [c for c in docs.columns if c not in ("text", "gone")]
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text])
+    schema = T.StructType([docs.schema[c] for c in carried])
+    for name, kind in zip(names, [T.LongType()] * 3 + [T.StringType()] * 2):
+        schema = schema.add(name, kind)
     return docs.select(*carried, "text", "gone").mapInArrow(run, schema)
 
 
-def repeated(docs: DataFrame, columns: tuple = (), keep_text: bool = False) -> DataFrame:
-    """doc_id, the named other columns, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text of each row."""
+def repeated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; with keep_text also kept_text and, in `row`, all its columns."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, "text")
+    others = ["row"] if keep_text else []
+    docs = with_row(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", *[F.col("row").dropFields("text").alias("row")] * keep_text, "text")
     size = F.octet_length(F.coalesce("text", F.lit("")))
     marked = settled(docs.select("doc_id", size.alias("n"), F.md5(F.col("text").cast("binary")).alias("digest")).filter(F.col("n") >= LENGTH))
     first = marked.groupBy("digest").agg(F.min("doc_id").alias("least"))
@@ -349,38 +370,63 @@ def repeated(docs: DataFrame, columns: tuple = (), keep_text: bool = False) -> D
     rest = docs.join(one, same, "left_anti")
     if rest.rdd.getNumPartitions() * buckets > MOST_FILES:
         rest = rest.repartition(buckets, "doc_id")
-    table = f"loomtext_{uuid.uuid4().hex}"
-    rest.write.bucketBy(buckets, "doc_id").option("compression", "zstd").saveAsTable(table)
-    held = spark.table(table)
-
-    known = held.filter("doc_id is not null").select("doc_id", "text")
-    seen = anchor_rows(known).withColumn("least", F.min("doc").over(W.partitionBy("h", "around")))
-    of = W.partitionBy("h")
-    for name, value in (("low", F.min("doc")), ("high", F.max("doc")), ("one", F.min("around")), ("other", F.max("around"))):
+    table, marks, lasting = f"loomtext_{uuid.uuid4().hex}", None, False
+
+    def drop():
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if marks:
+            marks.drop()
+
+    try:
+        rest.write.bucketBy(buckets, "doc_id").option("compression", "zstd").saveAsTable(table)
+        held = spark.table(table)
+        marks = Table(shared_anchors(held.filter("doc_id is not null").select("doc_id", "text")))
+        out = cut(held.join(all_masks(held, marks.read()), F.col("doc_id") == F.col("doc"), "left").drop("doc"), keep_text)
+        n = size.cast("long")
+        gone = docs.join(one, same, "left_semi").select("doc_id", *others, n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), *([F.lit("").alias("kept_text")] if keep_text else []))
+        out, lasting = out.unionByName(gone), keep_text
+        return out if keep_text else settled(out)  # texts are read from the table when the result is written
+    finally:
+        if lasting:
+            pending.append(drop)
+        else:
+            drop()
+
+
+def shared_anchors(known: DataFrame) -> DataFrame:
+    """(doc, h, around, whole, many) of anchors that several documents have: whether a smaller document has the same neighbourhood, else
+    what is to be compared with different ones, and whether those are many."""
+    seen = anchor_rows(known)
+    # Rows that are sure need no comparison; they are dealt out, so that no anchor gathers them.
+    seen = seen.withColumn("place", F.when(F.col("sure"), F.xxhash64("doc", "h", "around")).otherwise(F.col("h")))
+    seen = seen.withColumn("least", F.min("doc").over(W.partitionBy("place", "around")))
+    seen = seen.withColumn("whole", F.col("sure") | (F.col("doc") > F.col("least")))
+    of = W.partitionBy("place")
+    for name, value in (("low", F.min("doc")), ("high", F.max("doc")), ("one", F.min("around")), ("other", F.max("around")), ("kinds", F.count(F.when(~F.col("whole"), 1)))):
         seen = seen.withColumn(name, value.over(of))
-    # Larger documents lose a whole neighbourhood; the smallest one's is compared with different ones of the same anchor.
-    seen = seen.filter("low < high and (doc > least or one < other)").select("doc", "h", "around", (F.col("doc") > F.col("least")).alias("whole"))
-    marks = Table(seen)
-    wanted = marks.read().filter("not whole").groupBy("doc").agg(F.collect_list(F.struct("h", "around")).alias("wanted"))
-    near = neighbourhoods(known.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "wanted"))
-    masks = removals(near.repartition("h").sortWithinPartitions("h"))
-    masks = masks.union(marks.read().filter("whole").select("doc", "h", "around", F.lit(ALL).cast("long").alias("mask")))
-    gone = masks.groupBy("doc").agg(F.collect_list(F.struct("h", "around", "mask")).alias("gone"))
-    out = cut(held.join(gone, F.col("doc_id") == F.col("doc"), "left").drop("doc"), keep_text)
-    whole = docs.join(one, same, "left_semi").select("doc_id", *columns, size.cast("long").alias("n_bytes"), size.cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), *([F.lit("").alias("kept_text")] if keep_text else []))
-    out = out.unionByName(whole)
-    if not keep_text:  # small rows: the table of texts can go now
-        out = settled(out)
-        marks.drop()
-        spark.sql(f"DROP TABLE {table}")
-    return out
+    # The smallest document's neighbourhood is compared with different ones of the same anchor.
+    return seen.filter("sure or low < high and (whole or one < other)").select("doc", "h", "around", "whole", (F.col("kinds") > MANY).alias("many"))
+
+
+def all_masks(held: DataFrame, marks: DataFrame) -> DataFrame:
+    """doc and `gone`, the masks (h, around, mask) that apply to it."""
+    masks = marks.filter("whole").select("doc", "h", "around", F.lit(ALL).cast("long").alias("mask"))
+
+    def near(rows):
+        wanted = rows.groupBy("doc").agg(F.collect_list(F.struct("h", "around")).alias("wanted"))
+        return neighbourhoods(held.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "wanted"))
+
+    masks = masks.union(removals(near(marks.filter("not whole and not many")).repartition("h").sortWithinPartitions("h")))
+    many = marks.filter("not whole and many")
+    if not many.isEmpty():
+        masks = masks.union(removals_by_window(near(many)))
+    return masks.groupBy("doc").agg(F.collect_list(F.struct("h", "around", "mask")).alias("gone"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs with repeated strings cut out of their texts. Rows that lose all their text go; others keep their columns."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = repeated(docs, others, keep_text=True).filter("n_removed = 0 or n_removed < n_bytes")
-    return out.withColumn("text", F.col("kept_text")).select(*docs.columns)
+    out = repeated(docs, keep_text=True).filter("n_removed = 0 or n_removed < n_bytes")
+    return out.select(*[F.col("kept_text" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
