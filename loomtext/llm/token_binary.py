@@ -13,16 +13,18 @@ Each block takes the width at one of PERCENTILES of its differences, whichever m
 The files are a Parquet table in the shared folder, one row per segment with its documents, so that Spark's commit protocol keeps them
 whole when executors are lost, and any file system that Spark reaches will do.
 
-Ids come from the tokenizers library. It encodes each distinct word of a batch once; texts with special tokens' strings or letters
-beyond the Latin ones go to it as they are. Id END follows each document.
+Ids come from the tokenizers library. A batch is cut into words at once, each distinct word is looked up, and the library encodes those
+not seen before; texts with special tokens' strings or letters beyond the Latin ones go to it as they are. Id END follows each document.
 
 Cases: a null text is an empty one and has only the end id; a null doc_id comes first; rows that share a doc_id follow each other in
-the order of their texts' hashes; an empty table gives an empty result; other columns are not read.
+the order of their texts' hashes; an empty table gives an empty result; other columns are not read. doc_id is a whole number. Texts of any length are encoded whole; a
+document is never split over segments, so a very long one makes a long segment.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 
@@ -33,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe
-from loomtext.llm.common import Table, sub_batches
+from loomtext.llm.common import Table, settled, sub_batches
 
 BLOCK = 256
 PERCENTILES = (75, 90, 95, 99, 100)
 END = 0
 #: A segment is closed with the document that brings it to so many ids.
 SEGMENT = 1 << 18
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 #: Words that a worker remembers; unseen ones cost most of the time.
 WORDS_HELD = 1_000_000
 INDEX = np.dtype([("start", "<u8"), ("least", "<u4"), ("width", "<u2"), ("exceptions", "<u2")])
@@ -53,19 +55,19 @@ def _words(width: int) -> int:
 def pack(ids: np.ndarray) -> bytes:
     """The payload of a segment's ids, unsigned and below 2**32."""
     count = -(-len(ids) // BLOCK)
-    rows = np.zeros((count, BLOCK), np.uint64)
+    rows = np.zeros((count, BLOCK), np.uint32)
     rows.ravel()[: len(ids)] = ids
     if len(ids) % BLOCK:
         rows[-1, len(ids) % BLOCK :] = ids[-1]
     index = np.zeros(count, INDEX)
-    least = rows.min(axis=1) if count else np.zeros(0, np.uint64)
+    least = rows.min(axis=1) if count else np.zeros(0, np.uint32)
     rows -= least[:, None]
-    bits = np.frexp(rows.astype(np.float64))[1].astype(np.int64)
+    bits = np.frexp(rows.astype(np.float64))[1].astype(np.uint8)
     ordered = np.sort(bits, axis=1)
     choices = np.stack([ordered[:, min(BLOCK - 1, BLOCK * p // 100)] for p in PERCENTILES], axis=1)
-    above = (bits[:, None, :] > choices[:, :, None]).sum(axis=2)
-    pick = (choices * (BLOCK // 8) + above * 6).argmin(axis=1)
-    width = choices[np.arange(count), pick]
+    above = np.stack([np.count_nonzero(bits > c[:, None], axis=1) for c in choices.T], axis=1)
+    pick = (choices.astype(np.int64) * (BLOCK // 8) + above * 6).argmin(axis=1)
+    width = choices[np.arange(count), pick].astype(np.int64)
     index["least"], index["width"], index["exceptions"] = least, width, above[np.arange(count), pick]
     sizes = width * (BLOCK // 8) + index["exceptions"].astype(np.int64) * 6
     starts = np.cumsum(sizes) - sizes
@@ -73,7 +75,7 @@ def pack(ids: np.ndarray) -> bytes:
     body = np.zeros(int(sizes.sum()), np.uint8)
     for w in np.unique(width):
         here = np.flatnonzero(width == w)
-        low = np.ascontiguousarray((rows[here] & np.uint64((1 << int(w)) - 1)).T)
+        low = np.ascontiguousarray((rows[here] & np.uint32((1 << int(w)) - 1)).T.astype(np.uint64))
         packed = np.zeros((_words(w) + 1, len(here)), np.uint64)
         for j in range(BLOCK if w else 0):
             word, shift = divmod(j * int(w), 64)
@@ -84,7 +86,7 @@ def pack(ids: np.ndarray) -> bytes:
         body[(starts[here, None] + np.arange(flat.shape[1])).ravel()] = flat.ravel()
     block, place = np.nonzero(bits > width[:, None])
     if len(block):
-        high = (rows[block, place] >> width[block].astype(np.uint64)).astype("<u4")
+        high = (rows[block, place] >> width[block].astype(np.uint32)).astype("<u4")
         first = np.searchsorted(block, block)  # of the block's exceptions
         nth, total = np.arange(len(block)) - first, index["exceptions"][block].astype(np.int64)
         base = starts[block] + width[block] * (BLOCK // 8)
@@ -93,12 +95,15 @@ def pack(ids: np.ndarray) -> bytes:
     return np.array([len(ids), count], "<u8").tobytes() + index.tobytes() + body.tobytes()
 
 
-def unpack(payload: bytes) -> np.ndarray:
-    """The ids of a payload."""
+def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The ids first to last - 1 of a payload, all by default. Only the blocks that hold them are read, at the places that the index names."""
     size, count = (int(x) for x in np.frombuffer(payload, "<u8", 2))
+    last = size if last is None else min(last, size)
     index = np.frombuffer(payload, INDEX, count, 16)
     body = np.frombuffer(payload, np.uint8, offset=16 + index.nbytes)
-    rows = np.zeros((count, BLOCK), np.uint64)
+    from_block = first // BLOCK
+    index = index[from_block : -(-last // BLOCK)]
+    rows = np.zeros((len(index), BLOCK), np.uint32)
     starts, width = index["start"].astype(np.int64), index["width"].astype(np.int64)
     for w in np.unique(width):
         here = np.flatnonzero(width == w)
@@ -106,41 +111,106 @@ def unpack(payload: bytes) -> np.ndarray:
             continue
         flat = body[starts[here, None] + np.arange(_words(w) * 8)]
         packed = np.ascontiguousarray(flat.view("<u8").reshape(len(here), -1).T)
-        values, mask = np.empty((BLOCK, len(here)), np.uint64), np.uint64((1 << int(w)) - 1)
+        values, mask = np.empty((BLOCK, len(here)), np.uint32), np.uint64((1 << int(w)) - 1)
         for j in range(BLOCK):
             word, shift = divmod(j * int(w), 64)
-            values[j] = packed[word] >> np.uint64(shift)
+            row = packed[word] >> np.uint64(shift)
             if shift + w > 64:
-                values[j] |= packed[word + 1] << np.uint64(64 - shift)
-        rows[here] = (values & mask).T
+                row |= packed[word + 1] << np.uint64(64 - shift)
+            values[j] = row & mask
+        rows[here] = values.T
     total = index["exceptions"].astype(np.int64)
-    block = np.repeat(np.arange(count), total)
+    block = np.repeat(np.arange(len(index)), total)
     if len(block):
         nth = np.arange(len(block)) - np.repeat(np.cumsum(total) - total, total)
         base = starts[block] + width[block] * (BLOCK // 8)
         place = body[(base + nth * 2)[:, None] + np.arange(2)].view("<u2").ravel()
         high = body[(base + total[block] * 2 + nth * 4)[:, None] + np.arange(4)].view("<u4").ravel()
-        rows[block, place] |= high.astype(np.uint64) << width[block].astype(np.uint64)
-    rows += index["least"].astype(np.uint64)[:, None]
-    return rows.ravel()[:size].astype(np.uint32)
+        rows[block, place] |= high << width[block].astype(np.uint32)
+    rows += index["least"][:, None]
+    return rows.ravel()[first - from_block * BLOCK : last - from_block * BLOCK]
 
 
 class LibraryEncoder(bpe.Encoder):
-    """Splits texts into words and has the library encode the words that it has not seen."""
+    """Cuts many texts into words at once and has the library encode the words that it has not seen."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        rng = np.random.default_rng(7)
+        self.values = rng.integers(1, 2**63, len(KINDS), np.uint64)
+        self.up = self.down = np.zeros(0, np.uint64)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        cut: list = []
-        for text in texts:
-            whole = bpe.BEYOND_LATIN.search(text) or (self.cut and self.cut.search(text))
-            cut.append(None if whole else self.pattern.findall(text))
-        unseen = list(set().union(*(c for c in cut if c)).difference(self.memory))
-        for word, found in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            self.memory[word] = array("I", found.ids).tobytes()
-        read = self.memory.__getitem__
-        out = [np.frombuffer(b"".join(map(read, c)), np.uint32) if c is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t, c in zip(texts, cut, strict=True)]
+        whole = [bool(bpe.BEYOND_LATIN.search(t) or (self.cut and self.cut.search(t))) for t in texts]
+        kept = [t for t, w in zip(texts, whole, strict=True) if not w]
+        lengths = np.array([len(t) for t in kept], np.int64)
+        joined = "".join(kept)
+        starts, names = self.cut_words(joined, np.cumsum(lengths))
+        _, first, number = np.unique(names, return_index=True, return_inverse=True)
+        begin, end = starts[first].tolist(), np.append(starts, len(joined))[first + 1].tolist()
+        distinct = [joined[a:b] for a, b in zip(begin, end)]
+        self.learn(distinct)
+        table = bpe.Offsets(list(map(self.memory.__getitem__, distinct)))
+        ids = np.frombuffer(table.gather(number), np.uint32) if len(number) else np.zeros(0, np.uint32)
+        ends = np.concatenate([[0], np.cumsum(table.size[number] // 4)])[np.searchsorted(starts, np.cumsum(lengths))] if len(number) else np.zeros(len(kept), np.int64)
+        parts = iter(np.split(ids, ends[:-1])) if kept else iter(())
+        out = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else next(parts) for t, w in zip(texts, whole, strict=True)]
         self.memory.trim(WORDS_HELD)
         return out
 
+    def learn(self, words: list[str]) -> None:
+        unseen = [w for w in words if w not in self.memory]
+        found = self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False) if unseen else ()
+        for word, x in zip(unseen, found, strict=True):
+            self.memory[word] = array("I", x.ids).tobytes()
+
+    def cut_words(self, text: str, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of texts that lie end to end start, and a 64-bit name of each: the byte-level rule for Latin letters.
+
+        A word is a run of letters, digits or other characters with the blank before it; of more white space the last character stands
+        apart from the others, and an apostrophe that starts a word takes a contraction's letters with it.
+        """
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = len(points)
+        if not size:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        kinds = KINDS[points]
+        fresh = np.zeros(size + 1, bool)  # starts of texts
+        fresh[0] = True
+        fresh[stops] = True
+        start = fresh[:-1].copy()
+        start[1:] |= kinds[1:] != kinds[:-1]
+        last = np.ones(size, bool)  # last characters of runs
+        last[:-1] = start[1:]
+        closing = np.flatnonzero(last & (kinds == BLANK) & ~fresh[1:])  # white space before a word
+        start[closing] = True
+        start[closing[points[closing] == 32] + 1] = False
+        for at in np.flatnonzero((points[:-1] == 39) & start[:-1] & (kinds[1:] == LETTER) & ~fresh[1:-1]).tolist():
+            taken = CONTRACTION.match(text, at)
+            stop = taken.end() if taken else at
+            if taken and not fresh[at + 2 : stop].any():
+                start[at + 1 : stop] = False
+                if stop < size:
+                    start[stop] = True
+        places = np.flatnonzero(start)
+        if len(self.up) <= size:
+            for name, base in (("up", BASE), ("down", INVERSE)):
+                row = np.full(2 * size + 1, base, np.uint64)
+                row[0] = 1
+                setattr(self, name, np.multiply.accumulate(row))
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(self.values[points] * self.up[:size], out=sums[1:])
+        ends = np.append(places[1:], size)
+        return places, (sums[ends] - sums[places]) * self.down[places] + (ends - places).astype(np.uint64)
+
+
+#: Kinds of characters below U+0250.
+OTHER, LETTER, DIGIT, BLANK = range(4)
+_kind = {LETTER: re.compile(f"[{bpe.LETTERS}]"), DIGIT: re.compile(f"[{bpe.DIGITS}]"), BLANK: re.compile(f"[{bpe.BLANKS}]")}
+KINDS = np.array([next((k for k, p in _kind.items() if p.match(chr(c))), OTHER) for c in range(0x250)], np.uint8)
+CONTRACTION = re.compile("'(?:[sdmt]|ll|ve|re)")
+BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+
 
 _held: dict[str, LibraryEncoder] = {}
 
@@ -206,5 +276,25 @@ def read(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def document_ids(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and ids (with the end id) of the documents that `wanted` (doc_id) names: only their blocks are unpacked."""
+    at = files.select(F.posexplode("doc_ids").alias("nth", "doc_id"), "shard", "segment", "sizes")
+    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("nth")), F.lit(0).cast("long"), lambda a, x: a + x)
+    places = at.join(wanted.select("doc_id").distinct(), "doc_id").select("shard", "segment", F.struct("doc_id", before.alias("first"), F.get("sizes", F.col("nth")).alias("size")).alias("place"))
+    rows = files.select("shard", "segment", "payload").join(places.groupBy("shard", "segment").agg(F.collect_list("place").alias("places")), ["shard", "segment"])
+
+    def run(batches):
+        for batch in batches:
+            for payload, found in zip(batch.column("payload"), batch.column("places").to_pylist(), strict=True):
+                ids = [unpack(payload.as_py(), p["first"], p["first"] + p["size"]).tolist() for p in found]
+                yield pa.RecordBatch.from_arrays([pa.array([p["doc_id"] for p in found], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return rows.select("payload", "places").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def op7_token_binary(spark, sf_dir: str) -> DataFrame:
-    return read(write(spark.read.parquet(f"{sf_dir}/documents.parquet")).read())
+    files = write(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    try:
+        return settled(read(files.read()))
+    finally:
+        files.drop()
