@@ -6,25 +6,34 @@ its score from below, plus the lists' present products from above. Vectors whose
 reading stops when nothing outside the remaining few can qualify, and their final scores are resolved.
 
 Each block meets the queries in groups of QUERIES, so a task holds BLOCK vectors and QUERIES queries whatever the size of the input.
-The best of each block are merged per query by a window that limits rows before they are shuffled.
+One block is searched first; its k-th score is a lower bound that the queries take along to all others. A block whose lists' ends
+cannot reach it is left at once, and its vectors start from that bound. The best of each block are merged per query by a window that
+limits rows before they are shuffled. Exact search by vectors without structure remains quadratic: every query's bounds meet every
+block, and each block is copied once per QUERIES queries.
 
 Cases: null vectors, vectors that hold null or non-finite components and rows without an id take no part; shorter vectors count as
-padded with zeros; ties go to the smaller id; rows that share the query's id are the query's own and no candidates; an empty table
-gives an empty result; other columns are not read.
+padded with zeros; ties go to the smaller id; rows that share the query's id are the query's own and no candidates; of queries that
+share an id the one with the least vector is asked; candidates that share an id are ranked each; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtext.llm.common import settled
+
 K, EVERY = 5, 50
-BLOCK, QUERIES = 2048, 1024
+BLOCK, QUERIES = 4096, 8192
+#: Queries that read a block's lists together.
+TOGETHER = 1024
 #: Shares of the lists after which the bounds are compared.
-DEPTHS = (1 / 8, 1 / 4, 1 / 2, 3 / 4, 1)
+DEPTHS = (1 / 4, 1 / 2, 1)
 #: Reading stops when so many times k vectors remain.
 FEW = 8
 
@@ -47,16 +56,17 @@ class Lists:
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(vectors, self.order, axis=0).astype(np.float64)
 
-    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(query, id, score) of the k highest scores of each query, ties to smaller ids."""
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(query, id, score) of the k highest scores of each query, ties to smaller ids; scores under `least` may be left out."""
         count, width = self.vectors.shape
         columns = np.arange(width)
         top, bottom, seen_top, seen_bottom = (np.zeros((count, width)) for _ in range(4))
         signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).astype(np.float64)
         ends = np.concatenate([self.values[0], self.values[-1]])  # the least products' values
         slack = np.abs(signed) @ np.abs(ends) * 1e-12  # sums below 2**53 are exact
-        left, found, start = np.arange(len(queries)), [], 0
-        for depth in DEPTHS:
+        reach = np.maximum(signed[:, :width], 0) @ self.values[-1] + np.minimum(signed[:, width:], 0) @ self.values[0]
+        left, found, start = np.flatnonzero(reach >= least - slack), [], 0
+        for depth in DEPTHS if len(left) else ():
             stop = max(1, int(count * depth))
             low, high = self.order[start:stop], self.order[count - stop : count - start]
             bottom[low, columns], seen_bottom[low, columns] = self.values[start:stop], 1
@@ -70,10 +80,10 @@ class Lists:
             own = query_ids[left][:, None] == self.ids
             lower[own], upper[own] = -np.inf, -np.inf
             if count > k:
-                bound = np.partition(lower, count - k, axis=1)[:, count - k]
-                alive = (upper >= (bound - slack[left])[:, None]) & ~own
+                bound = np.maximum(np.partition(lower, count - k, axis=1)[:, count - k], least[left])
             else:
-                alive = ~own
+                bound = least[left]
+            alive = (upper >= (bound - slack[left])[:, None]) & ~own
             # Nothing outside the remaining few can qualify: resolve their scores. At full depth all bounds are scores.
             done = (alive.sum(axis=1) <= k * FEW) | (stop == count)
             for i in np.flatnonzero(done):
@@ -105,6 +115,7 @@ def as_matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score: the k best of `vectors` (vec_id, v) for each of `queries` (query_id, q), v and q from `scaled`."""
+    queries = queries.groupBy("query_id").agg(F.min("q").alias("q"))
     blocks = max(1, -(-vectors.count() // BLOCK))
     groups = max(1, -(-queries.count() // QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -116,10 +127,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if rows.num_rows and asked.num_rows:
             width = max(max(map(len, c.to_pylist()), default=0) for c in (rows["v"], asked["q"]))
             lists = Lists(rows["vec_id"].to_numpy(), as_matrix(rows["v"], width))
-            found = lists.best(asked["query_id"].to_numpy(), as_matrix(asked["q"], width), k)
+            ids, q = asked["query_id"].to_numpy(), as_matrix(asked["q"], width)
+            least = pc.fill_null(asked["least"].cast(pa.float64()), -np.inf).to_numpy()
+            for at in range(0, len(ids), TOGETHER):
+                part = slice(at, at + TOGETHER)
+                found += lists.best(ids[part], q[part], least[part], k)
         return pa.table({n: pa.array([x[i] for x in found], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
-    best = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(run, "query_id long, vec_id long, score long")
+    def meet(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+        return vectors.groupBy("b", "g").cogroup(queries.groupBy("b", "g")).applyInArrow(run, "query_id long, vec_id long, score long")
+
+    first = settled(meet(left.filter("b = 0"), right.filter("b = 0").withColumn("least", F.lit(None).cast("long"))))
+    bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    best = first.union(meet(left.filter("b > 0"), right.filter("b > 0").join(bounds, "query_id", "left")))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -136,7 +156,7 @@ def oracle_sql() -> str:
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-scores as (
-  select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % {EVERY} = 0)
+asked as (select vec_id, min(e) e from v where vec_id % {EVERY} = 0 group by vec_id),
+scores as (select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint score from asked q join v c on q.vec_id <> c.vec_id)
 select query_id, rank::int rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from scores) where rank <= {K}"""
