@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, language_id, license_scan, minhash_dedup, quality_rules, source_mixing, suffix_dedup, token_binary, topk_search, url_filter
+from loomtext.llm.common import sweep
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ("row", "gone", "_gone", "_kept_id", "_kept", "_repeats", "_last", "_salt", "_r_source", "repeats", "last", "doc_at", "n_bytes", "n_removed", "kept_text", "size", "n", "h", "doc", "a", "b", "key", "place", "rank", "least", "low", "shared", "of", "copy", "kept", "bands", "target", "rate", "w", "s", "p", "lines", "again", "_times", "bucket")
@@ -64,7 +65,30 @@ def test_quality(docs, empty):
         assert not (r.base_failed and r.kept)
     assert quality_rules.judge(empty).count() == 0
     kept = quality_rules.quality_filter(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in out.values())
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if out[r.doc_id].kept)
+
+
+def test_fences_follow_the_sketches(spark):
+    """Two sources with different habits: what is usual in one is rejected in the other, and each rate's fence rejects its outlier."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    plain = lambda n=60: [word(rng.choice((4, 5, 6))) for _ in range(n)]
+    with_symbols = lambda: [w + "#" * (k % 3 == 0) for k, w in enumerate(plain())]
+    rows = [(i, " ".join(plain()), "en", "prose") for i in range(400)] + [(400 + i, " ".join(with_symbols()), "en", "code") for i in range(100)]
+    rows += [(900, " ".join(with_symbols()), "en", "prose"), (901, " ".join(word(11) for _ in range(60)), "en", "prose"), (902, " ".join(word(2) for _ in range(60)), "en", "prose")]
+    rows += [(903, "\n".join(" ".join(plain(9)) + "\nsame" for _ in range(20)), "en", "prose")]
+    t = plain(100)
+    rows += [(904, " ".join(t + t[:9]), "en", "prose")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = by_id(quality_rules.judge(df))
+    assert not any(out[i].base_failed for i in out)
+    assert [i for i in range(900, 905) if out[i].kept] == []
+    assert sum(out[i].kept for i in range(500)) > 485
+    fences = {(r.source, name): r[f"{name}_upper"] for r in out.values() for name in quality_rules.RATES}
+    assert fences["code", "symbol_rate"] > fences["prose", "symbol_rate"]
+    # A small source takes its language's fences.
+    few = by_id(quality_rules.judge(df.withColumn("source", F.when(F.col("doc_id") % 100 == 3, "rare").otherwise(F.col("source")))))
+    assert few[3].symbol_rate_upper > few[4].symbol_rate_upper
 
 
 def test_mixing(docs, empty):
@@ -82,7 +106,11 @@ def test_mixing(docs, empty):
     assert source_mixing.plan_mix(empty).count() == 0
     mixed = source_mixing.mix(docs)
     assert mixed.columns == docs.columns
-    assert mixed.select(F.sum(F.size(F.split("text", " ")))).first()[0] > 0
+    want, whole = [], {r.doc_id: str(r) for r in docs.collect()}
+    for r in rows:
+        if r["size"]:
+            want += [whole[r.doc_id]] * (r.taken // r["size"])
+    assert sorted(x for x in map(str, mixed.collect()) if x in want) == sorted(want)
 
 
 def test_urls(spark):
@@ -306,13 +334,16 @@ def test_places_against_all_starts():
         assert index.scan(ws)[4:] == (",".join(sorted(labels)), best)
 
 
-def test_search(spark):
+@pytest.mark.parametrize(("block", "queries"), [(topk_search.BLOCK, topk_search.QUERIES), (40, 3)])
+def test_search(spark, monkeypatch, block, queries):
+    monkeypatch.setattr(topk_search, "BLOCK", block)
+    monkeypatch.setattr(topk_search, "QUERIES", queries)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 8], 1) for i in range(300)]
     rows += [(300, None, 1), (301, [1.0, None, 0.0, 0.0], 1), (350, [float("nan")] * 4, 1), (400, [float("inf"), 0.0, 0.0, 0.0], 1), (302, [0.5], 1), (None, [1.0] * 4, 1), (100, rows[100][1], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     v = df.select("vec_id", topk_search.scaled(F.col("embedding")).alias("v")).filter("vec_id is not null and v is not null")
-    got = topk_search.search(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct())
+    got = topk_search.search(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
     ok = [(i, np.floor(256 * np.pad(np.array(e, float), (0, 4 - len(e)))).astype(int)) for i, e, _ in rows if i is not None and e is not None and None not in e and np.isfinite(e).all()]
     want = set()
     for q, x in {i: x for i, x in ok if i % 50 == 0}.items():
@@ -338,8 +369,29 @@ def test_repeats(docs, empty):
         spans = sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1]))
         assert (out[i].n_bytes, out[i].n_removed, out[i].n_spans, out[i].kept_sha256) == (len(t), sum(gone), spans, hashlib.sha256(rest).hexdigest()), i
     assert suffix_dedup.repeated(empty).count() == 0
-    cut = suffix_dedup.deduplicated(docs.drop("copy", "of", "doc"))
-    assert set(cut.columns) == set(docs.columns) - {"copy", "of", "doc"}
+    cut = suffix_dedup.deduplicated(docs)
+    assert cut.columns == docs.columns
+    rows = {r.doc_id: r for r in docs.collect()}
+    got = cut.collect()
+    assert {r.doc_id for r in got} == {i for i in out if not out[i].n_removed or out[i].n_removed < out[i].n_bytes}
+    for r in got:
+        assert {c: r[c] for c in docs.columns if c != "text"} == {c: rows[r.doc_id][c] for c in docs.columns if c != "text"}
+        assert out[r.doc_id].n_removed or (r.text or "") == (rows[r.doc_id].text or "")
+    sweep()
+    assert not docs.sparkSession.catalog.listTables()
+
+
+def test_anchor_with_many_neighbourhoods(spark, monkeypatch):
+    """A passage with other words around it in each document, by suffix sorting and by windows."""
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcde ") for _ in range(5)) for _ in range(n))
+    passage = words(14)
+    rows = [(i, words(8) + passage[rng.randrange(9) :] + words(8)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sorted_ = sorted(map(tuple, suffix_dedup.repeated(df).collect()))
+    monkeypatch.setattr(suffix_dedup, "MANY", 3)
+    assert sorted(map(tuple, suffix_dedup.repeated(df).collect())) == sorted_
+    assert sum(r[2] for r in sorted_) > 59 * 50
 
 
 def test_window_order():

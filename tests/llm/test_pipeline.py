@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,16 +42,18 @@ def plain_quality(rows):
             counts.append((r, c))
     bucket = lambda x: x >> max(x.bit_length() - q.BITS, 0) << max(x.bit_length() - q.BITS, 0)
     out = {id(r): r for r, _ in counts}
-    for top, bottom, scale, side, least in q.RATES.values():
+    for top, bottom, scale, low, high in q.RATES.values():
         values = [(r, bucket(c[top] * scale // c[bottom])) for r, c in counts]
-        groups = defaultdict(list)
+        own, langs, whole = defaultdict(Counter), defaultdict(Counter), Counter()
         for r, v in values:
-            groups[r.lang, r.source].append(v)
+            own[r.lang, r.source][v] += 1
+            langs[r.lang][v] += 1
+            whole[v] += 1
+        mixed = lambda mine, parent: Counter({v: mine[v] * parent.total() + q.PRIOR * parent[v] for v in {*mine, *parent}})
         for r, v in values:
-            own = groups[r.lang, r.source]
-            of = sorted(own if len(own) >= q.MIN_GROUP else [x for _, x in values])
-            low, mid, high = (next(x for i, x in enumerate(of, 1) if i >= len(of) * p) for p in (q.LOW, 0.5, q.HIGH))
-            if v > mid + max(q.STRETCH * (high - mid), least) or side == "both" and v < mid - max(q.STRETCH * (mid - low), least):
+            of = mixed(own[r.lang, r.source], mixed(langs[r.lang], whole))
+            at = lambda p: next(v for v, upto in zip(sorted(of), accumulate(of[v] for v in sorted(of))) if upto * 1000 >= of.total() * p)
+            if high and v > at(high) + q.STRETCH * (at(high) - at(500)) or low and v < at(low) - q.STRETCH * (at(500) - at(low)):
                 out.pop(id(r), None)
     return [(r.doc_id, r.text) for r in out.values()]
 
@@ -121,19 +124,46 @@ def plain_tokens(rows):
     return out
 
 
-def test_pipeline_stages(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda _: str(tmp_path))
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    more = docs.limit(1).withColumn("doc_id", F.lit(10_000_000).cast(docs.schema["doc_id"].dataType)).withColumn("text", F.lit(None).cast("string"))
-    docs.union(more).write.parquet(f"{tmp_path}/in/documents.parquet")
-    out = corpus_pipeline.run(spark, f"{tmp_path}/in").collect()
-    (base,) = tmp_path.glob("pipeline-*")
-    before = spark.read.parquet(f"{tmp_path}/in/documents.parquet").collect()
-    stages = [("doc_id, text", plain_quality), ("doc_id, text", plain_near_copies), ("doc_id, text, n_chars", plain_cut), ("doc_id, text", plain_mix), ("doc_id, n_tokens, decoded_sha256", plain_tokens)]
-    for number, (columns, plain) in enumerate(stages):
-        df = spark.read.parquet(f"{base}/{number}")
-        got, want = sorted(map(tuple, df.select(*columns.split(", ")).collect())), sorted(plain(before))
-        assert got == want, corpus_pipeline.STAGES[number][0]
-        assert number == 4 or 0 < len(got) and df.columns == docs.columns
-        before = df.collect()
-    assert sorted(map(tuple, out)) == sorted(map(tuple, before))
+def with_odd_rows(docs):
+    """docs and rows with a null in each column and with an empty text."""
+    one = docs.filter("doc_id = 7")
+    odd = [one.withColumn(c, F.lit(None).cast(docs.schema[c].dataType)).withColumn("doc_id", F.lit(10_000_000 + k).cast("long")) for k, c in enumerate(("text", "lang", "source", "n_chars"))]
+    for more in (*odd, one.withColumn("text", F.lit("")).withColumn("doc_id", F.lit(10_000_009).cast("long"))):
+        docs = docs.union(more)
+    return docs
+
+
+STAGES = [("doc_id, text", plain_quality), ("doc_id, text", plain_near_copies), ("doc_id, text, n_chars", plain_cut), ("doc_id, text", plain_mix), ("doc_id, n_tokens, decoded_sha256", plain_tokens)]
+
+
+def test_pipeline_stages(spark, tmp_path):
+    with_odd_rows(spark.read.parquet(f"{SF}/documents.parquet")).write.parquet(f"{tmp_path}/in/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/in/documents.parquet")
+    columns, before = docs.columns, docs.collect()
+    for number, (names, plain) in enumerate(STAGES):
+        name, stage = corpus_pipeline.STAGES[number]
+        stage(spark, docs, f"{tmp_path}/in").write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+        got, want = sorted(map(tuple, docs.select(*names.split(", ")).collect())), sorted(plain(before))
+        assert got == want, name
+        assert 0 < len(got) and (number == 4 or docs.columns == columns)
+        before = docs.collect()
+    out = corpus_pipeline.run(spark, f"{tmp_path}/in")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, before))
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < -1").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_leaves_nothing(spark, tmp_path):
+    from pathlib import Path
+
+    from loomtext.llm.common import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    corpus_pipeline.run(spark, SF).count()
+    assert not [x for x in set(shared.iterdir()) - before if x.name.startswith(("table-", "pipeline-"))]
+    assert not spark.catalog.listTables()
