@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, minhash_dedup, quality_rules, source_mixing, suffix_dedup
-from loomtext.llm.common import shared_dir
+from loomtext.llm.common import delete, settled, shared_dir, sweep
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each stage's result lies in the shared folder until the next one is written."""
+    """All stages over documents. A stage's result lies in the shared folder until the next one is written; the last one's rows are returned settled."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}")
-        docs = spark.read.parquet(f"{base}/{number}")
-    return docs
+    try:
+        for number, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}")
+            docs = spark.read.parquet(f"{base}/{number}")
+            sweep()
+            if number:
+                delete(spark, f"{base}/{number - 1}")
+        return settled(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        delete(spark, base)
