@@ -47,14 +47,6 @@ def pending(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def reason_bucket(reason: Column) -> Column:
-    low = F.lower(reason)
-    return (
-        F.when(low.contains("placeholder"), "placeholder").when(low.contains("connect"), "connection").when(low.contains("timeout") | low.contains("timed out"), "timeout")
-        .otherwise(F.substring(reason, 1, 80))
-    )
-
-
 def echoes(text: Column) -> Column:
     """Whether a rewrite repeats its instructions."""
     flat = F.regexp_replace(F.lower(text), r"\s+", " ")

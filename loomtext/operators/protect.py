@@ -6,6 +6,7 @@ restoring are column functions.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
@@ -20,34 +21,40 @@ CITATIONS = (
     r"([A-Z][a-zA-Z]+(?:\s+(?:and|&)\s+[A-Z][a-zA-Z]+)?)\s+\((\d{4}[a-z]?)\)",
 )
 NUMBER = r"\b\d+(?:\.\d+)?%?\b"
-PHRASE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+PHRASE = r"\b[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)+\b"
 PLACEHOLDER = r"\[(?:MATH|TERM)_(\d{3})\]"
 
 
 def spans(text: str, terms: tuple[str, ...]) -> list[tuple[int, int, int]]:
-    """(priority, start, end) of what could be protected; numbers only where there are no formulas."""
-    patterns = [(0, p, 0) for p in CITATIONS] + [(2, rf"\b{re.escape(t)}\b", re.I) for t in terms]
+    """(priority, start, end) of what could be protected, in the order in which it is considered; numbers only where there are no formulas."""
+    patterns = [(2, p, 0) for p in CITATIONS] + [(4, rf"\b{re.escape(t)}\b", re.I) for t in terms]
     if "[MATH_" not in text:
-        patterns.append((3, NUMBER, 0))
-    patterns.append((4, PHRASE, 0))
-    return sorted((rank, m.start(), m.end()) for rank, p, flags in patterns for m in re.finditer(p, text, flags))
+        patterns.append((5, NUMBER, 0))
+    patterns.append((6, PHRASE, 0))
+    return [(rank, m.start(), m.end()) for rank, p, flags in patterns for m in re.finditer(p, text, flags)]
 
 
 def protected(text: str, terms: tuple[str, ...], most: int) -> tuple[str, dict[str, str]]:
-    """The text with placeholders and what they stand for."""
-    held = [(m.start(), m.end()) for m in re.finditer(PLACEHOLDER, text)]
-    math = len(re.findall(r"\[MATH_\d{3}\]", text))
-    limit = max(2, most - math) if math else most
-    chosen: list[tuple[int, int]] = []
-    for _, start, end in spans(text, terms):
-        if all(end <= a or b <= start for a, b in (*held, *chosen)):
-            chosen.append((start, end))
-    number = max((int(m[1]) for m in re.finditer(PLACEHOLDER, text)), default=0) + 1
-    found: dict[str, str] = {}
-    for start, end in sorted(chosen[:limit], reverse=True):
-        name = f"[TERM_{number:03d}]"
-        found[name], text, number = text[start:end], text[:start] + name + text[end:], number + 1
-    return text, found
+    """The text with placeholders and what they stand for; `most` of them, all if 0. Numbers go on from the formulas' highest one."""
+    taken = [(m.start(), m.end()) for m in re.finditer(PLACEHOLDER, text)]  # in order, and free of overlaps
+    math = [int(n) for n in re.findall(r"\[MATH_(\d{3})\]", text)]
+    chosen: list[tuple[int, int, int]] = []
+    for rank, start, end in spans(text, terms):
+        at = bisect.bisect_left(taken, (start, end))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+            taken.insert(at, (start, end))
+            chosen.append((rank, start, end))
+    limit = max(2, most - len(set(math))) if math and most else most
+    if limit:
+        chosen = sorted(chosen)[:limit]
+    number, found = max(math, default=-1) + 1, {}
+    pieces, stop = [], len(text)
+    for _, start, end in sorted(chosen, key=lambda c: -c[1]):
+        name, number = f"[TERM_{number:03d}]", number + 1
+        found[name] = text[start:end]
+        pieces += [text[end:stop], name]
+        stop = start
+    return text[:stop] + "".join(reversed(pieces)), found
 
 
 def protect(text: Column, terms: tuple[str, ...] = (), most: int = 10) -> Column:
@@ -73,6 +80,18 @@ def restored(text: Column, terms: Column, strict: bool = True) -> Column:
 
 
 def repaired(text: Column, terms: Column) -> Column:
-    """Placeholders whose case, spaces or hyphens were changed, in their right form."""
-    loose = lambda k: F.concat(F.lit(r"(?i)\[\s*"), F.substring(k, 2, 4), F.lit(r"[\s_-]*"), F.substring(k, 7, 3), F.lit(r"\s*\]"))
-    return F.aggregate(F.map_keys(terms), text, lambda t, k: F.when(F.contains(t, k), t).otherwise(F.regexp_replace(t, loose(k), F.regexp_replace(k, r"([\[\]])", r"\\$1"))))
+    """The text in which a lost placeholder takes the first place where its original stands: as it is, in other case, or else with other
+    spaces and hyphens between its words."""
+
+    def put(t: Column, e: Column) -> Column:
+        name, value = e["key"], e["value"]
+        words = F.filter(F.split(value, r"[\s\-]+"), lambda w: w != "")
+        loose = F.concat(F.lit("(?iuU)"), F.array_join(F.transform(words, lambda w: F.regexp_replace(w, r"([^\w\s])", r"\\$1")), r"[\s\-]+"))
+        cut = lambda at, size: F.concat(F.substring(t, F.lit(1), at - 1), name, F.substring(t, at + size, F.length(t)))
+        exact, folded, flexible = F.instr(t, value), F.instr(F.lower(t), F.lower(value)), F.regexp_instr(t, loose)
+        return (
+            F.when(F.contains(t, name), t).when(exact > 0, cut(exact, F.length(value))).when(folded > 0, cut(folded, F.length(value)))
+            .when((F.size(words) > 1) & (flexible > 0), cut(flexible, F.length(F.regexp_substr(t, loose)))).otherwise(t)
+        )
+
+    return F.aggregate(F.map_entries(terms), text, put)

@@ -59,10 +59,10 @@ def document_formats(spark, sf_dir):
 
 
 def placeholder_restore(spark, sf_dir):
-    """Placeholders put back by a map, and the number of those that repair finds."""
+    """Terms that a rewrite spelled out, in its own way: repair finds their places, and they are put back as they were."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(T.spaced(F.coalesce("text", F.lit("")))).cast("string").alias("n"))
     terms = F.create_map(F.lit("[TERM_001]"), F.col("n"), F.lit("[TERM_002]"), F.concat(F.lit("id "), F.col("doc_id").cast("string")))
-    t = protect.repaired(F.lit("a [term 001] b [TERM_002] c"), terms)
+    t = protect.repaired(F.concat(F.lit("a "), F.col("n"), F.lit(" b ID -"), F.col("doc_id").cast("string"), F.lit(" c")), terms)
     return d.select("doc_id", protect.restored(t, terms).alias("restored"))
 
 

@@ -108,8 +108,20 @@ def test_markdown_covers_all_lines(lines):
 def test_latex_offsets(parts):
     text = "".join(parts)
     for _, kind, start, end, body, math_ in markup.latex_chunks(text):
+        for name, formula in math_.items():
+            assert name in body
+            body = body.replace(name, formula)
         assert 0 <= start < end <= len(text) and body == text[start:end] and kind in ("prose", "structural")
-        assert all(f in body for f in math_.values())
+
+
+def test_latex_placeholders():
+    text = "\\begin{document}\nFirst $a$ and \\(b\\).\n\nThen $c \\$ d$ at 5\\$.\n\\section{On $e$}\n\\begin{equation}$f$\\end{equation}\n\\end{document}"
+    prose = [(body, math_) for _, kind, _, _, body, math_ in markup.latex_chunks(text) if kind == "prose"]
+    assert prose == [
+        ("First [MATH_001] and [MATH_002].", {"[MATH_001]": "$a$", "[MATH_002]": "\\(b\\)"}),
+        ("Then [MATH_003] at 5\\$.", {"[MATH_003]": "$c \\$ d$"}),
+        ("On [MATH_004]", {"[MATH_004]": "$e$"}),
+    ]
 
 
 def test_protection(spark):
@@ -122,6 +134,25 @@ def test_protection(spark):
         df.select(protect.restored(F.lit("[TERM_099]"), F.col("m")).alias("x")).collect()
 
 
+def test_protection_order():
+    text, found = protect.protected("McDonald Corp of [MATH_003] met Big Tree 12 (Kim, 2001) and Red Fox.", ("big tree",), 4)
+    assert text == "[TERM_006] of [MATH_003] met [TERM_005] 12 [TERM_004] and Red Fox." and list(found.values()) == ["(Kim, 2001)", "Big Tree", "McDonald Corp"]
+    assert protect.protected("A B has Xy Zz and 7", (), 0) == ("A B has [TERM_001] and [TERM_000]", {"[TERM_000]": "7", "[TERM_001]": "Xy Zz"})
+
+
+@pytest.mark.parametrize(
+    ("text", "terms", "want"),
+    [
+        ("keeps [TERM_000] as is", {"[TERM_000]": "x"}, "keeps [TERM_000] as is"), ("the Red Fox and Red Fox", {"[TERM_000]": "Red Fox"}, "the [TERM_000] and Red Fox"),
+        ("the RED fox ran", {"[TERM_000]": "Red Fox"}, "the [TERM_000] ran"), ("the red - fox ran", {"[TERM_000]": "Red Fox"}, "the [TERM_000] ran"), ("by S. Kim-Lee (2001)", {"[TERM_000]": "s. kim lee (2001)"}, "by [TERM_000]"),
+        ("nothing here", {"[TERM_000]": "Red Fox"}, "nothing here"), ("a 7 b $x$", {"[TERM_000]": "7", "[MATH_001]": "$x$"}, "a [TERM_000] b [MATH_001]"),
+    ],
+)
+def test_repair(spark, text, terms, want):
+    df = spark.createDataFrame([(text, terms)], "t string, m map<string,string>")
+    assert df.select(protect.repaired(F.col("t"), F.col("m")).alias("x")).first().x == want
+
+
 @pytest.mark.parametrize(("a", "b", "want"), [("10% of 2.50", "10 % of 2.5", True), ("[MATH_001] 5", "5", False), ("02", "2", True), ("50%", "50", False), ("none", "", True)])
 def test_verification(spark, a, b, want):
     assert one(spark, pairs.verification(F.lit(a), F.lit(b)))["passed"] is want
