@@ -23,10 +23,11 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 def lexical(docs: DataFrame) -> DataFrame:
     """style_ttr and style_hapax_ratio."""
-    docs = T.with_counts(docs, F.col("words"), "word_counts")
-    n = F.size("words")
-    docs = docs.withColumn("style_ttr", F.when(n > 0, F.size("word_counts") / n))
-    return docs.withColumn("style_hapax_ratio", F.when(n > 0, F.size(F.filter("word_counts", lambda c: c == 1)) / n))
+    docs = docs.withColumn("_ordered", F.sort_array(T.hashed(F.col("words")))).withColumn("_again", T.repeats(F.col("_ordered")))
+    n = F.size("_ordered")
+    distinct = n - F.size("_again")
+    docs = docs.withColumn("style_ttr", F.when(n > 0, distinct / n))
+    return docs.withColumn("style_hapax_ratio", F.when(n > 0, (distinct - F.size(F.array_distinct("_again"))) / n)).drop("_ordered", "_again")
 
 
 def function_words(docs: DataFrame) -> DataFrame:
@@ -65,27 +66,31 @@ def paragraph_variance(text: Column) -> Column:
 
 def discourse(docs: DataFrame) -> DataFrame:
     """disc_bigram_entropy, disc_trigram_rarity and disc_sentence_entropy_variance."""
-    docs = docs.withColumn("_two", T.ngrams(F.col("words"), 2))
-    docs = T.with_counts(docs, T.ngrams(F.col("words"), 3), "_three")
+    docs = docs.withColumn("_one", T.hashed(F.col("words")))
+    docs = docs.withColumn("_two", T.neighbours(F.col("_one"), F.col("_one"))).withColumn("_three", T.neighbours(F.col("_two"), F.col("_one")))
+    for name in ("_two", "_three"):
+        docs = docs.withColumn(name, F.sort_array(name)).withColumn(f"{name}_again", T.repeats(F.col(name)))
     ok = F.size("words") >= 6
-    docs = docs.withColumn("disc_bigram_entropy", F.when(ok, T.entropy(F.col("_two"))))
-    docs = docs.withColumn("disc_trigram_rarity", F.when(ok, F.size(F.filter("_three", lambda c: c == 1)) / F.greatest(F.size("_three"), F.lit(1))))
+    docs = docs.withColumn("disc_bigram_entropy", F.when(ok, T.entropy_of(F.size("_two"), F.col("_two_again"))))
+    kinds = F.size("_three") - F.size("_three_again")
+    docs = docs.withColumn("disc_trigram_rarity", F.when(ok, (kinds - F.size(F.array_distinct("_three_again"))) / F.greatest(kinds, F.lit(1))))
     docs = docs.withColumn("_ent", F.transform(F.filter("sents", lambda s: F.size(s) > 0), T.entropy))
     some = (F.size("sents") >= C.MIN_SENTENCES) & (F.size("_ent") >= C.MIN_SENTENCES)
     docs = docs.withColumn("sentence_entropy_mean", F.when(some, T.mean(F.col("_ent"))))
     docs = docs.withColumn("disc_sentence_entropy_variance", F.when(some, T.variance(F.col("_ent"))))
-    return docs.drop("_two", "_three", "_ent")
+    return docs.drop("_one", "_two", "_three", "_two_again", "_three_again", "_ent")
 
 
 def transitions(docs: DataFrame) -> DataFrame:
     """disc_transition_density (per 1000 words) and disc_transition_diversity; both 0 if a long enough text has none."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    docs = docs.withColumn("_low", low)
-    count = lambda p: (F.length("_low") - F.length(F.replace(F.col("_low"), F.lit(p), F.lit("")))) / len(p)
-    docs = docs.withColumn("_found", F.filter(F.array(*[count(p) for p in C.TRANSITIONS]), lambda c: c > 0))
-    n, ok = T.total(F.col("_found")), F.size("words") >= C.MIN_WORDS
+    docs = docs.withColumn("_low", F.lower(F.coalesce("text", F.lit(""))))
+    # Most texts hold few of the phrases, and looking for one takes less than counting it.
+    count = lambda p: F.when(F.contains(F.col("_low"), F.lit(p)), (F.length("_low") - F.length(F.replace(F.col("_low"), F.lit(p), F.lit("")))) / len(p))
+    found = T.let(F.filter(F.array(*[count(p) for p in C.TRANSITIONS]), lambda c: c.isNotNull()), lambda c: F.struct(T.total(c).alias("n"), F.size(c).alias("kinds")))
+    docs = docs.withColumn("_found", found)
+    n, ok = F.col("_found.n"), F.size("words") >= C.MIN_WORDS
     docs = docs.withColumn("disc_transition_density", F.when(ok, n / F.size("words") * 1000))
-    docs = docs.withColumn("disc_transition_diversity", F.when(ok, F.when(n > 0, F.size("_found") / n).otherwise(0.0)))
+    docs = docs.withColumn("disc_transition_diversity", F.when(ok, F.when(n > 0, F.col("_found.kinds") / n).otherwise(0.0)))
     return docs.drop("_low", "_found")
 
 

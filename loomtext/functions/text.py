@@ -13,7 +13,7 @@ def let(value: Column, use) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters; runs that hold digits are dropped."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"^\p{L}+$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}])\p{L}++(?!\p{N})"), F.lit(0))
 
 
 def spaced(text: Column) -> Column:
@@ -23,7 +23,7 @@ def spaced(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed, non-empty parts between runs of full stops, exclamation and question marks."""
-    return F.filter(F.transform(F.split(text, "[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "[.!?]+"), lambda s: F.btrim(s, F.lit(" \t\n\x0b\f\r"))), lambda s: s != "")
 
 
 def ngrams(items: Column, n: int) -> Column:
@@ -46,17 +46,36 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def entropy(items: Column) -> Column:
-    """Shannon entropy in bits of the items' distribution: log2(n) - sum of c * log2(c) / n, folded over equal neighbours in order."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+def hashed(items: Column) -> Column:
+    """64-bit names of the items: sorting and comparing numbers takes less than doing so with strings."""
+    return F.transform(items, lambda w: F.xxhash64(w))
+
+
+def neighbours(names: Column, more: Column) -> Column:
+    """Names of runs: each of `names` with the one of `more` that follows it. `more` is the items' names, and `names` those of runs of n - 1."""
+    count = F.greatest(F.size(names) - 1, F.lit(0))
+    return F.zip_with(F.slice(names, F.lit(1), count), F.slice(more, F.size(more) - count + 1, count), lambda a, b: F.xxhash64(a, b))
+
+
+def repeats(ordered: Column) -> Column:
+    """Of sorted items those that equal the one before: c - 1 of each that occurs c times. `ordered` is a plain column or a lambda's."""
+    return F.filter(ordered, lambda x, i: F.coalesce(x == F.get(ordered, i - 1), F.lit(False)))
+
+
+def entropy_of(count: Column, again: Column) -> Column:
+    """Shannon entropy in bits of the distribution of so many items, from their repeats: log2(n) - sum of c * log2(c) / n."""
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(1).alias("run"), F.lit(0.0).alias("sum"))
 
     def add(a: Column, x: Column) -> Column:
-        run = F.when(a["last"] == x, a["run"] + 1).otherwise(1)
-        more = F.when(a["last"] == x, (a["run"] + 1) * F.log2(a["run"] + 1) - a["run"] * F.log2(a["run"])).otherwise(0.0)
-        return F.struct(x.alias("last"), run.alias("run"), (a["sum"] + more).alias("sum"))
+        run = F.when(a["last"] == x, a["run"] + 1).otherwise(2)
+        return F.struct(x.alias("last"), run.alias("run"), (a["sum"] + run * F.log2(run) - (run - 1) * F.log2(run - 1)).alias("sum"))
+
+    folded = F.aggregate(again, start, add, lambda a: a["sum"])
+    return F.when(count > 0, F.greatest(F.log2(count) - folded / count, F.lit(0.0)))
 
-    folded = F.aggregate(F.sort_array(items), start, add, lambda a: a["sum"])
-    return F.when(F.size(items) > 0, F.greatest(F.log2(F.size(items)) - folded / F.size(items), F.lit(0.0)))
+
+def entropy(items: Column) -> Column:
+    return let(F.sort_array(hashed(items)), lambda s: entropy_of(F.size(s), repeats(s)))
 
 
 def mean(values: Column) -> Column:
