@@ -25,5 +25,8 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filter": url_filter.oracle_sql(),
         "op3_source_mixing": source_mixing.oracle_sql(),
         "op5_quality_rules": quality_rules.oracle_sql(),
+        "op6_minhash_dedup": minhash_dedup.oracle_sql(),
+        "op8_license_scan": license_scan.oracle_sql(),
         "op9_topk_search": topk_search.oracle_sql(),
+        "op10_suffix_dedup": suffix_dedup.oracle_sql(),
     }

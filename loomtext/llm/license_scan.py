@@ -141,3 +141,31 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for op8_license_scan: every place where a phrase stands, and the share of its template around it."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    listed = lambda text: "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
+    rows = [f"({listed(p)}, {listed(p)}, 0, '{label}', true)" for p, label in BASE.items()]
+    for text, phrase, label in TEMPLATES:
+        words, key = text.split(), phrase.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        rows.append(f"({listed(text)}, {listed(phrase)}, {at}, '{label}', false)")
+    return f"""
+with w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') ws from documents),
+templates(words, phrase, before, label, base) as (values {", ".join(rows)}),
+places as (
+  select doc_id, ws, i, t.* from (select doc_id, ws, unnest(range(1, len(ws) + 1)) i from w) p join templates t on ws[i] = phrase[1] where ws[i:i + len(phrase) - 1] = phrase),
+found as (
+  select *, list_sum(list_transform(range(1, len(words) + 1), lambda k: (i - before + k - 1 between 1 and len(ws) and coalesce(ws[greatest(i - before + k - 1, 1)] = words[k], false))::int)) / len(words) there
+  from places),
+good as (select * from found where base or there >= {LEAST}),
+summed as (
+  select doc_id, count(*) filter (base) n_base, min(i - 1) filter (base) first_word, max(i - 1) filter (base) last_word, coalesce(string_agg(distinct label, ',' order by label) filter (base), '') base_labels,
+    string_agg(distinct label, ',' order by label) labels, max(there) score
+  from good group by 1)
+select doc_id, len(ws)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word, coalesce(base_labels, '') base_labels,
+  coalesce(labels, '') labels, coalesce(score, 0)::double score
+from w left join summed using (doc_id)"""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import Table, with_row, release, settled, small, sub_batches
+from loomtext.llm.common import WORD, Table, release, settled, small, sub_batches, with_row
 from loomtext.llm.components import components
 
 WIDTH = 5
@@ -327,3 +327,21 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for op6_minhash_dedup: all pairs that share a shingle, and components by reach."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '{WORD}') ws from documents),
+sets as (
+  select distinct doc_id, array_to_string(ws[i:i + {WIDTH - 1}], ' ') g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - {WIDTH - 2}, 2))) i from w where len(ws) > 0)),
+sizes as (select doc_id, count(*) n from sets group by 1),
+common as (select a.doc_id u, b.doc_id v, count(*) n from sets a join sets b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select u, v from common join sizes a on u = a.doc_id join sizes b on v = b.doc_id where 100 * common.n >= {LEAST} * (a.n + b.n - common.n)),
+edges as (select u, v from links union all select v, u from links),
+reach as (select doc_id, doc_id r from w union select reach.doc_id, edges.v from reach join edges on reach.r = edges.u),
+least as (select doc_id, min(r) component_id from reach group by 1)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, doc_id = component_id kept from w join least using (doc_id) left join sizes using (doc_id)"""

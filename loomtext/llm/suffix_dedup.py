@@ -431,3 +431,26 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for op10_suffix_dedup: every window of every document, in hexadecimal digits."""
+    return f"""
+with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) h from documents),
+bytes as (select doc_id, unnest(x) c, unnest(range(0, len(x))) i from (select doc_id, regexp_extract_all(h, '..') x from d)),
+windows as (
+  select doc_id, i, s from (
+    select doc_id, i, string_agg(c, '') over ahead s, count(*) over ahead n from bytes
+    window ahead as (partition by doc_id order by i rows between current row and {LENGTH - 1} following))
+  where n = {LENGTH}),
+first as (select s, min(doc_id) least from windows group by 1 having count(*) > 1),
+gone as (select w.doc_id, w.i, lag(w.i) over (partition by w.doc_id order by w.i) before from windows w join first f on w.s = f.s and w.doc_id > f.least),
+runs as (select doc_id, i, sum((before is null or i > before + {LENGTH})::int) over (partition by doc_id order by i) run from gone),
+spans as (select doc_id, run, min(i) a, max(i) + {LENGTH} b from runs group by 1, 2),
+cut as (select doc_id, list(a order by a) a, list(b order by a) b, sum(b - a) n_removed, count(*) n_spans from spans group by 1),
+kept as (
+  select d.doc_id, h, n_removed, n_spans,
+    case when n_spans is null then h else array_to_string(list_transform(range(0, n_spans + 1), lambda k:
+      substr(h, 2 * (case when k = 0 then 0 else b[k] end) + 1, 2 * ((case when k = n_spans then len(h) // 2 else a[k + 1] end) - (case when k = 0 then 0 else b[k] end)))), '') end rest
+  from d left join cut using (doc_id))
+select doc_id, (len(h) // 2)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(rest)) kept_sha256 from kept"""
