@@ -222,22 +222,31 @@ def listed(column: pa.Array):
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(h, around, doc, sure): each document's distinct anchors with their neighbourhoods. Where `sure`, a smaller document of the batch has the same."""
+    """(h, near, doc): each document's distinct anchors with their neighbourhoods.
+
+    near is twice the neighbourhood's name, and one more where a smaller document of the batch has the same.
+    """
 
     def run(batches):
         for whole in batches:
             for batch in sub_batches(whole, "text", BATCH_BYTES):
                 row, _, h, around, _, _, _ = anchors(texts_of(batch))
-                docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[row]
-                order = np.lexsort((docs, around, h))
-                h, around, docs = h[order], around[order], docs[order]
-                same = np.zeros(len(h), bool)
-                same[1:] = (h[1:] == h[:-1]) & (around[1:] == around[:-1])
+                docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                by_doc = np.argsort(np.argsort(docs, kind="stable"), kind="stable")[row]  # smaller documents first
+                order = np.argsort(by_doc, kind="stable")
+                h, around, docs = h[order], around[order], docs[row[order]]
+                name = _mixed(h.view(np.uint64) * BASE + around.view(np.uint64))
+                order = np.argsort(name, kind="stable")
+                name, h, around, docs = name[order], h[order], around[order], docs[order]
+                same = np.append(False, name[1:] == name[:-1])
+                first = np.flatnonzero(~same)
+                own = np.repeat(docs[first], np.diff(np.append(first, len(docs))))  # the smallest document with that neighbourhood
                 keep = ~same
                 keep[1:] |= docs[1:] != docs[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(around[keep]), pa.array(docs[keep]), pa.array(same[keep])], names=["h", "around", "doc", "sure"])
+                near = around * 2 + (own < docs)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(near[keep]), pa.array(docs[keep])], names=["h", "near", "doc"])
 
-    return docs.mapInArrow(run, "h long, around long, doc long, sure boolean")
+    return docs.mapInArrow(run, "h long, near long, doc long")
 
 
 def neighbourhoods(docs: DataFrame) -> DataFrame:
@@ -397,15 +406,16 @@ def shared_anchors(known: DataFrame) -> DataFrame:
     """(doc, h, around, whole, many) of anchors that several documents have: whether a smaller document has the same neighbourhood, else
     what is to be compared with different ones, and whether those are many."""
     seen = anchor_rows(known)
-    # Rows that are sure need no comparison; they are dealt out, so that no anchor gathers them.
-    seen = seen.withColumn("place", F.when(F.col("sure"), F.xxhash64("doc", "h", "around")).otherwise(F.col("h")))
-    seen = seen.withColumn("least", F.min("doc").over(W.partitionBy("place", "around")))
-    seen = seen.withColumn("whole", F.col("sure") | (F.col("doc") > F.col("least")))
-    of = W.partitionBy("place")
-    for name, value in (("low", F.min("doc")), ("high", F.max("doc")), ("one", F.min("around")), ("other", F.max("around")), ("kinds", F.count(F.when(~F.col("whole"), 1)))):
+    # Rows for which a smaller document is known need no comparison; they are dealt out, so that no anchor gathers them.
+    sure, dealt = F.col("near") % 2 == 1, F.col("h").bitwiseXOR(F.xxhash64("doc"))
+    seen = seen.select(F.when(sure, dealt).otherwise(F.col("h")).alias("h"), "near", "doc")
+    seen = seen.withColumn("whole", sure | (F.col("doc") > F.min("doc").over(W.partitionBy("h", "near"))))
+    of = W.partitionBy("h")
+    for name, value in (("low", F.min("doc")), ("high", F.max("doc")), ("one", F.min("near")), ("other", F.max("near")), ("kinds", F.count(F.when(~F.col("whole"), 1)))):
         seen = seen.withColumn(name, value.over(of))
     # The smallest document's neighbourhood is compared with different ones of the same anchor.
-    return seen.filter("sure or low < high and (whole or one < other)").select("doc", "h", "around", "whole", (F.col("kinds") > MANY).alias("many"))
+    seen = seen.filter(sure | F.expr("low < high and (whole or one < other)"))
+    return seen.select("doc", F.when(sure, dealt).otherwise(F.col("h")).alias("h"), F.shiftright("near", 1).alias("around"), "whole", (F.col("kinds") > MANY).alias("many"))
 
 
 def all_masks(held: DataFrame, marks: DataFrame) -> DataFrame:
