@@ -159,6 +159,51 @@ def test_language_holds_out():
     assert good / len(rows[1::2]) > 0.97
 
 
+def plain_grams(text):
+    """Counts of letter grams, one character at a time."""
+    low = [k for k in language_id.letter_classes()[[ord(c) for c in text]].tolist()] if text else []
+    kinds = [0]
+    for k in [*low, 0]:
+        if k or kinds[-1]:
+            kinds.append(k)
+    if kinds[-1]:
+        kinds.append(0)
+    found = defaultdict(int)
+    for a, b, c in zip(kinds, kinds[1:], kinds[2:]):
+        if b:
+            found[a, b, c] += 1
+    return found
+
+
+def test_language_query_against_a_plain_version(spark, tmp_path):
+    """Which rows are learned from, the bundles, the cosines and the held-out mark."""
+    rng = random.Random(12)
+    words = {"en": ["the", "house", "with", "quick"], "de": ["der", "Häuser", "mit", "schön"], "fr": ["les", "maisons", "été", "où"]}
+    rows = []
+    for i in range(120):
+        lang = ("en", "de", "fr", None)[i % 4]
+        rows.append((i, " ".join(rng.choice(words[lang or "en"]) for _ in range(rng.randint(3, 12))), lang, "s"))
+    rows += [(200, None, "en", "s"), (201, "", "de", None), (202, "12 34 !!", "fr", "s"), (203, "ß", "de", "s"), (3, "the house", "fr", "s")]
+    # Held-out rows carry false languages: whoever learns from them goes wrong.
+    rows = [(i, t, "fr" if zlib.crc32(str(i).encode()) % 4 == 2 and lang else lang, s) for i, t, lang, s in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    two, one, none = language_id.letter_vectors().astype(int)
+    vector = lambda g: sum((n * two[a] * one[b] * none[c] for (a, b, c), n in g.items()), np.zeros(language_id.SIZE, int))
+    learned = {}
+    for i, t, lang, _ in rows:
+        if t and lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned[lang] = learned.get(lang, 0) + vector(plain_grams(t))
+    got = sorted((r.doc_id, r.held_out, r.lang_pred, round(r.score, 4)) for r in language_id.op2_language_id(spark, str(tmp_path)).collect())
+    want = []
+    for i, t, _, _ in rows:
+        v = vector(plain_grams(t))
+        cosines = {k: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for k, p in sorted(learned.items())} if v.any() else {}
+        best = max(cosines, key=cosines.get) if cosines else "und"
+        want.append((i, zlib.crc32(str(i).encode()) % 4 == 2, best, round(max(cosines.get(best, 0), 0), 4)))
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)]
+    assert all(abs(a[3] - b[3]) < 2e-4 for a, b in zip(got, sorted(want)))
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_bpe(name):
     import public_tokenizers as P
@@ -176,7 +221,14 @@ def test_bpe(name):
 
 def test_bpe_rows(docs, empty):
     out = by_id(bpe.encode_decode(docs))
-    assert out[0].n_tokens == 0 and out[0].ids_sha256 == hashlib.sha256(b"").hexdigest()
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for i, t in enumerate(texts()):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert (out[i].n_tokens, out[i].ids_sha256, out[i].decoded_sha256) == (len(ids), digest(" ".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False))), i
     assert len(out) == len(texts()) and bpe.encode_decode(empty).count() == 0
 
 
@@ -259,6 +311,8 @@ def test_token_files(docs, empty, spark):
         ids = library.encode(t or "", add_special_tokens=False).ids + [token_binary.END]
         assert (out[i].start, out[i].n_tokens, out[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), i
         at += len(ids)
+    some = {r.doc_id: r.ids for r in token_binary.document_ids(files.read(), docs.filter("doc_id in (0, 9, 14, 20)").select("doc_id")).collect()}
+    assert some == {i: library.encode(texts()[i] or "", add_special_tokens=False).ids + [token_binary.END] for i in (0, 9, 14, 20)}
     files.drop()
     assert token_binary.read(token_binary.write(empty).read()).count() == 0
 
@@ -268,7 +322,20 @@ def test_blocks_round_trip(seed):
     rng = np.random.default_rng(seed)
     size = int(rng.integers(0, 3000))
     ids = [rng.integers(0, 50_000, size), rng.integers(0, 2**32, size), np.full(size, 2**32 - 1), np.where(rng.random(size) < 0.05, 2**32 - 1, rng.integers(0, 9, size))][seed % 4].astype(np.uint32)
-    assert (token_binary.unpack(token_binary.pack(ids)) == ids).all()
+    payload = token_binary.pack(ids)
+    assert (token_binary.unpack(payload) == ids).all()
+    for _ in range(5):
+        a, b = sorted(int(x) for x in rng.integers(0, size + 1, 2))
+        assert (token_binary.unpack(payload, a, b) == ids[a:b]).all()
+
+
+def test_words_are_cut_as_the_library_does():
+    import public_tokenizers as P
+
+    tool, rng = token_binary.LibraryEncoder(P.path("byte_bpe_50k.json")), random.Random(3)
+    pool = "aé bß1²9 '  \n\tsdmtlvre\"-.\x85\u0130日"
+    more = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [t or "" for t in texts()] + ["", "it's", "'sword 'll'llama", " 's ''s"]
+    assert [x.tolist() for x in tool.encode_all(more)] == [x.ids for x in tool.tokenizer.encode_batch(more, add_special_tokens=False)]
 
 
 def test_licenses(docs, empty):
