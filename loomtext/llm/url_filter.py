@@ -4,11 +4,12 @@ A rule `host/path` fits its host and all subdomains where the path starts with t
 its last label and, at every label that ends a rule's host, the path by segments; the walk that gets furthest wins: more host
 labels first, then more of the path. Of an allow and a block rule for the same host and path, the block rule wins.
 
-The trie travels to the executors as a broadcast variable, which is why its size is limited to MAX_RULES; `judge_by_join` takes
-any number of rules and joins each URL's own host suffixes and path prefixes with them.
+The trie travels to the executors as a broadcast variable, up to MAX_RULES rules and MAX_BYTES of their texts. More rules are joined
+with each URL's own host suffixes and path prefixes (`judge_by_join`), with the same result.
 
-Cases: a null URL or one without `://` has an empty host and path and gets the default verdict; repeated rows are judged each; an
-empty table gives an empty result; only the two named columns are read.
+Cases: a null URL or one without `://` has an empty host and path and gets the default verdict; of equal rules the block rule wins;
+repeated rows are judged each; URLs of any length are judged whole; an empty table gives an empty result; only the two named columns
+are read.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtext.llm.common import small
+
 #: (rule, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DEFAULT = "allow"
-#: A rule takes about a kilobyte in the trie at worst.
-MAX_RULES = 500_000
+#: What is broadcast at most; a rule takes some 500 bytes in the trie besides its text.
+MAX_RULES, MAX_BYTES = 100_000, 16 << 20
 UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -42,9 +45,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 def build_trie(rules: Iterable[tuple[str, str]]) -> dict:
     """Label -> (deeper labels, path node); a path node maps segments to path nodes and None to {tail: (rule, verdict)}."""
     trie: dict = {}
-    for count, (rule, verdict) in enumerate(rules):
-        if count >= MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} rules; use judge_by_join")
+    for rule, verdict in rules:
         host, slash, path = rule.partition("/")
         node, held = trie, {}
         for label in reversed(host.translate(UPPER).split(".")):
@@ -67,10 +68,8 @@ def longest(trie: dict, host: str, path: str) -> tuple[str, str] | None:
             break
         node, paths = node[label]
         for segment in segments:
-            fits = [t for t in paths.get(None, ()) if segment.startswith(t)]
-            if fits:
-                here = paths[None][max(fits, key=len)]
-                best = here
+            tails = paths.get(None, {})
+            best = next((tails[segment[:k]] for k in range(len(segment) if tails else -1, -1, -1) if segment[:k] in tails), best)
             paths = paths.get(segment)
             if paths is None:
                 break
@@ -79,6 +78,9 @@ def longest(trie: dict, host: str, path: str) -> tuple[str, str] | None:
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, default: str = DEFAULT, key: str = "page_id") -> DataFrame:
     """key, host, path, rule and verdict of each row's url."""
+    rules = list(rules)
+    if len(rules) > MAX_RULES or sum(len(rule) for rule, _ in rules) > MAX_BYTES:
+        return judge_by_join(pages, pages.sparkSession.createDataFrame(rules, "rule string, verdict string"), default, key)
     trie = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
     kind = pages.schema[key].dataType.simpleString()
 
@@ -101,11 +103,14 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, ke
     rows = rows.withColumn("host", F.translate(F.regexp_extract("rest", r"^([^/]*)", 1), upper, lower)).withColumn("path", F.regexp_extract("rest", r"^[^/]*((?:/[\s\S]*)?)$", 1))
     labels = F.split("host", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), "."))
-    prefix = F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.col("path").substr(F.lit(1), k))
+    # Only prefixes as long as some rule's path: a list no longer than the longest rule.
+    lengths = F.array(*[F.lit(r.n) for r in rules.select(F.length(F.regexp_extract("rule", r"^[^/]*((?:/[\s\S]*)?)$", 1)).alias("n")).distinct().collect()]).cast("array<int>")
+    prefix = F.transform(F.filter(lengths, lambda k: k <= F.length("path")), lambda k: F.col("path").substr(F.lit(1), k))
     keys = rows.select("n", "path", F.explode(suffix).alias("s"), F.lit(prefix).alias("p")).select("n", "s", F.explode("p").alias("p"))
     keys = keys.select("n", F.concat("s", "p").alias("k"), F.size(F.split("s", r"\.")).alias("labels"), F.length("p").alias("chars"))
     normal = F.concat(F.translate(F.regexp_extract("rule", r"^([^/]*)", 1), upper, lower), F.regexp_extract("rule", r"^[^/]*((?:/[\s\S]*)?)$", 1))
     one = rules.withColumn("k", normal).groupBy("k").agg(F.max_by(F.struct("rule", "verdict"), F.col("verdict") == "block").alias("r"))
+    one = F.broadcast(one) if small(one, MAX_RULES) else one
     best = keys.join(one, "k").groupBy("n").agg(F.max_by("r", F.struct("labels", "chars")).alias("r"))
     out = rows.join(best, "n", "left")
     return out.select(key, "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.lit(default)).alias("verdict"))
