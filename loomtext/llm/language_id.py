@@ -11,8 +11,8 @@ Letters are Unicode letters in lower case. a to z have classes of their own, all
 character ends a word, and grams reach across one such end, so that starts and ends of words count.
 
 Cases: a null text and one without letters are `und` with score 0; so is every text if nothing can be learned; rows with a null
-language teach nothing; repeated rows are judged each; an empty table gives an empty result; lang, source and doc_id never enter a
-prediction.
+language teach nothing; of equal cosines the first language by name wins; repeated rows are judged each; texts of any length are read
+whole; an empty table gives an empty result; lang, source and doc_id never enter a prediction.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ CLASSES, OWN = 64, 27
 GRAMS = CLASSES**3
 SEED = 20_240
 BATCH_BYTES = 1 << 20
-#: Languages whose prototypes are broadcast, SIZE numbers each.
-MAX_LANGUAGES = 2_000
+#: Languages whose prototypes are broadcast, SIZE numbers each: more than there are known. TOGETHER of them are counted at once in a task.
+MAX_LANGUAGES, TOGETHER = 10_000, 64
 
 
 @cache
@@ -89,20 +89,27 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
+
+        def closed():
+            for lang, total in sums.items():
+                used = np.flatnonzero(total)
+                vector = np.zeros(SIZE)
+                for k in range(0, len(used), 4096):
+                    vector += total[used[k : k + 4096]] @ gram_vectors(used[k : k + 4096]).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * SIZE, pa.string()), pa.array(range(SIZE), pa.int32()), pa.array(vector.astype(np.int64))], names=["lang", "place", "sum"])
+            sums.clear()
+
         for whole in batches:
             for batch in sub_batches(whole, "text", BATCH_BYTES):
                 texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist(), object)
                 rows, grams, counts, _ = gram_counts(texts)
                 for lang in set(langs.tolist()):
+                    if lang not in sums and len(sums) >= TOGETHER:
+                        yield from closed()
                     here = langs[rows] == lang
                     total = sums.setdefault(lang, np.zeros(GRAMS, np.int64))
                     np.add.at(total, grams[here], counts[here])
-        for lang, total in sums.items():
-            used = np.flatnonzero(total)
-            vector = np.zeros(SIZE)
-            for k in range(0, len(used), 4096):
-                vector += total[used[k : k + 4096]] @ gram_vectors(used[k : k + 4096]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * SIZE, pa.string()), pa.array(range(SIZE), pa.int32()), pa.array(vector.astype(np.int64))], names=["lang", "place", "sum"])
+        yield from closed()
 
     parts = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(bundle, "lang string, place int, sum long")
     sums = parts.groupBy("lang", "place").agg(F.sum("sum").alias("sum")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "sum"))).alias("v"))
