@@ -9,7 +9,8 @@ Text is cut into words first, by the pattern in the tokenizer's file, after the
 once per batch of documents. Decoding gathers bytes from one blob of all tokens by the offsets of the ids.
 
 Cases: a null text is encoded as an empty one: no ids and an empty decoded text; special tokens' strings in a text become their ids,
-as in the library; texts of any length are encoded whole; repeated rows are encoded each; other columns are not read.
+as in the library; texts of any length are encoded whole; repeated rows are encoded each, ties do not arise; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -112,15 +113,19 @@ class Merges:
                 return True
 
     def encode(self, letters: str) -> list[int]:
-        """The ids of one word. Letters without a token are left out."""
-        word = self.word(letters)
+        """The ids of one word. Letters without a token are left out, and their neighbours meet."""
+        return self._encode(self.word(letters))
+
+    def _encode(self, word: str) -> list[int]:
+        if not word:
+            return []
         at = self._longest(word)
         out: list[int] = []
         alive, place, size = bytearray(b"\1") * (len(word) + 1), 0, len(word)
         token, fits = at[0], self.fits
         while place < size:
             if token is None:  # a letter that the vocabulary lacks
-                return self.encode_around(word)
+                return self._encode("".join(c for c in word if c in self.ids))
             last = out[-1] if out else -1
             while True:
                 end = place + self.size[token]
@@ -144,17 +149,6 @@ class Merges:
                         token = self.prefix(token)
         return out
 
-    def encode_around(self, word: str) -> list[int]:
-        known = re.split("|".join(map(re.escape, {c for c in word if c not in self.ids})), word)
-        return [i for piece in known if piece for i in self._bare(piece)]
-
-    def _bare(self, piece: str) -> list[int]:
-        end, self.end = self.end, ""
-        try:
-            return self.encode(piece)
-        finally:
-            self.end = end
-
     def _longest(self, word: str) -> list:
         """The longest token that starts at each place of the word."""
         at: list = [None] * len(word)

@@ -1,4 +1,8 @@
-"""Connected components by alternating star operations: joins and minima only, lineage cut after each round."""
+"""Connected components by alternating star operations: joins and minima only, lineage cut after each round.
+
+Cases: links of a node with itself and repeated links add nothing; nodes without links to others are not in the result; without
+edges it is empty.
+"""
 
 from __future__ import annotations
 

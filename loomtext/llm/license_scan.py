@@ -8,8 +8,9 @@ mandatory as a whole.
 
 Only counts per licence word reach the driver: a list as long as the templates' vocabulary.
 
-Cases: a null text is empty and has no words, places or labels and score 0; repeated rows are scanned each; an empty table gives an
-empty result; other columns are not read.
+Cases: a null text is empty and has no words, places or labels and score 0; words of equal frequency are looked up in their own order,
+which changes no result; repeated rows are scanned each; texts of any length are scanned whole; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
