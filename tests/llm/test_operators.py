@@ -113,6 +113,22 @@ def test_mixing(docs, empty):
     assert sorted(x for x in map(str, mixed.collect()) if x in want) == sorted(want)
 
 
+def test_more_rules_than_are_broadcast(spark, monkeypatch):
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 2)))
+    host = lambda: ".".join(name() for _ in range(rng.randint(1, 3)))
+    path = lambda: "".join("/" + name() for _ in range(rng.randint(0, 3))) + rng.choice(("", "/"))
+    rules = [(host() + (path() or "/"), rng.choice(("allow", "block"))) for _ in range(60)]
+    pages = spark.createDataFrame([(i, "h://" + host() + path()) for i in range(300)], "page_id long, url string")
+    want = sorted(map(str, url_filter.judge(pages, rules).collect()))
+    monkeypatch.setattr(url_filter, "MAX_RULES", 10)
+    assert sorted(map(str, url_filter.judge(pages, rules).collect())) == want
+    fits = lambda r, h, p: (h == r.partition("/")[0] or h.endswith("." + r.partition("/")[0])) and p.startswith("/" + r.partition("/")[2])
+    for r in url_filter.judge(pages, rules).collect():
+        best = max(((x.partition("/")[0].count("."), len(x), v == "block") for x, v in rules if fits(x, r.host, r.path)), default=None)
+        assert (best is None) == (r.rule is None) and (best is None or (r.rule.partition("/")[0].count("."), len(r.rule), r.verdict == "block") == best)
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://a.example.net/en/x", "http://example.net/en", "HTTPS://EXAMPLE.NET/fr", "http://x.net", "http://x.net/?q", "ftp://b.org/fr/", "http://org/fr/1", "http://myexample.com/de/", "http://Example.com/de/a://b", "x://#", "http://a.b?c/d"]
     pages = spark.createDataFrame([(i, u, 3) for i, u in enumerate(urls)], "page_id long, url string, rule int")
@@ -219,6 +235,17 @@ def test_bpe(name):
         assert own.decode(own.encode(t)).decode() == library.decode(ids, skip_special_tokens=False)
 
 
+def test_letters_without_a_token():
+    from tokenizers import Tokenizer, models
+
+    vocab = {t: i for i, t in enumerate(["a", "b", "c</w>", "b</w>", "ab", "abc</w>"])}
+    merges = [("a", "b"), ("ab", "c</w>")]
+    library = Tokenizer(models.BPE(vocab, merges, end_of_word_suffix="</w>"))
+    own = bpe.Merges(vocab, merges, "</w>")
+    for word in ("abc", "axbc", "abx", "xab", "axxb", "x", "abxc"):
+        assert own.encode(word) == library.encode(word).ids, word
+
+
 def test_bpe_rows(docs, empty):
     out = by_id(bpe.encode_decode(docs))
     import public_tokenizers as P
