@@ -16,7 +16,7 @@ SYMBOL = r"[=|_\\/*+\-()]"
 FORMULA = r"(?:\b[A-Za-z]+_[A-Za-z]+\b|\b[A-Za-z]\([^)]*\)|\bsum\(|\bprod(?:uct)?\b|\b[DQMP]_[A-Z]+\b)"
 MATH = r"\[MATH_\d{3}\]"
 PURE_MATH = r"^\s*(?:\[MATH_\d{3}\](?:\s*(?:,|and|or)?\s*)?)+[.:;]?\s*$"
-MATH_NOTE = r"(?i)^\s*(?:where|here|with)\s+\[MATH_\d{3}\](?:\b|$|\W)"
+MATH_NOTE = r"(?i)^\s*(?:where|here|with)\s+\[MATH_\d{3}\]\b"
 CITATION_KEY = r"^[A-Za-z]+\d{4}[a-z]?$"
 LINE_BREAK = r"^\s*\\{1,2}\s*$"
 LONGEST_TITLE, TITLE_WORDS, LONGEST_EQUATION, MATH_SHARE, SHORT_WORD = 120, 12, 220, 0.4, 30

@@ -167,7 +167,7 @@ def test_similarity(spark):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("short", "too_short"), ("# A heading that is long enough to pass the shortest length", "title_like"), ("where [MATH_001] denotes the thing that we look at all day", "math_heavy"),
+    [("short", "too_short"), ("# A heading that is long enough to pass the shortest length", "title_like"), ("where [MATH_001]s denote the thing that we look at all day", "math_heavy"), ("where [MATH_001] denotes the thing that we look at all day", None),
      ("f(x) = a_b * c_d + e_f - g_h and so on for a while longer here", "equation_like"), ("An ordinary sentence that is long enough to be rewritten by anyone.", None)],
 )
 def test_policy(spark, text, want):
