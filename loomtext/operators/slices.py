@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# The dimensions of experiments.
+DIMENSIONS = ("detector", "document_format", "domain", "intensity_bucket", "operator", "source_class", "source_model")
 BINS = 10
 TARGET_FPR = 0.05
 
@@ -22,6 +24,13 @@ def sliced(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     return rows.select("k.dimension", "k.value", "y", "score")
 
 
+def legal(dimensions: list[str]) -> list[str]:
+    """The dimensions of an experiment, with an error for one that experiments do not have."""
+    if odd := [d for d in dimensions if d not in DIMENSIONS]:
+        raise ValueError(f"invalid dimension {odd[0]!r}; valid ones are {', '.join(DIMENSIONS)}")
+    return dimensions
+
+
 def curve(cut: DataFrame) -> DataFrame:
     """Per slice and distinct score, highest first: positives and negatives at it and up to it, and in all."""
     counts = cut.groupBy("dimension", "value", "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Formats by file ending.
-FORMATS = {"tex": "latex", "latex": "latex", "ltx": "latex", "md": "markdown", "markdown": "markdown", "mkd": "markdown", "txt": "plaintext", "text": "plaintext"}
+FORMATS = {"tex": "latex", "latex": "latex", "ltx": "latex", "md": "markdown", "markdown": "markdown", "txt": "plaintext", "text": "plaintext"}
 SAMPLE = "sample_id string, split string, domain string, source_class string, source_model string, document_format string, text string, metadata map<string,string>"
 DETECTION = (
     "record_id string, sample_id string, transform_id string, detector_name string, score double, confidence double, threshold double, predicted_label string, "
@@ -24,11 +24,24 @@ def format_of(path: Column) -> Column:
     return F.try_element_at(names, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))
 
 
+def required_format(path: Column) -> Column:
+    """The same, with an error for other endings."""
+    found = format_of(path)
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no format for "), path)))
+
+
+def some(rows: DataFrame, path: str, what: str) -> DataFrame:
+    """The rows, or an error if there are none: a path that holds nothing is most likely a wrong one."""
+    if rows.isEmpty():
+        raise ValueError(f"no {what} below {path}")
+    return rows
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, format, text and content hash of every document below a folder."""
+    """path, format, text and content hash of every document below a folder; none at all is an error."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     out = files.withColumn("format", format_of(F.col("path"))).filter("format is not null")
-    return out.withColumn("digest", F.sha2("text", 256))
+    return some(out, path, "documents").withColumn("digest", F.sha2("text", 256))
 
 
 def checked(df: DataFrame) -> DataFrame:
@@ -48,11 +61,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = SAMPLE) -> DataFram
 
 
 def read_corpus(spark: SparkSession, path: str, split: str = "test", document_format: str = "plaintext") -> DataFrame:
-    """Samples from domain/source_class/*.txt, named by their paths."""
+    """Samples from domain/source_class/*.txt, named by their paths; none at all is an error."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
     parts = F.split(F.col("_metadata.file_path"), "/")
     rows = files.select(F.sha2(F.col("_metadata.file_path"), 256).alias("sample_id"), F.lit(split).alias("split"), F.element_at(parts, -3).alias("domain"), F.element_at(parts, -2).alias("source_class"), F.lit(document_format).alias("document_format"), F.col("value").alias("text"))
-    return checked(rows)
+    return checked(some(rows, path, "texts"))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -65,8 +78,14 @@ def metrics_rows(metrics: DataFrame) -> DataFrame:
     return metrics.select(*[four(c) if t in ("double", "float") else F.col(c) for c, t in metrics.dtypes])
 
 
+# The columns of a metrics file, in order.
+METRIC_COLUMNS = ("dimension", "value", "n_samples", "auroc", "auprc", "tpr_at_fpr5", "human_fpr", "mean_score_human", "mean_score_ai", "calibration_error")
+
+
 def write_metrics_csv(metrics: DataFrame, path: str) -> None:
-    metrics_rows(metrics).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
+    """A CSV file of METRIC_COLUMNS, sorted: one row per slice, so it is small."""
+    rows = metrics_rows(metrics.select(*METRIC_COLUMNS)).orderBy(F.col("dimension") != "overall", "dimension", "value")
+    rows.coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
 
 def text_report(chunks: DataFrame) -> DataFrame:
@@ -93,3 +112,11 @@ def summary_markdown(metrics: DataFrame) -> str:
         out += [f"## {dim}", "| value | " + " | ".join(names) + " |", "|---" * (len(names) + 1) + "|"]
         out += ["| " + " | ".join([r.value, *("" if r[n] is None else str(r[n]) for n in names)]) + " |" for r in rows if r.dimension == dim] + [""]
     return "\n".join(out)
+
+
+def write_results(detections: DataFrame, metrics: DataFrame, folder: str) -> None:
+    """What an experiment leaves: detections as JSON lines, metrics as CSV, and their tables in Markdown."""
+    write_jsonl(detections, f"{folder}/detections.jsonl")
+    write_metrics_csv(metrics, f"{folder}/metrics.csv")
+    summary = summary_markdown(metrics.select(*METRIC_COLUMNS))
+    metrics.sparkSession.createDataFrame([(summary,)], "text string").coalesce(1).write.mode("overwrite").text(f"{folder}/summary.md")

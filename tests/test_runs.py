@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import signals
-from loomtext.operators import documents, reports
-from loomtext.sources import settings
+from loomtext.operators import documents, reports, slices
+from loomtext.sources import files, settings
 
 TEX = "\\documentclass{article}\n\\begin{document}\n\\section{Start here}\nFirst words with $x+1$.\n\nSecond \\emph{part}.\n\\begin{equation}y\\end{equation}\n\\end{document}\n"
 MD = "---\nkey: 1\n---\n\n# Title\n\nOne line\nand more.\n\n```\ncode\n```\n\n- a\n- b\n"
@@ -151,3 +151,35 @@ def test_run_reports(spark):
     for kind, say in (("pdf", "unknown"), ("json", "need rewrites")):
         with pytest.raises(ValueError, match=say):
             reports.report(kind, docs, chunks, detections)
+
+
+def test_results_of_an_experiment(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.9, "law"), (0, 0.2, "law"), (1, 0.7, "web"), (0, 0.8, None)], "y int, score double, domain string")
+    metrics = slices.slice_metrics(rows, slices.legal(["domain"]))
+    detections = spark.createDataFrame([("r1", "s1", "d", 0.5, "ambiguous")], "record_id string, sample_id string, detector_name string, score double, predicted_label string")
+    files.write_results(detections, metrics, f"file://{tmp_path}/out")
+    (part,) = Path(f"{tmp_path}/out/metrics.csv").glob("part-*.csv")
+    lines = part.read_text().splitlines()
+    assert lines[0] == "dimension,value,n_samples,auroc,auprc,tpr_at_fpr5,human_fpr,mean_score_human,mean_score_ai,calibration_error"
+    assert [x.split(",")[:4] for x in lines[1:]] == [["overall", "all", "4", "0.7500"], ["domain", "law", "2", "1.0000"], ["domain", "web", "1", ""]]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/out/summary.md").collect()][0] == "## overall"
+    back = files.read_jsonl(spark, f"{tmp_path}/out/detections.jsonl", files.DETECTION).first()
+    assert (back.record_id, back.score, back.predicted_label) == ("r1", 0.5, "ambiguous")
+    with pytest.raises(ValueError, match="invalid dimension 'lang'"):
+        slices.legal(["domain", "lang"])
+
+
+def test_bad_inputs(spark, tmp_path):
+    Path(f"{tmp_path}/empty").mkdir()
+    Path(f"{tmp_path}/empty/x.pdf").write_text("no document")
+    for read in (files.read_documents, files.read_corpus):
+        with pytest.raises(ValueError, match="below"):
+            read(spark, f"{tmp_path}/empty")
+    with pytest.raises(Exception, match="no format for /x/a.mkd"):
+        spark.range(1).select(files.required_format(F.lit("/x/a.mkd"))).collect()
+    Path(f"{tmp_path}/bad.jsonl").write_text('\n{"record_id": "r", "score": 0.5, "predicted_label": "human"}\n{"record_id": "q", "score": 1.5, "predicted_label": "human"}\n')
+    with pytest.raises(Exception, match="bad score: 1.5"):
+        files.read_jsonl(spark, f"{tmp_path}/bad.jsonl", files.DETECTION).collect()
+    Path(f"{tmp_path}/worse.jsonl").write_text('{"record_id": \n')
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED|malformed"):
+        files.read_jsonl(spark, f"{tmp_path}/worse.jsonl", files.DETECTION).collect()
