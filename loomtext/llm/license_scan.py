@@ -39,6 +39,13 @@ TEMPLATES = (
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "subject to the terms of the mozilla public license", "mpl"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "licensed under a creative commons attribution", "cc-by"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license", "agpl"),
+    ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "free and unencumbered software released into the public domain", "unlicense"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "free of charge to any person or organization obtaining a copy of the software", "bsl"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "under the terms of the eclipse public license", "epl"),
+    ("to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", "all copyright and related and neighboring rights to this software to the public domain", "cc0"),
+    ("everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", "verbatim or modified copies of this license document", "wtfpl"),
 )
 #: Least share of a template's words in place.
 LEAST = 0.6

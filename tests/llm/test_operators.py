@@ -401,6 +401,28 @@ def test_all_notices_in_one_text(rare):
     assert labels.split(",") == sorted(label for _, _, label in license_scan.TEMPLATES) and score == 1.0
 
 
+def test_license_table_against_a_plain_version(spark):
+    """Labels and score of every row of a table in which all texts hold one notice and some hold others, whole or in part."""
+    rng, rows = random.Random(10), []
+    common = license_scan.TEMPLATES[0][0]
+    for i in range(150):
+        parts = [rng.choice(license_scan.TEMPLATES)[0].split() for _ in range(rng.randint(0, 3))]
+        parts = [" ".join(w if rng.random() > 0.03 else "other" for w in p[rng.choice((0, 0, 4)) :]) for p in parts]
+        rows.append((i, "; ".join(["Some words", common.upper(), *parts, rng.choice(("", "CC-BY, MIT License", "cc by"))])))
+    out = by_id(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, t in rows:
+        ws, best, labels = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()), 0.0, set()
+        for text, phrase, label in [(p, p, x) for p, x in license_scan.BASE.items()] + list(license_scan.TEMPLATES):
+            full, key = text.split(), phrase.split()
+            at = next(k for k in range(len(full)) if full[k : k + len(key)] == key)
+            for k in range(len(ws)):
+                there = sum(k - at + n in range(len(ws)) and ws[k - at + n] == w for n, w in enumerate(full)) / len(full)
+                if ws[k : k + len(key)] == key and there >= license_scan.LEAST:
+                    labels.add(label)
+                    best = max(best, there)
+        assert "mit" in labels and (out[i].labels, out[i].score) == (",".join(sorted(labels)), best), i
+
+
 def test_places_are_intersected():
     index = license_scan.Index({w: 0 for w in license_scan.vocabulary()}, 100_000)
     number = next(i for i, x in enumerate(index.templates) if x[3] == "mpl")
@@ -413,7 +435,7 @@ def test_places_are_intersected():
 def test_places_against_all_starts():
     rng = random.Random(8)
     for _ in range(200):
-        parts = [license_scan.TEMPLATES[rng.randrange(8)][0].split() for _ in range(rng.randint(1, 4))]
+        parts = [rng.choice(license_scan.TEMPLATES)[0].split() for _ in range(rng.randint(1, 4))]
         words = [w for p in parts for w in p[rng.choice((0, 0, 3)) : rng.choice((None, None, -4))] if rng.random() > 0.01]
         ws, best, labels = [w.encode() for w in words], 0.0, set()
         for text, phrase, label in [(p, p, x) for p, x in license_scan.BASE.items()] + list(license_scan.TEMPLATES):
