@@ -43,8 +43,8 @@ BUCKET_BYTES = 24 << 20
 #: Files that a bucketed table may get; beyond it texts are dealt to their buckets first.
 MOST_FILES = 20_000
 IDS_BROADCAST = 1_000_000
-#: Neighbourhoods whose suffixes are sorted together at least, and most of one anchor: some 6 KB of memory each.
-TOGETHER, MANY = 8_192, 8_192
+#: Neighbourhoods whose suffixes are sorted together at least, and most of one anchor: at some 6 KB each that is 200 MB of memory.
+TOGETHER, MANY = 8_192, 32_768
 ALL = (1 << (LEFT + 1)) - 1
 
 _U = np.uint64
