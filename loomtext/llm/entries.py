@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import bpe, chat_format, fill_middle, language_id, license_scan, minhash_dedup, quality_rules, source_mixing, suffix_dedup, token_binary, topk_search, url_filter
+from loomtext.llm import bpe, chat_format, fill_middle, language_id, license_scan, minhash_dedup, quality_rules, source_mixing, suffix_dedup, token_align, token_binary, topk_search, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_topk_search": topk_search.op9_topk_search,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_token_align": token_align.op11_token_align,
         "op12_chat_format": chat_format.op12_chat_format,
         "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
     }
