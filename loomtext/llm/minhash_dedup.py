@@ -6,7 +6,8 @@ of its own in which all shingles fall into it. So all coordinates are filled, af
 probability and concentration as needed for banding: two sets with similarity 0.75 share none of the 46 bands of 5 coordinates with
 probability 4e-6.
 
-Texts with equal sets are one class, found by a fingerprint; only its smallest doc_id goes on. Bands are worked through in steps. In
+Texts with equal sets are one class, found by a fingerprint of 128 bits. Its parts are digests of words, which are told apart by their
+bytes, so no polynomial hash stands for identity; only its smallest doc_id goes on. Bands are worked through in steps. In
 each bucket of equal bands the most central member (the one with the most bucket mates over all bands) is compared with those that are
 not linked with it yet, over one or two links; what is linked is then known before the next step, so a large group of near copies
 costs a few comparisons a member. Pairs of open buckets that are left are found by rare shingles and bounds (`what_is_left`), so no link is lost and members of
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtext.llm import words
 from loomtext.llm.common import WORD, Table, release, settled, small, sub_batches, with_row
 from loomtext.llm.components import components
 
@@ -53,8 +55,6 @@ _rng = np.random.default_rng(75)
 BYTES = _rng.integers(1, 2**63, 256, np.uint64)
 MIXERS = _rng.integers(1, 2**63, WIDTH + 1, np.uint64) | _U(1)
 SEEDS = _rng.integers(1, 2**63, 2 * COORDINATES, np.uint64)
-BASE = _U(0x9E3779B97F4A7C15)
-INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -64,43 +64,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit numbers of each word, from the BLAKE2 digest of its bytes. Each distinct word is digested once."""
+    first, number = words.distinct(data, starts, ends, words.names(BYTES[data], starts, ends))
+    buffer, digest = data.tobytes(), hashlib.blake2b
+    found = b"".join([digest(buffer[a:b], digest_size=16).digest() for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+    return np.ascontiguousarray(np.frombuffer(found, np.uint64).reshape(-1, 2)[number].T)
 
 
-def powers(size: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, as many as the longest buffer so far."""
-    if len(_powers[0]) < size:
-        for k, b in enumerate((BASE, INVERSE)):
-            row = np.full(size, b, np.uint64)
-            row[0] = 1
-            _powers[k] = np.multiply.accumulate(row)
-    return _powers
+def shingle_hashes(texts: list[bytes], prints: bool = False) -> list:
+    """The sorted distinct hashes of each lower-cased text's shingles; with prints, pairs of them and of a digest of the set.
 
-
-def shingle_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct hashes of each lower-cased text's shingles."""
-    buffer = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(buffer, np.uint8)
+    The digest is taken over a second, independent hash of each shingle too, so that equal digests stand for equal sets.
+    """
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     edges = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    up, down = powers(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[data] * up[: len(data)])])
-    words = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    found = word_digests(data, starts, ends)
     bounds = np.cumsum([len(t) + 1 for t in texts])
     firsts = np.searchsorted(starts, np.concatenate([[0], bounds]))
-    every = np.zeros(max(len(words) - WIDTH + 1, 0), np.uint64)
-    for k in range(WIDTH if len(every) else 0):
-        every += words[k : k + len(every)] * MIXERS[k]
+    every = np.zeros((2, max(len(starts) - WIDTH + 1, 0)), np.uint64)
+    for k in range(WIDTH if every.size else 0):
+        every += found[:, k : k + every.shape[1]] * MIXERS[k]
     every = mixed(every)
     out = []
     for a, b in zip(firsts[:-1], firsts[1:]):
         if b - a >= WIDTH:
-            out.append(np.unique(every[a : b - WIDTH + 1]))
+            mine = every[:, a : b - WIDTH + 1]
         elif b > a:
-            out.append(mixed((words[a:b] * MIXERS[: b - a]).sum(keepdims=True, dtype=np.uint64) + MIXERS[WIDTH] * _U(b - a)))
+            mine = mixed((found[:, a:b] * MIXERS[: b - a]).sum(axis=1, keepdims=True, dtype=np.uint64) + MIXERS[WIDTH] * _U(b - a))
         else:
-            out.append(np.zeros(0, np.uint64))
+            mine = np.zeros((2, 0), np.uint64)
+        hashes, place = np.unique(mine[0], return_index=True)
+        out.append((hashes, hashlib.blake2b(hashes.tobytes() + mine[1][place].tobytes(), digest_size=16).digest()) if prints else hashes)
     return out
 
 
@@ -124,7 +121,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 def band_keys(bins: np.ndarray) -> np.ndarray:
     key = np.arange(BANDS, dtype=np.uint64)
     for column in bins.reshape(BANDS, ROWS).T:
-        key = mixed(key * BASE + column)
+        key = mixed(key * words.BASE + column)
     return key.view(np.int64)
 
 
@@ -134,8 +131,8 @@ def described(docs: DataFrame) -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in sub_batches(whole, "text", BATCH_BYTES):
-                sets = shingle_hashes([(t or "").encode().lower() for t in batch.column("text").to_pylist()])
-                prints = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+                sets, digests = zip(*shingle_hashes([(t or "").encode().lower() for t in batch.column("text").to_pylist()], prints=True))
+                prints = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 known: dict = {}  # copies in a batch are sketched once
                 keys = []
                 for s, p in zip(sets, prints.tolist(), strict=True):

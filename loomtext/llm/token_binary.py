@@ -14,7 +14,7 @@ The files are a Parquet table in the shared folder, one row per segment with its
 whole when executors are lost, and any file system that Spark reaches will do.
 
 Ids come from the tokenizers library. A batch is cut into words at once, each distinct word is looked up, and the library encodes those
-not seen before; texts with special tokens' strings or letters beyond the Latin ones go to it as they are. Id END follows each document.
+not seen before (words are told apart by their characters, not by hashes alone); texts with special tokens' strings or letters beyond the Latin ones go to it as they are. Id END follows each document.
 
 Cases: a null text is an empty one and has only the end id; a null doc_id comes first; rows that share a doc_id follow each other in
 the order of their texts' hashes; an empty table gives an empty result; other columns are not read. doc_id is a whole number. Texts of any length are encoded whole; a
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe
+from loomtext.llm import bpe, words
 from loomtext.llm.common import Table, settled, sub_batches
 
 BLOCK = 256
@@ -138,42 +138,42 @@ class LibraryEncoder(bpe.Encoder):
         super().__init__(path)
         rng = np.random.default_rng(7)
         self.values = rng.integers(1, 2**63, len(KINDS), np.uint64)
-        self.up = self.down = np.zeros(0, np.uint64)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         whole = [bool(bpe.BEYOND_LATIN.search(t) or (self.cut and self.cut.search(t))) for t in texts]
         kept = [t for t, w in zip(texts, whole, strict=True) if not w]
         lengths = np.array([len(t) for t in kept], np.int64)
         joined = "".join(kept)
-        starts, names = self.cut_words(joined, np.cumsum(lengths))
-        _, first, number = np.unique(names, return_index=True, return_inverse=True)
-        begin, end = starts[first].tolist(), np.append(starts, len(joined))[first + 1].tolist()
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = self.cut_words(joined, points, np.cumsum(lengths))
+        ends = np.append(starts[1:], len(points)) if len(starts) else starts
+        first, number = words.distinct(points, starts, ends, words.names(self.values[points], starts, ends))
+        begin, end = starts[first].tolist(), ends[first].tolist()
         distinct = [joined[a:b] for a, b in zip(begin, end)]
         self.learn(distinct)
         table = bpe.Offsets(list(map(self.memory.__getitem__, distinct)))
         ids = np.frombuffer(table.gather(number), np.uint32) if len(number) else np.zeros(0, np.uint32)
-        ends = np.concatenate([[0], np.cumsum(table.size[number] // 4)])[np.searchsorted(starts, np.cumsum(lengths))] if len(number) else np.zeros(len(kept), np.int64)
-        parts = iter(np.split(ids, ends[:-1])) if kept else iter(())
+        stops = np.concatenate([[0], np.cumsum(table.size[number] // 4)])[np.searchsorted(starts, np.cumsum(lengths))] if len(number) else np.zeros(len(kept), np.int64)
+        parts = iter(np.split(ids, stops[:-1])) if kept else iter(())
         out = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else next(parts) for t, w in zip(texts, whole, strict=True)]
         self.memory.trim(WORDS_HELD)
         return out
 
-    def learn(self, words: list[str]) -> None:
-        unseen = [w for w in words if w not in self.memory]
+    def learn(self, some: list[str]) -> None:
+        unseen = [w for w in some if w not in self.memory]
         found = self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False) if unseen else ()
         for word, x in zip(unseen, found, strict=True):
             self.memory[word] = array("I", x.ids).tobytes()
 
-    def cut_words(self, text: str, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the words of texts that lie end to end start, and a 64-bit name of each: the byte-level rule for Latin letters.
+    def cut_words(self, text: str, points: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Where the words of texts that lie end to end start: the byte-level rule for Latin letters.
 
         A word is a run of letters, digits or other characters with the blank before it; of more white space the last character stands
         apart from the others, and an apostrophe that starts a word takes a contraction's letters with it.
         """
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         size = len(points)
         if not size:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64)
         kinds = KINDS[points]
         fresh = np.zeros(size + 1, bool)  # starts of texts
         fresh[0] = True
@@ -192,16 +192,7 @@ class LibraryEncoder(bpe.Encoder):
                 start[at + 1 : stop] = False
                 if stop < size:
                     start[stop] = True
-        places = np.flatnonzero(start)
-        if len(self.up) <= size:
-            for name, base in (("up", BASE), ("down", INVERSE)):
-                row = np.full(2 * size + 1, base, np.uint64)
-                row[0] = 1
-                setattr(self, name, np.multiply.accumulate(row))
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(self.values[points] * self.up[:size], out=sums[1:])
-        ends = np.append(places[1:], size)
-        return places, (sums[ends] - sums[places]) * self.down[places] + (ends - places).astype(np.uint64)
+        return np.flatnonzero(start)
 
 
 #: Kinds of characters below U+0250.
@@ -209,7 +200,6 @@ OTHER, LETTER, DIGIT, BLANK = range(4)
 _kind = {LETTER: re.compile(f"[{bpe.LETTERS}]"), DIGIT: re.compile(f"[{bpe.DIGITS}]"), BLANK: re.compile(f"[{bpe.BLANKS}]")}
 KINDS = np.array([next((k for k, p in _kind.items() if p.match(chr(c))), OTHER) for c in range(0x250)], np.uint8)
 CONTRACTION = re.compile("'(?:[sdmt]|ll|ve|re)")
-BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 _held: dict[str, LibraryEncoder] = {}
