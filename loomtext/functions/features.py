@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import constants as C
+from loomtext.functions import signals, tags
 from loomtext.functions import text as T
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    """Adds words, sents (the words of each sentence) and lens (their numbers)."""
+def with_words(docs: DataFrame, rules: bool = False) -> DataFrame:
+    """Adds words, sents (the words of each sentence) and lens (their numbers). With `rules`, abbreviations and the like do not end sentences."""
     text = F.coalesce("text", F.lit(""))
-    docs = docs.withColumn("words", T.words(text)).withColumn("sents", F.transform(T.sentences(text), T.words))
+    sentences = tags.rule_sentences(text) if rules else T.sentences(text)
+    docs = docs.withColumn("words", T.words(text)).withColumn("sents", F.transform(sentences, T.words))
     return docs.withColumn("lens", F.transform("sents", lambda s: F.size(s).cast("double")))
 
 
@@ -94,17 +96,42 @@ def transitions(docs: DataFrame) -> DataFrame:
     return docs.drop("_low", "_found")
 
 
+def tagged(docs: DataFrame, tag: str = "tags", relation: str | None = None, head: str | None = None) -> DataFrame:
+    """disc_pos_trigram_entropy from a column of tags; with relations and heads also clause_density_mean and style_clause_density_variance."""
+    docs = docs.withColumn("disc_pos_trigram_entropy", F.when(F.size("words") >= 6, tags.tag_entropy(F.col(tag))))
+    if relation is None or head is None:
+        return docs
+    docs = docs.withColumn("_clauses", tags.clause_density(F.col(tag), F.col(relation), F.col(head)))
+    return docs.withColumn("clause_density_mean", F.col("_clauses.mean")).withColumn("style_clause_density_variance", F.col("_clauses.variance")).drop("_clauses")
+
+
+def modelled(docs: DataFrame, losses: str | None = None, loss_tokens: str | None = None, log_probs: str | None = None) -> DataFrame:
+    """What a language model's columns give: lm_perplexity_mean and lm_burstiness from the losses of sentences and their numbers of tokens,
+    lm_token_prob_tail_ratio from the log-probabilities of tokens."""
+    if losses is not None and loss_tokens is not None:
+        docs = docs.withColumn("_losses", signals.sentence_losses(F.col(losses), F.col(loss_tokens)))
+        docs = docs.withColumn("lm_perplexity_mean", F.col("_losses.mean")).withColumn("lm_burstiness", F.col("_losses.std")).drop("_losses")
+    if log_probs is not None:
+        docs = docs.withColumn("lm_token_prob_tail_ratio", signals.token_distribution(F.col(log_probs))["tail_ratio"])
+    return docs
+
+
 NATIVE = (
     "style_ttr", "style_hapax_ratio", "style_function_word_divergence", "struct_sentence_length_variance", "struct_symmetry_score",
     "disc_sentence_entropy_variance", "disc_bigram_entropy", "disc_trigram_rarity", "disc_transition_density", "disc_transition_diversity",
 )
+#: All features that enter the score, in its order. Those that need columns of a tagger, parser or model are left out where these are not given.
+SCORED = tuple(C.BOUNDS)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """All features that need no model, one row per document."""
-    for step in (with_words, lexical, function_words, sentence_shape, discourse, transitions):
+def features(docs: DataFrame, rules: bool = False, tag: str | None = None, relation: str | None = None, head: str | None = None, losses: str | None = None, loss_tokens: str | None = None, log_probs: str | None = None) -> DataFrame:
+    """The features of each document: those that need no model, and with the named columns those of a tagger, a parser and a language model."""
+    docs = with_words(docs, rules)
+    for step in (lexical, function_words, sentence_shape, discourse, transitions):
         docs = step(docs)
-    return docs
+    if tag is not None:
+        docs = tagged(docs, tag, relation, head)
+    return modelled(docs, losses, loss_tokens, log_probs)
 
 
 def normalized(name: str, value: Column) -> Column:
@@ -122,7 +149,8 @@ def combined(names=NATIVE) -> Column:
     return F.coalesce(T.mean(there), F.lit(0.5))
 
 
-def stat_score(docs: DataFrame) -> DataFrame:
-    """Adds stat_score: null for texts of fewer than 50 words."""
+def stat_score(docs: DataFrame, **columns) -> DataFrame:
+    """Adds stat_score, null for texts of fewer than 50 words, from the features that the columns (see `features`) allow."""
     enough = F.size(T.spaced(F.coalesce("text", F.lit("")))) >= C.MIN_WORDS
-    return features(docs).withColumn("stat_score", F.when(enough, combined()))
+    docs = features(docs, **columns)
+    return docs.withColumn("stat_score", F.when(enough, combined([n for n in SCORED if n in docs.columns])))

@@ -24,10 +24,10 @@ def label(score: Column, human_max: float = C.HUMAN_MAX, ai_min: float = C.AI_MI
     return F.when(score <= human_max, "human").when(score >= ai_min, "ai_generated").when(score.isNotNull(), "ambiguous")
 
 
-def needs_third_tier(first: Column, second: Column, always: bool = False) -> Column:
+def needs_third_tier(first: Column, second: Column, always: bool = False, human_max: float = C.HUMAN_MAX, ai_min: float = C.AI_MIN) -> Column:
     """Whether the expensive tier should score a text: its partial ensemble lies strictly between the thresholds."""
     partial = ensemble([first, second], C.WEIGHTS)
-    return F.lit(True) if always else (partial > C.HUMAN_MAX) & (partial < C.AI_MIN)
+    return F.lit(True) if always else (partial > human_max) & (partial < ai_min)
 
 
 def cross_score(raw: Column) -> Column:

@@ -53,6 +53,32 @@ def token_distribution(log_probs: Column) -> Column:
     return F.when(F.size(log_probs) >= MIN_VALUES, stats)
 
 
+def cross_perplexity(observer: Column, performer: Column, ids: Column) -> Column:
+    """Perplexity of a text under one model, over the cross-perplexity of two: from their logits at each token, and the tokens' ids.
+
+    The logits at a token say what follows it, so the last one's are not used. Logarithms of sums of exponentials are taken around the
+    greatest logit. Positions whose logits are missing or of different numbers, or whose id has none, are left out; null if none is left;
+    1 if the cross-perplexity is 0.
+    """
+    dot = lambda v, f: F.aggregate(v, F.lit(0.0), lambda s, x: s + f(x))
+
+    def position(p: Column) -> Column:
+        o, q = p["o"], p["q"]
+        log_sum = lambda v, top: top + F.ln(dot(v, lambda x: F.exp(x - top)))
+        sums = let(F.struct(F.array_max(o).alias("o"), F.array_max(q).alias("q")), lambda top: F.struct(log_sum(o, top["o"]).alias("o"), log_sum(q, top["q"]).alias("q")))
+        crossed = lambda s: F.aggregate(F.zip_with(q, o, lambda x, y: F.exp(x - s["q"]) * (s["o"] - y)), F.lit(0.0), lambda a, x: a + x)
+        return let(sums, lambda s: F.struct((s["o"] - F.get(o, p["id"])).alias("own"), crossed(s).alias("cross")))
+
+    number = F.least(F.size(observer), F.size(performer), F.size(ids)) - 1
+    doubles = lambda v: F.transform(v, lambda x: x.cast("double"))
+    rows = F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.struct(doubles(F.get(observer, i)).alias("o"), doubles(F.get(performer, i)).alias("q"), F.get(ids, i + 1).cast("int").alias("id")))
+    whole = F.filter(rows, lambda p: (F.size(p["o"]) == F.size(p["q"])) & (p["id"] >= 0) & (p["id"] < F.size(p["o"])))
+    found = F.transform(whole, position)
+    sums = F.aggregate(found, F.struct(F.lit(0.0).alias("own"), F.lit(0.0).alias("cross"), F.lit(0).alias("n")), lambda a, x: F.struct((a["own"] + x["own"]).alias("own"), (a["cross"] + x["cross"]).alias("cross"), (a["n"] + 1).alias("n")))
+    ratio = let(sums, lambda s: F.when(s["n"] == 0, None).when(s["cross"] == 0, 1.0).otherwise(s["own"] / s["cross"]))
+    return F.when(number > 0, ratio)
+
+
 def window_score(scores: Column) -> Column:
     """The score of a text from those of its windows: their mean."""
     return mean(scores)
