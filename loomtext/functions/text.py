@@ -78,6 +78,23 @@ def entropy(items: Column) -> Column:
     return let(F.sort_array(hashed(items)), lambda s: entropy_of(F.size(s), repeats(s)))
 
 
+#: Numbers of one part of a running sum: what lies before a part is summed once.
+PART = 128
+
+
+def sums_before(values: Column) -> Column:
+    """For each of an array's whole numbers the sum of those before it. `values` is a plain column or a lambda's.
+
+    Each number adds up those before it in its part, and the sums of the parts before, so the work grows with the array and not its square
+    up to some ten thousand parts.
+    """
+    add = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / PART).cast("int"), F.lit(0))), lambda k: add(F.slice(values, k * PART + 1, F.lit(PART))))
+    before = let(parts, lambda p: F.transform(p, lambda _, k: add(F.slice(p, F.lit(1), k))))
+    place = lambda i: F.floor(i / PART).cast("int")
+    return let(before, lambda b: F.transform(values, lambda _, i: F.get(b, place(i)) + add(F.slice(values, place(i) * PART + 1, i % PART))))
+
+
 def mean(values: Column) -> Column:
     return F.when(F.size(values) > 0, total(values) / F.size(values))
 

@@ -1,28 +1,32 @@
 """Chunks of documents: paragraphs with offsets, merged groups, token windows, and putting documents together again.
 
-All operate within a document's row (arrays, folded in order), so nothing is shuffled until rows are exploded.
+All operate within a document's row (arrays, in order), so nothing is shuffled until rows are exploded.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, StructType
 
 from loomtext.functions import constants as C
+from loomtext.functions import text as T
 
 
 def paragraphs(text: Column, breaks: str = "\n\n+") -> Column:
     """Array of (pos, text, start, end): parts between breaks that hold more than white space; offsets in code points, end exclusive."""
-    parts = F.split(text, breaks)
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<pos:int,text:string,start:int,end:int>>").alias("out"))
+    whole = F.struct(F.split(text, breaks).alias("parts"), F.regexp_extract_all(text, F.lit(breaks), F.lit(0)).alias("breaks"))
 
-    def add(a: Column, part: Column) -> Column:
-        found = F.when(F.length(part) > 0, F.call_function("locate", part, text, a["at"])).otherwise(a["at"])
-        row = F.struct(F.size(a["out"]).alias("pos"), part.alias("text"), (found - 1).alias("start"), (found - 1 + F.length(part)).alias("end"))
-        keep = part.rlike(r"\S")
-        return F.struct((found + F.length(part)).alias("at"), F.when(keep, F.concat(a["out"], F.array(row))).otherwise(a["out"]).alias("out"))
+    def placed(x: Column) -> Column:
+        sizes = F.transform(x["parts"], lambda p, i: F.length(p) + F.coalesce(F.length(F.get(x["breaks"], i)), F.lit(0)))
+        starts = T.let(sizes, T.sums_before)
+        rows = T.let(starts, lambda s: F.transform(x["parts"], lambda p, i: F.struct(p.alias("text"), F.get(s, i).cast("int").alias("start"))))
+        kept = F.filter(rows, lambda r: r["text"].rlike(r"\S"))
+        return F.transform(kept, lambda r, i: F.struct(i.alias("pos"), r["text"].alias("text"), r["start"].alias("start"), (r["start"] + F.length(r["text"])).alias("end")))
 
-    return F.aggregate(parts, start, add, lambda a: a["out"])
+    return F.when(text.isNotNull(), T.let(whole, placed))
 
 
 def exploded(df: DataFrame, chunks: str, *keys: str) -> DataFrame:
@@ -35,24 +39,36 @@ def merge_short(chunks: Column, least: int = C.MIN_PROSE) -> Column:
     `chunks` holds (pos, kind, text, words) in order. A structural chunk ends the open group; a chunk of enough words ends it and stands
     alone; others gather until they have enough words together.
     """
-    group = "array<struct<text:string,words:int,members:array<int>>>"
-    blank = F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).alias("words"), F.array().cast("array<int>").alias("members"))
-    start = F.struct(F.array().cast(group).alias("done"), blank.alias("open"))
-    shut = lambda a: F.when(F.size(a["open"]["members"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
-
-    def add(a: Column, c: Column) -> Column:
-        alone = F.struct(c["text"].alias("text"), c["words"].alias("words"), F.array(c["pos"]).alias("members"))
-        o = a["open"]
-        joined = F.struct(F.concat_ws(" ", o["text"], c["text"]).alias("text"), (o["words"] + c["words"]).alias("words"), F.concat(o["members"], F.array(c["pos"])).alias("members"))
-        full = joined["words"] >= least
-        gather = F.struct(F.when(full, F.concat(a["done"], F.array(joined))).otherwise(a["done"]).alias("done"), F.when(full, blank).otherwise(joined).alias("open"))
-        return (
-            F.when(c["kind"] != "prose", F.struct(shut(a).alias("done"), blank.alias("open")))
-            .when(c["words"] >= least, F.struct(F.concat(shut(a), F.array(alone)).alias("done"), blank.alias("open")))
-            .otherwise(gather)
-        )
-
-    return F.aggregate(chunks, start, add, shut)
+    spans = merged_spans(F.transform(chunks, lambda c: c["kind"] == "prose"), F.transform(chunks, lambda c: c["words"].cast("int")), F.lit(least))
+
+    def group(at: Column) -> Column:
+        part = F.slice(chunks, at["first"] + 1, at["last"] - at["first"] + 1)
+        words = F.aggregate(part, F.lit(0), lambda a, c: a + c["words"])
+        return F.struct(F.array_join(F.transform(part, lambda c: c["text"]), " ").alias("text"), words.alias("words"), F.transform(part, lambda c: c["pos"]).alias("members"))
+
+    return F.transform(spans, group)
+
+
+@arrow_udf(ArrayType(StructType().add("first", "integer").add("last", "integer")))
+def merged_spans(prose: pa.Array, words: pa.Array, least: pa.Array) -> pa.Array:
+    """First and last chunk of each group: only flags and numbers of words leave the JVM, and each is looked at once."""
+    out = []
+    for kinds, counts, enough in zip(prose.to_pylist(), words.to_pylist(), least.to_pylist()):
+        spans, first, held = [], None, 0
+        for k, (is_prose, n) in enumerate(zip(kinds or (), counts or ())):
+            if first is not None and (not is_prose or n >= enough):
+                spans.append({"first": first, "last": k - 1})
+                first, held = None, 0
+            if not is_prose:
+                continue
+            first, held = k if first is None else first, held + n
+            if held >= enough:
+                spans.append({"first": first, "last": k})
+                first, held = None, 0
+        if first is not None:
+            spans.append({"first": first, "last": len(kinds) - 1})
+        out.append(None if kinds is None else spans)
+    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
 
 
 def token_windows(count: Column, size: int = C.WINDOW, stride: int = C.STRIDE) -> Column:
