@@ -171,6 +171,36 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size)))
 
 
-def measured(df: DataFrame, names: list[str], a: str, b: str) -> DataFrame:
-    """Adds a column for each named metric."""
-    return df.select("*", *[METRICS[n](F.col(a), F.col(b)).alias(n) for n in names])
+def token_f1(a: Column, b: Column) -> Column:
+    """The F score of matched token vectors."""
+    from loomtext.operators import alignment
+
+    return alignment.matched(a, b)["f1"]
+
+
+#: Metrics over other columns than the texts: what they need, and how they are computed from the originals' and the rewrites' column.
+COLUMN_METRICS: dict[str, tuple[str, Callable[[Column, Column], Column]]] = {
+    "embedding_cosine": ("vectors", cosine), "nli_entailment": ("labels", nli_score), "bertscore": ("token_vectors", token_f1),
+}
+
+
+def registered() -> list[str]:
+    """The names of all metrics."""
+    return sorted([*METRICS, *COLUMN_METRICS])
+
+
+def measured(df: DataFrame, names: list[str], a: str, b: str, **columns: tuple[str, str]) -> DataFrame:
+    """Adds a column for each named metric. Those of COLUMN_METRICS take their pairs of columns by what they need: vectors=("va", "vb"),
+    labels (entailment forward and backward) and token_vectors."""
+    out = []
+    for n in names:
+        if n in METRICS:
+            out.append(METRICS[n](F.col(a), F.col(b)).alias(n))
+        elif n not in COLUMN_METRICS:
+            raise ValueError(f"unknown metric {n}; there are {', '.join(registered())}")
+        elif COLUMN_METRICS[n][0] not in columns:
+            raise ValueError(f"metric {n} needs the columns {COLUMN_METRICS[n][0]}")
+        else:
+            needs, compute = COLUMN_METRICS[n]
+            out.append(compute(*map(F.col, columns[needs])).alias(n))
+    return df.select("*", *out)

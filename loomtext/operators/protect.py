@@ -10,7 +10,7 @@ import bisect
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Citations as (Author, Year) and the like, numbers, capitalized phrases, placeholders.
@@ -25,21 +25,30 @@ PHRASE = r"\b[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)+\b"
 PLACEHOLDER = r"\[(?:MATH|TERM)_(\d{3})\]"
 
 
-def spans(text: str, terms: tuple[str, ...]) -> list[tuple[int, int, int]]:
-    """(priority, start, end) of what could be protected, in the order in which it is considered; numbers only where there are no formulas."""
-    patterns = [(2, p, 0) for p in CITATIONS] + [(4, rf"\b{re.escape(t)}\b", re.I) for t in terms]
+#: Kinds of entities that are protected.
+ENTITIES = ("ORG", "PERSON", "GPE", "PRODUCT")
+
+
+def spans(text: str, terms: tuple[str, ...], entities=()) -> list[tuple[int, int, int]]:
+    """(priority, start, end) of what could be protected, in the order in which it is considered; numbers only where there are no formulas.
+
+    entities are (start, end, label) that were found elsewhere; they come after citations and before terms.
+    """
+    patterns = [(4, rf"\b{re.escape(t)}\b", re.I) for t in terms]
     if "[MATH_" not in text:
         patterns.append((5, NUMBER, 0))
     patterns.append((6, PHRASE, 0))
-    return [(rank, m.start(), m.end()) for rank, p, flags in patterns for m in re.finditer(p, text, flags)]
+    found = lambda some: [(rank, m.start(), m.end()) for rank, p, flags in some for m in re.finditer(p, text, flags)]
+    named = sorted((start, end) for start, end, label in entities if label in ENTITIES and 0 <= start < end - 1 and end <= len(text))
+    return found([(2, p, 0) for p in CITATIONS]) + [(3, start, end) for start, end in named] + found(patterns)
 
 
-def protected(text: str, terms: tuple[str, ...], most: int) -> tuple[str, dict[str, str]]:
+def protected(text: str, terms: tuple[str, ...], most: int, entities=()) -> tuple[str, dict[str, str]]:
     """The text with placeholders and what they stand for; `most` of them, all if 0. Numbers go on from the formulas' highest one."""
     taken = [(m.start(), m.end()) for m in re.finditer(PLACEHOLDER, text)]  # in order, and free of overlaps
     math = [int(n) for n in re.findall(r"\[MATH_(\d{3})\]", text)]
     chosen: list[tuple[int, int, int]] = []
-    for rank, start, end in spans(text, terms):
+    for rank, start, end in spans(text, terms, entities):
         at = bisect.bisect_left(taken, (start, end))
         if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
             taken.insert(at, (start, end))
@@ -57,14 +66,26 @@ def protected(text: str, terms: tuple[str, ...], most: int) -> tuple[str, dict[s
     return text[:stop] + "".join(reversed(pieces)), found
 
 
-def protect(text: Column, terms: tuple[str, ...] = (), most: int = 10) -> Column:
-    """Struct of the protected text and the map of placeholders."""
+def protect(text: Column, terms: tuple[str, ...] = (), most: int = 10, entities: Column | None = None) -> Column:
+    """Struct of the protected text and the map of placeholders. `entities` is an array of (start, end, label) in code points."""
 
     @F.pandas_udf("struct<text:string,terms:map<string,string>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([protected(t or "", terms, most) for t in texts], columns=["text", "terms"])
 
-    return run(text)
+    @F.pandas_udf("struct<text:string,terms:map<string,string>>")
+    def run_with(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+        named = [[] if e is None else [(x["start"], x["end"], x["label"]) for x in e] for e in found]
+        return pd.DataFrame([protected(t or "", terms, most, e) for t, e in zip(texts, named, strict=True)], columns=["text", "terms"])
+
+    return run(text) if entities is None else run_with(text, entities)
+
+
+def with_entities(docs: DataFrame, entities: DataFrame, *keys: str, into: str = "entities") -> DataFrame:
+    """docs with the array of their entities (start, end, label) from a table of them; those of other kinds and of one letter are left out."""
+    some = entities.filter(F.col("label").isin(*ENTITIES) & (F.col("end") - F.col("start") > 1))
+    found = some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias(into))
+    return docs.join(found, list(keys), "left")
 
 
 def lost(terms: Column, text: Column) -> Column:

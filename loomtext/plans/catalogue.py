@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomtext.plans import evaluation_queries, feature_queries, markup_queries, pair_queries, report_queries
+from loomtext.plans import evaluation_queries, feature_queries, markup_queries, pair_queries, report_queries, table_queries, tier_queries
 
-MODULES = (feature_queries, evaluation_queries, pair_queries, markup_queries, report_queries)
+MODULES = (feature_queries, evaluation_queries, pair_queries, markup_queries, report_queries, tier_queries, table_queries)
 
 
 def queries() -> dict:

@@ -44,7 +44,7 @@ def stream_scores(spark, sf_dir):
     return stream.scored(spark.read.parquet(f"{sf_dir}/documents.parquet")).groupBy("classification").agg(F.count("*").alias("n"))
 
 
-def annotated(spark, sf_dir):
+def numbered_lines(spark, sf_dir):
     """A comment line before each second paragraph of each document, by line numbers."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("t", F.coalesce("text", F.lit("")))
     d = d.withColumn("n", F.size(F.split("t", "\n")))
@@ -78,7 +78,7 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "stream_scores": feature_queries.score_sql() + f" select {feature_queries.label_sql('round(stat_score, 6)')} classification, count(*) n from scored group by 1",
-        "annotated": """
+        "numbered_lines": """
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) i from documents)
 select doc_id, md5(string_agg(case when i % 2 = 0 then '<!-- line ' || i || ' -->' || chr(10) || x else x end, chr(10) order by i)) digest from l group by 1""",
         "document_formats": "select case doc_id % 5 when 0 then 'latex' when 2 then 'plaintext' when 3 then 'none' else 'markdown' end format, count(*) n from documents group by 1",
@@ -87,4 +87,4 @@ select doc_id, md5(string_agg(case when i % 2 = 0 then '<!-- line ' || i || ' --
     }
 
 
-QUERIES = {f.__name__: f for f in (markdown_chunks, latex_chunks, protect_terms, stream_scores, annotated, document_formats, placeholder_restore, metrics_report)}
+QUERIES = {f.__name__: f for f in (markdown_chunks, latex_chunks, protect_terms, stream_scores, numbered_lines, document_formats, placeholder_restore, metrics_report)}

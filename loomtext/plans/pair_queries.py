@@ -93,13 +93,13 @@ def merge_short_turns(spark, sf_dir):
 
 
 def lines(spark, sf_dir) -> DataFrame:
-    """Lines of documents, some with markup that the policy looks for."""
+    """Whole lines of documents, some with markup that the policy looks for, or only their letters as a citation's key."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
     k = (F.col("doc_id") + F.col("line")) % 9
-    cut = F.substring("text", 1, 40)
+    with_mark = lambda mark, rest: F.concat(F.lit(mark), rest)
     marked = (
-        F.when(k == 1, F.concat(F.lit("## "), cut, F.lit(" and a heading of many more words"))).when(k == 2, F.concat(F.lit("Note: "), F.regexp_replace(F.substring("text", 1, 48), "[.!?]", ""), F.lit(" and so")))
-        .when(k == 3, F.concat(F.lit("x = a_b + c_d * f(x) "), cut)).when(k == 4, F.concat(F.lit("where [MATH_001] is "), cut)).when(k == 5, F.lit("Miller2020")).otherwise(F.col("text"))
+        F.when(k == 1, with_mark("## ", F.col("text"))).when(k == 2, F.concat(F.lit("Note: "), F.regexp_replace("text", "[.!?]", ""), F.lit(" and so")))
+        .when(k == 3, with_mark("x = a_b + c_d * f(x) ", F.col("text"))).when(k == 4, with_mark("where [MATH_001] is ", F.col("text"))).when(k == 5, F.concat(F.regexp_replace("text", "[^A-Za-z]", ""), F.lit("2020"))).otherwise(F.col("text"))
     )
     return d.select("doc_id", "line", marked.alias("text"))
 
@@ -218,9 +218,9 @@ def policy_sql() -> str:
     one = r"contains(t, chr(10))"
     return rf"""
 with d as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) text, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) line from documents),
-k as (select *, (doc_id + line) % 9 k, substr(text, 1, 40) cut from d),
-l as (select regexp_replace(case when k = 1 then '## ' || cut || ' and a heading of many more words' when k = 2 then 'Note: ' || regexp_replace(substr(text, 1, 48), '[.!?]', '', 'g') || ' and so'
-  when k = 3 then 'x = a_b + c_d * f(x) ' || cut when k = 4 then 'where [MATH_001] is ' || cut when k = 5 then 'Miller2020' else text end, '^\s+|\s+$', '', 'g') t from k),
+k as (select *, (doc_id + line) % 9 k from d),
+l as (select regexp_replace(case when k = 1 then '## ' || text when k = 2 then 'Note: ' || regexp_replace(text, '[.!?]', '', 'g') || ' and so'
+  when k = 3 then 'x = a_b + c_d * f(x) ' || text when k = 4 then 'where [MATH_001] is ' || text when k = 5 then regexp_replace(text, '[^A-Za-z]', '', 'g') || '2020' else text end, '^\s+|\s+$', '', 'g') t from k),
 f as (select t, t = '' or length(t) < {C.MIN_PROSE} short, {m(policy.LINE_BREAK)} or {m(policy.CITATION_KEY)} or (not contains(t, ' ') and length(t) < {policy.SHORT_WORD}) frag,
   not {one} and ({m(policy.HEADING)} or {m(policy.BOLD)} or ({m(policy.NUMBERED)} and length(t) <= 120) or ({n(policy.TITLE_WORD)} between 1 and 12 and not {m('[.!?]$')} and contains(t, ':') and length(t) <= 120)) title,
   {n(policy.MATH)} > 0 and ({m(policy.PURE_MATH)} or (length(t) <= 120 and {m(policy.MATH_NOTE)}) or ({n(policy.MATH)} * 10.0 / length(t) > 0.4)) math,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import signals
+from loomtext.functions import text as T
 from loomtext.operators import documents as D
 from loomtext.operators import reports as R
 
@@ -91,11 +92,21 @@ def token_distribution(spark, sf_dir):
 def sentence_losses(spark, sf_dir):
     rows = numbers(spark, sf_dir)
     tokens = F.transform("v", lambda x, i: F.pmod(i + F.col("vec_id").cast("int"), F.lit(20)))
-    some = F.slice("v", F.lit(1), F.pmod("vec_id", F.lit(9)).cast("int"))
-    out = rows.select("vec_id", signals.sentence_losses(some, F.slice(tokens, F.lit(1), F.size(some))).alias("d"))
+    out = rows.select("vec_id", signals.sentence_losses(F.col("v"), tokens).alias("d"))
     return out.select("vec_id", *[F.round(f"d.{c}", 5).alias(c) for c in ("mean", "std", "min", "max")])
 
 
+def annotated(spark, sf_dir):
+    """Conversations as documents, a comment line before each turn that has a detection."""
+    chunks, detections, *_ = run_tables(spark, sf_dir)
+    turns = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "chunk_id"))).alias("turns"))
+    texts = F.transform("turns", lambda t: F.concat(t["text"], F.lit("\n")))
+    docs = turns.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "latex").otherwise("markdown").alias("format"), F.array_join(texts, "").alias("text"), "turns", F.transform(texts, F.length).alias("sizes"))
+    placed = docs.select("doc_id", F.posexplode(F.arrays_zip(F.transform("turns", lambda t: t["chunk_id"]).alias("id"), T.sums_before(F.col("sizes")).alias("start"))).alias("k", "c"))
+    starts = placed.select("doc_id", F.col("c.id").alias("chunk_id"), F.col("c.start").cast("int").alias("start"))
+    return R.annotated(docs.select("doc_id", "format", "text"), starts, detections).select("doc_id", F.md5(F.col("report").cast("binary")).alias("digest"))
+
+
 def markdown_errors(spark, sf_dir):
     """Documents with formulas, code and escaped dollar signs between their lines."""
     marks = F.array(*[F.lit(x) for x in ("\n", "\n$", " \\$ ", " `a$b` ", "\n```\n$\n```\n", " $x$ ")])
@@ -131,13 +142,16 @@ left join {hist('evaluations', 'stage')} s using (doc_id) left join {hist('failu
         "rewrite_effect": TABLES_SQL + """
 select round(avg((score < 0.3)::int), 3) effective, round(avg(iterations), 1) mean_iterations,
   (select string_agg(operator || '=' || n, ',' order by operator) from (select operator, count(*) n from rewrites group by 1)) operators from rewrites""",
+        "annotated": TABLES_SQL + """
+select doc_id, md5(string_agg(case when label is not null then case when doc_id % 2 = 0 then '%% ' else '<!-- ' end || 'chunk=' || substr(chunk_id, 1, 8) || ' score=' || printf('%.3f', score) || ' class=' || label
+  || case when doc_id % 2 = 0 then '' else ' -->' end || chr(10) else '' end || text || chr(10), '' order by pos, text)) digest from c left join last_d using (chunk_id) group by 1""",
         "token_distribution": f"""
 with {v}, x as (select vec_id, unnest(v) x from v), m as (select vec_id, avg(x) m, stddev_pop(x) s, quantile_cont(x, 0.1) q, count(*) n from x group by 1)
 select vec_id, round(any_value(m), 4) mean_log_prob, round(any_value(s), 4) std_log_prob, round(case when any_value(s) > 0 then avg(pow(x - m, 3)) / pow(any_value(s), 3) else 0 end, 4) skewness,
   round(case when any_value(s) > 0 then avg(pow(x - m, 4)) / pow(any_value(s), 4) - 3 else 0 end, 4) kurtosis, round(avg((x < q)::int), 4) tail_ratio
 from x join m using (vec_id) where n > 1 group by 1""",
         "sentence_losses": f"""
-with {v}, x as (select vec_id, unnest(v[1:(vec_id % 9)::int]) x, unnest(range(0, len(v[1:(vec_id % 9)::int]))) i from v),
+with {v}, x as (select vec_id, unnest(v) x, unnest(range(0, len(v))) i from v),
 kept as (select vec_id, x from x where (i + vec_id) % 20 >= 10), g as (select vec_id, avg(x) mean, stddev_pop(x) std, min(x) min, max(x) max from kept group by 1 having count(*) >= 3)
 select vec_id, round(mean, 5) mean, round(std, 5) std, round(min, 5) min, round(max, 5) max from v left join g using (vec_id)""",
         "markdown_errors": r"""
@@ -151,4 +165,4 @@ select doc_id, case when n % 2 <> 0 then 'Unbalanced $ delimiters: ' || n || ' f
     }
 
 
-QUERIES = {f.__name__: f for f in (report_join, rewrite_targets, rejected_rewrites, run_summary, rewrite_effect, token_distribution, sentence_losses, markdown_errors)}
+QUERIES = {f.__name__: f for f in (annotated, report_join, rewrite_targets, rejected_rewrites, run_summary, rewrite_effect, token_distribution, sentence_losses, markdown_errors)}

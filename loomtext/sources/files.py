@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Formats by file ending.
 FORMATS = {"tex": "latex", "latex": "latex", "ltx": "latex", "md": "markdown", "markdown": "markdown", "txt": "plaintext", "text": "plaintext"}
@@ -55,11 +57,58 @@ def checked(df: DataFrame) -> DataFrame:
     return df
 
 
+def numbered_lines(spark: SparkSession, path: str, bad) -> DataFrame:
+    """path, line (from 1) and value of the lines of text files for which `bad`, a function of their column, holds.
+
+    A file is read in splits. Each split's lines are counted, so a line's number is its place in its split after those of the splits before.
+    """
+    base = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = base.groupBy("path", "block").agg(F.count("*").alias("lines"), F.min("at").alias("first"))
+    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.select(F.col("path").alias("_path"), F.col("block").alias("_block"), "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    found = base.filter(bad(F.col("value"))).join(splits, (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block")))
+    return found.select("path", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+
+def value_problem(row: Column, names: list[str]) -> Column:
+    """Why a record breaks the rules of `checked`, or null."""
+    why = F.lit(None).cast("string")
+    for name, values in ALLOWED.items():
+        if name in names:
+            v = row[name]
+            why = F.coalesce(why, F.when(~F.coalesce(v.isin(*values), F.lit(False)), F.concat(F.lit(f"bad {name}: "), F.coalesce(v, F.lit("null")))))
+    if "score" in names:
+        v = row["score"]
+        why = F.coalesce(why, F.when(~F.coalesce(v.between(0, 1), F.lit(False)), F.concat(F.lit("bad score: "), F.coalesce(v.cast("string"), F.lit("null")))))
+    return why
+
+
+def line_problem(value: Column, schema: str) -> Column:
+    """Why a line is no record of the schema, or null; blank lines are fine."""
+    names = T._parse_datatype_string(schema).names
+    row = F.from_json(value, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return F.when(value.rlike(r"\S"), F.when(row.isNull() | row["_bad"].isNotNull(), F.lit("invalid JSON or type")).otherwise(value_problem(row, names)))
+
+
+def jsonl_errors(spark: SparkSession, path: str, schema: str = SAMPLE) -> DataFrame:
+    """path, line, reason and value of each line that is no record."""
+    found = numbered_lines(spark, path, lambda v: line_problem(v, schema).isNotNull())
+    return found.select("path", "line", line_problem(F.col("value"), schema).alias("reason"), "value")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = SAMPLE) -> DataFrame:
-    """Records as JSON lines; a bad line or value is an error, blank lines are skipped."""
+    """Records as JSON lines; a bad line or value is an error, blank lines are skipped. `jsonl_errors` names the bad lines."""
     return checked(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
 
 
+def verified_jsonl(spark: SparkSession, path: str, schema: str = SAMPLE, shown: int = 5) -> DataFrame:
+    """The same, read twice: bad lines are looked for first, and the error names the first ones of them by file and line."""
+    some = jsonl_errors(spark, path, schema).orderBy("path", "line").limit(shown).collect()
+    if some:
+        raise ValueError("; ".join(f"{r.path} line {r.line}: {r.reason}" for r in some))
+    return read_jsonl(spark, path, schema)
+
+
 def read_corpus(spark: SparkSession, path: str, split: str = "test", document_format: str = "plaintext") -> DataFrame:
     """Samples from domain/source_class/*.txt, named by their paths; none at all is an error."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)

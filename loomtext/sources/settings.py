@@ -12,7 +12,8 @@ from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from loomtext.sources import progress
 
 REQUIRED = ("name", "dataset", "detectors", "metrics", "slices")
 
@@ -119,19 +120,11 @@ def write_calibration(calibration: Calibration, path: str) -> None:
     Path(path).write_text(json.dumps(asdict(calibration), indent=2), encoding="utf-8")
 
 
-def save_progress(results: DataFrame, path: str, stage: str) -> None:
-    """Appends a stage's results (digest, chunk_id, ...) to the progress table. Spark's commit keeps a broken write out of it."""
-    key = results.select("digest", "chunk_id", F.lit(stage).alias("stage"), F.to_json(F.struct(*results.columns)).alias("result"), F.current_timestamp().alias("saved_at"))
-    key.write.mode("append").parquet(path)
+def save_progress(results: DataFrame, path: str, stage: str, batch: int | None = None) -> int:
+    """Saves a stage's results (digest, chunk_id, ...) as the given or the next batch. Spark's commit keeps a broken write out of it."""
+    return progress.save(results, path, stage, batch)
 
 
 def load_progress(spark: SparkSession, path: str, docs: DataFrame, stage: str) -> DataFrame:
-    """chunk_id and result (JSON) of what was saved for documents that have not changed since: digests must be equal. Last saved wins."""
-    try:
-        saved = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], "digest string, chunk_id string, result string")
-    valid = saved.filter(F.col("stage") == stage).join(docs.select("digest").distinct(), "digest", "left_semi")
-    return valid.groupBy("digest", "chunk_id").agg(F.max_by("result", "saved_at").alias("result"))
+    """digest, chunk_id and result (JSON) of what was saved for documents that have not changed since: digests must be equal. The last batch wins."""
+    return progress.load(spark, path, docs, stage)
