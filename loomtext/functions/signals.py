@@ -101,6 +101,11 @@ def duration_text(seconds: Column) -> Column:
     return F.when(seconds < 60, F.format_string("%.1fs", seconds)).when(seconds < 3600, F.concat(F.format_string("%dm ", minutes), rest)).otherwise(F.concat(F.format_string("%dh %dm ", F.floor(minutes / 60).cast("long"), minutes % 60), rest))
 
 
+def with_confidence(detections, calibration, score: str = "score"):
+    """Adds confidence, the calibrated score, and the version of the calibration that gave it. `calibration` has method, version and parameters."""
+    return detections.withColumn("confidence", calibrated(F.col(score), calibration.method, calibration.parameters)).withColumn("calibration_version", F.lit(calibration.version))
+
+
 def calibrated(score: Column, method: str, parameters: dict) -> Column:
     """A score under a saved calibration. Thresholds by slice leave it as it is: they change the decision only."""
     from loomtext.functions import scoring

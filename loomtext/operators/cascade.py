@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from loomtext.functions import constants as C
 
 
+# The profiles that trade speed for quality.
+PROFILES = ("fast", "balanced", "quality")
+
+
 def nli_passes(forward: Column, backward: Column, both: bool) -> Column:
     no = (forward == "contradiction") | (backward == "contradiction")
     a, b = forward == "entailment", backward == "entailment"
@@ -42,6 +46,27 @@ def evaluated(rows: DataFrame, similarity: float = 0.65, both: bool = False, f1:
     return out.withColumn("bertscore_f1", F.when(entails, F.col("bertscore_f1"))) if f1 is not None else out
 
 
+def evaluated_for(rows: DataFrame, profile: str, f1: float, similarity: float = 0.65, both: bool = False) -> DataFrame:
+    """`evaluated` as a quality profile (fast, balanced or quality) asks for it: token vectors are compared for quality only."""
+    if profile not in PROFILES:
+        raise ValueError(f"unknown profile {profile}; there are {', '.join(PROFILES)}")
+    return evaluated(rows, similarity, both, f1 if profile == "quality" else None)
+
+
+def evaluation_summary(results: DataFrame, *by: str) -> DataFrame:
+    """Per group: number of rewrites, share that passed, least, mean and greatest of the scores that are there, and how often each forward
+    entailment label occurs."""
+    scores = [c for c in ("similarity", "bertscore_f1") if c in results.columns]
+    numbers = [f(c).alias(f"{c}_{n}") for c in scores for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))]
+    out = results.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("passed").cast("double")).alias("pass_rate"), *numbers)
+    counts = results.filter("nli_forward is not null").groupBy(*by, "nli_forward").agg(F.count("*").alias("n"))
+    labels = counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("nli_forward", "n")))).alias("labels"))
+    same = F.lit(True)
+    for k in by:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return out.join(labels.withColumnsRenamed({k: f"_{k}" for k in by}), same, "left").drop(*[f"_{k}" for k in by])  # one row per group each
+
+
 def pending(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """Rows whose key has no result yet: for one stage of a run that is taken up again."""
     return rows.join(done.select(*keys).distinct(), list(keys), "left_anti")

@@ -71,6 +71,15 @@ def merged_spans(prose: pa.Array, words: pa.Array, least: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
 
 
+def fanned_out(groups: DataFrame, results: DataFrame, *keys: str, group: str = "group_no", members: str = "members") -> DataFrame:
+    """A row for each member of each group, with its group's results: keys, pos and the columns of `results` (keys, group, ...).
+
+    Groups without a result keep their members, with nulls.
+    """
+    rows = groups.select(*keys, group, F.explode(members).alias("pos"))
+    return rows.join(results, [*keys, group], "left")
+
+
 def token_windows(count: Column, size: int = C.WINDOW, stride: int = C.STRIDE) -> Column:
     """Starts of the windows over so many tokens: one if they fit, else every stride until the end is reached."""
     last = F.greatest(F.ceil((count - size) / stride), F.lit(0)) * stride

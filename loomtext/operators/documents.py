@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,9 +25,14 @@ def plain_chunks(text: str) -> Iterator[tuple]:
 PARSERS = {"latex": markup.latex_chunks, "markdown": markup.markdown_chunks, "plaintext": plain_chunks}
 
 
-def parsed(docs: DataFrame, *keys: str, parsers: dict | None = None) -> DataFrame:
-    """The chunks of each document (format, text), by its format's parser, with the named columns. Another format is an error."""
-    known = parsers or PARSERS
+def parsed(docs: DataFrame, *keys: str, parsers: dict | None = None, prose_envs: tuple[str, ...] = (), structural_macros: tuple[str, ...] = ()) -> DataFrame:
+    """The chunks of each document (format, text), by its format's parser, with the named columns. Another format is an error.
+
+    prose_envs and structural_macros are LaTeX environments and macros beyond those that are known.
+    """
+    known = dict(parsers or PARSERS)
+    if prose_envs or structural_macros:
+        known["latex"] = partial(known["latex"], prose_envs=prose_envs, structural_macros=structural_macros)
     names = ["pos", "kind", "start", "end", "text", "math"]
 
     def run(batches):
@@ -40,6 +46,11 @@ def parsed(docs: DataFrame, *keys: str, parsers: dict | None = None) -> DataFram
     return rows.mapInPandas(run, f"{kinds}, {markup.SCHEMA}")
 
 
+def prose(chunks: DataFrame) -> DataFrame:
+    """The chunks that can be scored and rewritten."""
+    return chunks.filter(F.col("kind") == "prose")
+
+
 def rebuilt(docs: DataFrame, changes: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs (key, format, text) with the new texts of `changes` (key, start, end, text) in place; Markdown counts lines, others code points."""
     marks = changes.groupBy(key).agg(F.collect_list(F.struct("start", "end", "text")).alias("_marks"))

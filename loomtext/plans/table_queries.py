@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import pairs as P
 from loomtext.functions import tags
-from loomtext.operators import cascade, nearest, spans
+from loomtext.operators import cascade, chunks, nearest, spans
 from loomtext.operators.shared import kept, new_folder
-from loomtext.plans import feature_queries
+from loomtext.plans import feature_queries, pair_queries
 from loomtext.plans import tier_queries as T
 from loomtext.sources import progress, records
 
@@ -91,6 +91,20 @@ def rewrite_gates(spark, sf_dir):
     )
 
 
+def evaluation_summary(spark, sf_dir):
+    """Pass rate, scores and labels of the evaluated rewrites."""
+    out = cascade.evaluation_summary(cascade.evaluated(pair_queries.rewrites(spark, sf_dir), similarity=0.1))
+    labels = F.array_join(F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("pass_rate", "similarity_min", "similarity_mean", "similarity_max")], labels.alias("labels"))
+
+
+def group_fan_out(spark, sf_dir):
+    """Turns with the number of words of the group that they were merged into."""
+    groups = pair_queries.merge_short_turns(spark, sf_dir)
+    rows = groups.select("conv_id", "group_no", F.split("members", ",").cast("array<int>").alias("members"))
+    return chunks.fanned_out(rows, groups.select("conv_id", "group_no", "words"), "conv_id")
+
+
 def oracle_sql() -> dict[str, str]:
     spaces = r"[\x09-\x0D\x20]+$"
     placed = lambda name, source: f"{name} as (select doc_id, start, start + length(regexp_replace(s, '{spaces}', '')) stop from (select doc_id, s, coalesce(sum(length(s)) over (partition by doc_id order by nth rows between unbounded preceding and 1 preceding), 0)::bigint start from (select doc_id, unnest(range(0, len(ss))) nth, unnest(ss) s from {source})))"
@@ -114,6 +128,11 @@ select conv_id, turn, case when not bad then k end record_class, case when not b
         "progress_upsert": """
 with d as (select doc_id::varchar chunk_id, lang, sha256(coalesce(text, '')) digest, length(coalesce(text, '')) size from documents)
 select chunk_id, (size * case when size > 1500 then 3 when size > 400 then 2 else 1 end)::bigint score from d where digest in (select digest from d where lang = 'en')""",
+        "evaluation_summary": pair_queries.cascade_sql() + """,
+labels as (select string_agg(nli_forward || '=' || n, ',' order by nli_forward) labels from (select nli_forward, count(*) n from x where nli_forward is not null group by 1))
+select n, round(pass_rate, 6) pass_rate, round(lo, 6) similarity_min, round(mean, 6) similarity_mean, round(hi, 6) similarity_max, labels
+from (select count(*) n, avg(passed::int) pass_rate, min(similarity) lo, avg(similarity) mean, max(similarity) hi from x), labels""",
+        "group_fan_out": f"select conv_id, group_no, unnest(string_split(members, ','))::int pos, words from ({pair_queries.oracle_sql()['merge_short_turns']})",
         "rewrite_gates": """
 with c as (select conv_id, turn, coalesce(text, '') t, length(coalesce(text, '')) * 7 + turn * 3 + conv_id k from conversations),
 x as (select *, k % 11 = 0 echo, length(t) + case when k % 11 = 0 then length(' Please note that.your...instructions say more.') else 0 end n, ['entailment', 'neutral', 'contradiction'][k % 3 + 1] f, ['entailment', 'neutral', 'contradiction'][(k // 3) % 3 + 1] b from c)
@@ -123,4 +142,4 @@ select conv_id, turn, case when echo then 'prompt_echo' when k % 101 < 30 then '
     }
 
 
-QUERIES = {f.__name__: f for f in (span_overlaps, nearest_supplier, record_round_trip, progress_upsert, rewrite_gates)}
+QUERIES = {f.__name__: f for f in (span_overlaps, nearest_supplier, record_round_trip, progress_upsert, rewrite_gates, evaluation_summary, group_fan_out)}

@@ -163,6 +163,15 @@ def summary_markdown(metrics: DataFrame) -> str:
     return "\n".join(out)
 
 
+def latest(spark: SparkSession, folder: str, pattern: str = "*.json") -> str:
+    """The path of the newest file of a folder: names start with their dates, so the last one in order. Nothing but names is read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    newest = found.agg(F.max_by("path", F.element_at(F.split("path", "/"), -1))).first()[0]
+    if newest is None:
+        raise ValueError(f"no {pattern} in {folder}")
+    return newest
+
+
 def write_results(detections: DataFrame, metrics: DataFrame, folder: str) -> None:
     """What an experiment leaves: detections as JSON lines, metrics as CSV, and their tables in Markdown."""
     write_jsonl(detections, f"{folder}/detections.jsonl")

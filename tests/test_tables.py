@@ -265,3 +265,79 @@ def test_many_paragraphs(spark):
     import re
 
     assert [r.text for r in got[0]] == [p for p in re.split("\n\n+", text) if p.strip()]
+
+
+# Small pieces
+
+
+def test_custom_environments(spark):
+    from loomtext.operators import documents
+
+    text = "\\documentclass{a}\\begin{document}\\begin{mine}Own prose.\\end{mine}\\keep{x} tail\\end{document}"
+    docs = spark.createDataFrame([(1, "latex", text)], "id long, format string, text string")
+    kinds = lambda **k: [(r.kind, r.text) for r in documents.parsed(docs, "id", **k).orderBy("pos").collect()]
+    assert kinds()[1:] == [(S, "\\begin{mine}Own prose.\\end{mine}"), (P, "\\keep{x} tail")]
+    assert kinds(prose_envs=("mine",), structural_macros=("keep",))[1:] == [(P, "Own prose."), (S, "\\keep{x}"), (P, "tail")]
+    assert documents.prose(documents.parsed(docs, "id")).count() == 1
+
+
+def test_latest_file(spark, tmp_path):
+    with pytest.raises(ValueError, match="no"):
+        files.latest(spark, f"file://{tmp_path}")
+    for name in ("20250101-a.json", "20260226-b.json", "20240101-z.json", "20270101-x.txt"):
+        Path(tmp_path, name).write_text("{}")
+    assert files.latest(spark, f"file://{tmp_path}").endswith("20260226-b.json")
+
+
+def test_summary_and_profiles(spark):
+    from loomtext.operators import cascade
+
+    rows = [("a", True, 0.9, "entailment"), ("a", False, 0.5, "neutral"), ("a", False, None, None), (None, True, 0.7, "entailment")]
+    df = spark.createDataFrame(rows, "k string, passed boolean, similarity double, nli_forward string")
+    out = {r.k: r for r in cascade.evaluation_summary(df, "k").collect()}
+    assert (out["a"].n, round(out["a"].pass_rate, 3), out["a"].similarity_min, out["a"].labels) == (3, 0.333, 0.5, {"entailment": 1, "neutral": 1})
+    assert (out[None].pass_rate, out[None].labels) == (1.0, {"entailment": 1})
+    assert cascade.evaluation_summary(df).first().n == 4
+    full = spark.createDataFrame([(None, 0.9, "entailment", "entailment", 0.5)], "term_reason string, similarity double, nli_forward string, nli_backward string, bertscore_f1 double")
+    assert cascade.evaluated_for(full, "balanced", 0.88).first().passed and not cascade.evaluated_for(full, "quality", 0.88).first().passed
+    with pytest.raises(ValueError, match="unknown profile"):
+        cascade.evaluated_for(full, "best", 0.88)
+
+
+def test_gates_and_originals(spark):
+    from loomtext.operators import cascade
+
+    df = spark.createDataFrame([("plain", 0.1), ("plain", 0.5), ("plain", 0.9), ("Please  NOTE that\nyour instructions matter", 0.9)], "t string, s double")
+    assert [r.g for r in df.select(cascade.gate(F.col("t"), F.col("s"), 0.3, 0.65).alias("g")).collect()] == ["hard_floor", "semantic_gate", None, "prompt_echo"]
+    cases = [((0, 1, 220, 0, False), True), ((0, 1, 221, 0, False), False), ((5, 0, 999, 0, False), True), ((0, 0, 999, 5, False), True), ((0, 0, 999, 1, True), True), ((0, 0, 999, 0, True), False), ((4, 0, 10, 4, False), False)]
+    for (placeholders, math, length, failures, aborted), want in cases:
+        assert spark.range(1).select(cascade.keeps_original(*map(F.lit, (placeholders, math, length, failures, aborted))).alias("k")).first().k is want
+
+
+def test_column_metrics(spark):
+    from loomtext.functions import pairs
+
+    df = spark.createDataFrame([("a 1", "a 2", [1.0, 0.0], [1.0, 1.0], "entailment", "neutral", [[1.0, 0.0]], [[0.0, 1.0], [1.0, 0.0]])], "a string, b string, va array<double>, vb array<double>, f string, g string, ta array<array<double>>, tb array<array<double>>")
+    assert len(pairs.registered()) == 10 and pairs.registered() == sorted(pairs.registered())
+    r = pairs.measured(df, pairs.registered(), "a", "b", vectors=("va", "vb"), labels=("f", "g"), token_vectors=("ta", "tb")).first()
+    assert (round(r.embedding_cosine, 6), r.nli_entailment, round(r.bertscore, 6)) == (0.707107, 0.5, 0.666667)
+    with pytest.raises(ValueError, match="needs the columns vectors"):
+        pairs.measured(df, ["embedding_cosine"], "a", "b")
+    with pytest.raises(ValueError, match="unknown metric"):
+        pairs.measured(df, ["nothing"], "a", "b")
+
+
+def test_confidence_and_version(spark):
+    from loomtext.functions import signals
+    from loomtext.sources.settings import Calibration
+
+    df = spark.createDataFrame([(0.5,), (0.9,)], "score double")
+    out = signals.with_confidence(df, Calibration("temperature_scaling", "v2", {"temperature": 2.0})).orderBy("score").collect()
+    assert [round(r.confidence, 4) for r in out] == [0.5, 0.75] and {r.calibration_version for r in out} == {"v2"}
+
+
+def test_members_get_their_groups_results(spark):
+    groups = spark.createDataFrame([(1, 1, [0, 1]), (1, 2, [3]), (2, 1, [5])], "doc long, group_no long, members array<int>")
+    found = spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.7)], "doc long, group_no long, score double")
+    got = sorted((r.doc, r.pos, r.score) for r in chunks.fanned_out(groups, found, "doc").collect())
+    assert got == [(1, 0, 0.5), (1, 1, 0.5), (1, 3, None), (2, 5, 0.7)]
