@@ -41,6 +41,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows that Python gets at once. Texts are long, and Spark's default of 10,000 rows takes an executor's memory twice, in the JVM and in Python.
+ROWS_AT_ONCE = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same rows. From now on the session hands ROWS_AT_ONCE rows to Python at once, unless it has a number of its own."""
+    if df.sparkSession.conf.get(_ROWS) == "10000":
+        df.sparkSession.conf.set(_ROWS, str(ROWS_AT_ONCE))
+    return df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder on any file system that Spark reaches."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,18 +64,30 @@ def with_row(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
 
 
-#: What lazy results still read; `sweep` drops it once they are written.
-pending: list = []
+#: What drops the tables of lazy results that nobody has finished yet.
+_unfinished: list = []
 
 
-def sweep() -> None:
-    """Drops the tables that results returned so far depend on. Callers do so after writing them; the rest goes when Python exits."""
-    while pending:
-        with contextlib.suppress(Exception):  # the session may have ended
-            pending.pop()()
+def owning(result: DataFrame, drop) -> DataFrame:
+    """The same result, of which `drop` removes the tables that it reads lazily. It is called by `finish`, or when Python exits."""
+    result.__dict__["_loomtext_drop"] = drop
+    _unfinished.append(drop)
+    return result
+
 
+def finish(result: DataFrame) -> None:
+    """Drops the tables that a result depends on, and no other result's. Callers do so after writing it."""
+    drop = result.__dict__.pop("_loomtext_drop", None)
+    if drop is not None:
+        _unfinished.remove(drop)
+        drop()
 
-atexit.register(sweep)
+
+@atexit.register
+def _finish_all() -> None:
+    while _unfinished:
+        with contextlib.suppress(Exception):  # the session may have ended
+            _unfinished.pop()()
 
 
 class Table:

@@ -11,8 +11,9 @@ keep all that could match and drop the rest early:
 4.  Different neighbourhoods of the same anchors are laid end to end and their suffixes sorted in two stages: suffixes smaller than
     their successors are sorted directly, all others are induced by scans over buckets of first bytes. Neighbours in that order that
     share a prefix of 50 bytes form runs; a window goes if its run holds a smaller document.
-5.  An anchor with more than MANY different neighbourhoods does not go to one task: its windows are dealt out by their own bytes, and
-    the smallest document of each comes from a sum that is pre-aggregated.
+5.  An anchor with more than MANY different neighbourhoods does not go to one task: they are dealt out by what its windows with more to the
+    left have in common, and by what those with more to the right do. Where such a part is still too large its windows are halved again, down
+    to single windows, whose smallest document comes from a pre-aggregated minimum.
 
 Documents lie in a table bucketed by doc_id, so that the two passes that need their texts again do not shuffle them.
 
@@ -34,17 +35,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import Table, pending, settled, small, sub_batches, with_row
+from loomtext.llm.common import Table, finish, in_small_batches, owning, settled, small, sub_batches, with_row
 
 LENGTH, GRAM = 50, 16
 LEFT = LENGTH - GRAM
+HALF = LEFT // 2
 BATCH_BYTES = 1 << 20
 BUCKET_BYTES = 24 << 20
 #: Files that a bucketed table may get; beyond it texts are dealt to their buckets first.
 MOST_FILES = 20_000
 IDS_BROADCAST = 1_000_000
-#: Neighbourhoods whose suffixes are sorted together at least, and most of one anchor: at some 6 KB each that is 200 MB of memory.
-TOGETHER, MANY = 8_192, 32_768
+#: Neighbourhoods whose suffixes are sorted together at least, and most of one anchor: at some 6 KB each that is 50 MB of memory.
+TOGETHER, MANY = 8_192, 8_192
 ALL = (1 << (LEFT + 1)) - 1
 
 _U = np.uint64
@@ -111,8 +113,8 @@ def anchors(texts: list[bytes]):
     start = np.maximum(place - LEFT, ends[row] - np.diff(ends, prepend=0)[row])
     stop = np.minimum(place + LENGTH, ends[row])
     around = _mixed(rolled.of(start, stop) + (place - start).astype(np.uint64) * BASE + (stop - place).astype(np.uint64))
-    # Names of 56 and 48 bits: both name a neighbourhood, and short ones take less room.
-    return row, place, (grams[place] >> _U(8)).view(np.int64), (around >> _U(16)).view(np.int64), start, stop, buffer
+    # Names of 56 and 63 bits: both name a neighbourhood.
+    return row, place, (grams[place] >> _U(8)).view(np.int64), (around >> _U(1)).view(np.int64), start, stop, buffer
 
 
 def window_order(texts: np.ndarray, ends: np.ndarray):
@@ -144,8 +146,8 @@ def window_order(texts: np.ndarray, ends: np.ndarray):
     beyond = direct_or_end[np.searchsorted(direct_or_end, np.minimum(np.maximum(last + 1, firsts), stops))]
     used = places <= np.minimum(beyond, stops)[owner]
     direct = np.flatnonzero(used & small_)
-    keys = packed(symbols, direct)
-    direct = direct[np.lexsort(keys[::-1])]
+    keys = packed(texts, direct - owner[direct], stops[owner[direct]] - direct)
+    direct = direct[in_order(keys)]
     first = symbols[direct]
     cuts = np.searchsorted(first, np.arange(258))
     induced: list[list[np.ndarray]] = [[] for _ in range(258)]
@@ -174,27 +176,51 @@ def window_order(texts: np.ndarray, ends: np.ndarray):
             for a, part in zip(kinds[at], np.split(before, at[1:]), strict=True):
                 induced[a].append(part)
     found = np.concatenate(order) if order else np.zeros(0, np.int64)
-    return found[window[found]], symbols, owner, firsts
+    return found[window[found]], owner, firsts
 
 
-def packed(symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The 50 symbols from each place as rows of big numbers, in order; what lies beyond a string's end counts as its end."""
-    rows = np.zeros((-(-LENGTH // 7), len(places)), np.uint64)
-    alive = np.ones(len(places), bool)
-    for j in range(LENGTH):
-        here = symbols[np.minimum(places + j, len(symbols) - 1)]
-        alive &= here > 0
-        rows[j // 7] |= np.where(alive, here, 0).astype(np.uint64) << _U(9 * (6 - j % 7))
+#: The highest 0 to 8 bytes of a number.
+HIGH = np.array([((1 << 8 * k) - 1) << (64 - 8 * k) for k in range(9)], np.uint64)
+
+
+def packed(texts: np.ndarray, places: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The 50 bytes from each place as rows of big numbers, in order. Of a string that has fewer left the rest is 0, and their number, which
+    is the last row, tells it from one that goes on with zeros."""
+    raw = np.concatenate([texts, np.zeros(LENGTH + 8, np.uint8)])
+    eight = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))
+    size, parts = np.minimum(left, LENGTH), -(-LENGTH // 8)
+    rows = np.empty((parts + 1, len(places)), np.uint64)
+    for j in range(parts):
+        rows[j] = eight[places + 8 * j]
+        rows[j] &= HIGH[np.clip(size - 8 * j, 0, 8)]
+    rows[parts] = size
     return rows
 
 
+def in_order(keys: np.ndarray) -> np.ndarray:
+    """The order of columns by their rows, the first row first. Equal columns, of which there are many, are brought together by a hash, and
+    one of each is sorted."""
+    name = keys[0]
+    for row in keys[1:]:
+        name = _mixed(name) + row
+    by = np.argsort(_mixed(name))
+    there = keys[:, by]
+    fresh = np.append(True, (there[:, 1:] != there[:, :-1]).any(axis=0)) if len(by) else np.zeros(0, bool)
+    ranks = np.empty(np.count_nonzero(fresh), np.int64)
+    ranks[np.lexsort(there[::-1, fresh])] = np.arange(len(ranks))
+    return by[np.argsort(ranks[np.cumsum(fresh) - 1], kind="stable")]
+
+
 def window_masks(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(string, start) of each 50-byte window that is also in a string of a smaller document."""
+    if not strings:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.cumsum([len(s) for s in strings], dtype=np.int64)
-    order, symbols, owner, firsts = window_order(np.frombuffer(b"".join(strings), np.uint8), ends)
+    texts = np.frombuffer(b"".join(strings), np.uint8)
+    order, owner, firsts = window_order(texts, ends)
     if not len(order):
         return order, order
-    keys = packed(symbols, order)
+    keys = packed(texts, order - owner[order], np.full(len(order), LENGTH))
     # The common prefix of neighbours reaches 50 bytes where all numbers agree.
     starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
     whose = owner[order]
@@ -267,10 +293,26 @@ def neighbourhoods(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h long, around long, doc long, left int, bytes binary")
 
 
+def may_match(buffer: bytes, sizes: np.ndarray, left: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which neighbourhoods, laid end to end, could share a window with another one of their part.
+
+    A window has HALF bytes or more to the left of the anchor, or else as many to its right: those and the anchor must occur twice.
+    """
+    rolled, ends = Rolled(np.frombuffer(buffer, np.uint8)), np.cumsum(sizes)
+    at = ends - sizes + left
+    found = np.zeros(len(sizes), bool)
+    for begin, end in ((at - HALF, at + GRAM), (at, at + GRAM + HALF)):
+        there = np.flatnonzero((begin >= ends - sizes) & (end <= ends))
+        names = _mixed(_mixed(rolled.of(begin[there], end[there])) + part[there].view(np.uint64))
+        _, number, times = np.unique(names, return_inverse=True, return_counts=True)
+        found[there[times[number] > 1]] = True
+    return found
+
+
 def removals(around: DataFrame) -> DataFrame:
     """(doc, h, around, mask): what goes of each neighbourhood; bit i stands for the window that starts LEFT - i bytes before the anchor.
 
-    Rows come sorted by h; strings of whole anchors are gathered until there are enough to sort their suffixes together.
+    Rows come sorted by the part that they belong to; strings of whole parts are gathered until there are enough to sort their suffixes together.
     """
 
     def run(batches):
@@ -279,39 +321,73 @@ def removals(around: DataFrame) -> DataFrame:
         def close():
             table = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            h, near, docs, left = (table[c].to_numpy() for c in ("h", "around", "doc", "left"))
-            whose, start = window_masks(table["bytes"].to_pylist(), docs)
+            part, left = table["part"].to_numpy(), table["left"].to_numpy()
+            sizes = np.asarray(pc.binary_length(table["bytes"])).astype(np.int64)
+            buffer = b"".join(table["bytes"].to_pylist())
+            k = np.flatnonzero(may_match(buffer, sizes, left, part))
+            ends = np.cumsum(sizes)
+            h, near, docs = (table[c].to_numpy()[k] for c in ("h", "around", "doc"))
+            whose, start = window_masks([buffer[a:b] for a, b in zip((ends - sizes)[k].tolist(), ends[k].tolist())], docs)
             masks = np.zeros(len(h), np.int64)
-            np.bitwise_or.at(masks, whose, np.int64(1) << (start + LEFT - left[whose]))
+            np.bitwise_or.at(masks, whose, np.int64(1) << (start + LEFT - left[k][whose]))
             k = np.flatnonzero(masks)
             return pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (docs, h, near, masks)], names=["doc", "h", "around", "mask"])
 
         for batch in batches:
             while batch.num_rows:
-                h = batch.column("h").to_numpy()
+                part = batch.column("part").to_numpy()
                 held_rows = sum(b.num_rows for b in held)
-                if held_rows >= TOGETHER and held[-1].column("h")[-1].as_py() != h[0]:
+                if held_rows >= TOGETHER and held[-1].column("part")[-1].as_py() != part[0]:
                     yield close()
                     held_rows = 0
-                # As far as enough rows go, and on to the end of the last anchor's.
-                last = h[min(max(TOGETHER - held_rows, 1), len(h)) - 1]
-                stop = int(np.searchsorted(h, last, side="right"))
+                # As far as enough rows go, and on to the end of the last part's.
+                last = part[min(max(TOGETHER - held_rows, 1), len(part)) - 1]
+                stop = int(np.searchsorted(part, last, side="right"))
                 held.append(batch.slice(0, stop))
                 batch = batch.slice(stop)
         if held:
             yield close()
 
-    return around.mapInArrow(run, "doc long, h long, around long, mask long")
+    sorted_ = around.repartition("part").sortWithinPartitions("part")
+    return sorted_.select("part", "h", "around", "doc", "left", "bytes").mapInArrow(run, "doc long, h long, around long, mask long")
+
 
+def removals_in_parts(around: DataFrame) -> DataFrame:
+    """The same as `removals` for anchors with very many neighbourhoods.
 
-def removals_by_window(around: DataFrame) -> DataFrame:
-    """The same as `removals` for anchors with very many neighbourhoods: each window finds its smallest document by itself."""
-    at = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH))
-    rows = around.filter(F.octet_length("bytes") >= LENGTH).select("doc", "h", "around", "left", "bytes", at.alias("start"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("start") + LEFT - F.col("left"))
-    rows = rows.select("doc", "h", "around", bit.alias("bit"), F.sha2(F.substring("bytes", F.col("start") + 1, F.lit(LENGTH)), 256).alias("window"))
-    least = rows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("window", "least")
-    return rows.join(least, "window").filter("doc > least").groupBy("doc", "h", "around").agg(F.bit_or("bit").alias("mask"))
+    A window that has i bytes to the left of the anchor holds all that those with low to high bytes have in common, if i is between them.
+    So equal windows meet in the part that this common text names.
+    """
+    together = lambda masks: masks.groupBy("doc", "h", "around").agg(F.bit_or("mask").alias("mask"))
+    found, ranges, rows = None, [(0, LEFT)], around
+    while True:
+        ranges = [r for low, high in ranges for r in ([(low, (low + high) // 2), ((low + high) // 2 + 1, high)] if low < high else [(low, high)])]
+        named = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in ranges])
+        inside = lambda r: (F.col("low") <= r["low"]) & (r["high"] <= F.col("high"))
+        halves = named if "low" not in rows.columns else F.filter(named, inside)
+        rows = rows.select("doc", "h", "around", "left", "bytes", F.explode(halves).alias("r")).select("doc", "h", "around", "left", "bytes", "r.*")
+        begin, end = F.col("left") - F.col("low"), F.col("left") - F.col("high") + LENGTH
+        rows = rows.filter((begin >= 0) & (end <= F.octet_length("bytes")))
+        rows = rows.withColumn("part", F.xxhash64("h", "low", F.substring("bytes", begin + 1, end - begin)))
+        if all(low == high for low, high in ranges):
+            return together(found.union(removals_by_window(rows)))
+        rows = settled(rows)
+        sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
+        large = settled(sizes.filter((F.col("n") > MANY) & (F.col("first") < F.col("last"))).select("part"))
+        some = sizes.filter((F.col("n") <= MANY) & (F.col("first") < F.col("last"))).select("part")
+        here = settled(removals(rows.join(some, "part", "left_semi")))
+        found = here if found is None else found.union(here)
+        if large.isEmpty():
+            return together(found)
+        rows = rows.join(F.broadcast(large) if small(large, IDS_BROADCAST) else large, "part", "left_semi").drop("part")
+
+
+def removals_by_window(rows: DataFrame) -> DataFrame:
+    """The same where a part is one window: its smallest document keeps it."""
+    least = rows.groupBy("part").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("part", "least")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(LEFT) - F.col("low"))
+    gone = rows.join(least, "part").filter("doc > least")
+    return gone.groupBy("doc", "h", "around").agg(F.bit_or(bit).alias("mask"))
 
 
 def cut(docs: DataFrame, keep_text: bool) -> DataFrame:
@@ -320,10 +396,12 @@ def cut(docs: DataFrame, keep_text: bool) -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in sub_batches(whole, "text", BATCH_BYTES):
-                texts = texts_of(batch)
+                whole_texts = texts_of(batch)
+                rows, fields = listed(batch.column("gone"))
+                touched, rows = np.unique(rows, return_inverse=True)  # the others stay as they are
+                texts = [whole_texts[k] for k in touched.tolist()]
                 row, place, h, around, first, last, buffer = anchors(texts)
                 change = np.zeros(len(buffer) + 1, np.int64)
-                rows, fields = listed(batch.column("gone"))
                 if len(rows):
                     keys, masks = named(rows, fields[0], fields[1]), fields[2]
                     by = np.argsort(keys, kind="stable")
@@ -343,8 +421,11 @@ def cut(docs: DataFrame, keep_text: bool) -> DataFrame:
                         np.add.at(change, start, 1)
                         np.add.at(change, start + LENGTH, -1)
                 covered = np.cumsum(change[:-1]) > 0
-                data, at, rows = np.frombuffer(buffer, np.uint8), 0, []
-                for text in texts:
+                data, at, rows, some = np.frombuffer(buffer, np.uint8), 0, [], set(touched.tolist())
+                for k, text in enumerate(whole_texts):
+                    if k not in some:
+                        rows.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), *([text.decode()] if keep_text else [])))
+                        continue
                     mine = covered[at : at + len(text)]
                     spans = int(np.count_nonzero(np.diff(mine.astype(np.int8), prepend=0) == 1))
                     rest = data[at : at + len(text)][~mine].tobytes() if spans else text
@@ -364,7 +445,7 @@ def cut(docs: DataFrame, keep_text: bool) -> DataFrame:
 
 def repeated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; with keep_text also kept_text and, in `row`, all its columns."""
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     others = ["row"] if keep_text else []
     docs = with_row(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", *[F.col("row").dropFields("text").alias("row")] * keep_text, "text")
     size = F.octet_length(F.coalesce("text", F.lit("")))
@@ -394,11 +475,9 @@ def repeated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         n = size.cast("long")
         gone = docs.join(one, same, "left_semi").select("doc_id", *others, n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), *([F.lit("").alias("kept_text")] if keep_text else []))
         out, lasting = out.unionByName(gone), keep_text
-        return out if keep_text else settled(out)  # texts are read from the table when the result is written
+        return owning(out, drop) if keep_text else settled(out)  # texts are read from the table when the result is written
     finally:
-        if lasting:
-            pending.append(drop)
-        else:
+        if not lasting:
             drop()
 
 
@@ -407,7 +486,7 @@ def shared_anchors(known: DataFrame) -> DataFrame:
     what is to be compared with different ones, and whether those are many."""
     seen = anchor_rows(known)
     # Rows for which a smaller document is known need no comparison; they are dealt out, so that no anchor gathers them.
-    sure, dealt = F.col("near") % 2 == 1, F.col("h").bitwiseXOR(F.xxhash64("doc"))
+    sure, dealt = F.col("near").bitwiseAND(1) == 1, F.col("h").bitwiseXOR(F.xxhash64("doc"))
     seen = seen.select(F.when(sure, dealt).otherwise(F.col("h")).alias("h"), "near", "doc")
     seen = seen.withColumn("whole", sure | (F.col("doc") > F.min("doc").over(W.partitionBy("h", "near"))))
     of = W.partitionBy("h")
@@ -415,7 +494,7 @@ def shared_anchors(known: DataFrame) -> DataFrame:
         seen = seen.withColumn(name, value.over(of))
     # The smallest document's neighbourhood is compared with different ones of the same anchor.
     seen = seen.filter(sure | F.expr("low < high and (whole or one < other)"))
-    return seen.select("doc", F.when(sure, dealt).otherwise(F.col("h")).alias("h"), F.shiftright("near", 1).alias("around"), "whole", (F.col("kinds") > MANY).alias("many"))
+    return seen.select("doc", F.when(sure, dealt).otherwise(F.col("h")).alias("h"), F.shiftrightunsigned("near", 1).alias("around"), "whole", (F.col("kinds") > MANY).alias("many"))
 
 
 def all_masks(held: DataFrame, marks: DataFrame) -> DataFrame:
@@ -426,17 +505,21 @@ def all_masks(held: DataFrame, marks: DataFrame) -> DataFrame:
         wanted = rows.groupBy("doc").agg(F.collect_list(F.struct("h", "around")).alias("wanted"))
         return neighbourhoods(held.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "wanted"))
 
-    masks = masks.union(removals(near(marks.filter("not whole and not many")).repartition("h").sortWithinPartitions("h")))
+    masks = masks.union(removals(near(marks.filter("not whole and not many")).withColumn("part", F.col("h"))))
     many = marks.filter("not whole and many")
     if not many.isEmpty():
-        masks = masks.union(removals_by_window(near(many)))
+        masks = masks.union(removals_in_parts(near(many)))
     return masks.groupBy("doc").agg(F.collect_list(F.struct("h", "around", "mask")).alias("gone"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs with repeated strings cut out of their texts. Rows that lose all their text go; others keep their columns."""
-    out = repeated(docs, keep_text=True).filter("n_removed = 0 or n_removed < n_bytes")
-    return out.select(*[F.col("kept_text" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns])
+    """The rows of docs with repeated strings cut out of their texts. Rows that lose all their text go; others keep their columns.
+
+    The result reads its tables lazily; `common.finish` drops them once it is written.
+    """
+    rows = repeated(docs, keep_text=True)
+    out = rows.filter("n_removed = 0 or n_removed < n_bytes")
+    return owning(out.select(*[F.col("kept_text" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns]), lambda: finish(rows))
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

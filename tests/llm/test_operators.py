@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, language_id, license_scan, minhash_dedup, quality_rules, source_mixing, suffix_dedup, token_binary, topk_search, url_filter
-from loomtext.llm.common import sweep
+from loomtext.llm.common import finish
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ("row", "gone", "_gone", "_kept_id", "_kept", "_repeats", "_last", "_salt", "_r_source", "repeats", "last", "doc_at", "n_bytes", "n_removed", "kept_text", "size", "n", "h", "doc", "a", "b", "key", "place", "rank", "least", "low", "shared", "of", "copy", "kept", "bands", "target", "rate", "w", "s", "p", "lines", "again", "_times", "bucket")
@@ -91,6 +91,21 @@ def test_fences_follow_the_sketches(spark):
     assert few[3].symbol_rate_upper > few[4].symbol_rate_upper
 
 
+def test_rare_symbols_are_no_fault(spark):
+    """Sources in which nearly all texts have no symbols: strays stay, junk goes, and how much is junk follows the source."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = lambda n: " ".join(word() + ("#" if k < n else "") for k in range(200))
+    rows = [(1000 * s + i, text(0), "en", f"s{s}") for s in (0, 1) for i in range(900)]
+    rows += [(1000 * s + 900 + i, text(junk + i % 7), "en", f"s{s}") for s, junk in ((0, 60), (1, 180)) for i in range(60)]
+    rows += [(1000 * s + 980 + i, text(6), "en", f"s{s}") for s in (0, 1) for i in range(2)]
+    out = by_id(quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    for s in (0, 1):
+        assert all(out[1000 * s + 980 + i].kept for i in range(2))
+        assert not any(out[1000 * s + 900 + i].kept for i in range(60))
+    assert 0 < out[0].symbol_rate_upper < out[1000].symbol_rate_upper
+
+
 def test_mixing(docs, empty):
     rows = source_mixing.plan_mix(docs).collect()
     total = sum(r["size"] for r in rows)
@@ -493,20 +508,21 @@ def test_repeats(docs, empty):
     for r in got:
         assert {c: r[c] for c in docs.columns if c != "text"} == {c: rows[r.doc_id][c] for c in docs.columns if c != "text"}
         assert out[r.doc_id].n_removed or (r.text or "") == (rows[r.doc_id].text or "")
-    sweep()
+    finish(cut)
     assert not docs.sparkSession.catalog.listTables()
 
 
 def test_anchor_with_many_neighbourhoods(spark, monkeypatch):
-    """A passage with other words around it in each document, by suffix sorting and by windows."""
+    """A passage with other words around it in each document: as one group, in parts, and window by window."""
     rng = random.Random(6)
     words = lambda n: " ".join("".join(rng.choice("abcde ") for _ in range(5)) for _ in range(n))
     passage = words(14)
     rows = [(i, words(8) + passage[rng.randrange(9) :] + words(8)) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     sorted_ = sorted(map(tuple, suffix_dedup.repeated(df).collect()))
-    monkeypatch.setattr(suffix_dedup, "MANY", 3)
-    assert sorted(map(tuple, suffix_dedup.repeated(df).collect())) == sorted_
+    for many in (0, 3, 20):
+        monkeypatch.setattr(suffix_dedup, "MANY", many)
+        assert sorted(map(tuple, suffix_dedup.repeated(df).collect())) == sorted_
     assert sum(r[2] for r in sorted_) > 59 * 50
 
 
@@ -522,3 +538,18 @@ def test_window_order():
                 first[s[k : k + 50]] = min(first.get(s[k : k + 50], 99), d)
         whose, start = suffix_dedup.window_masks(strings, owners)
         assert set(zip(whose.tolist(), start.tolist())) == {(i, k) for i, (s, d) in enumerate(zip(strings, owners)) for k in range(len(s) - 49) if first[s[k : k + 50]] < d}
+
+
+def test_languages_in_several_blocks(spark, monkeypatch):
+    """Languages that one block does not hold: the same predictions."""
+    rng = random.Random(13)
+    sounds = {f"l{k}": [rng.choice("abcdefghijklmnop") + rng.choice("aeiou") + rng.choice("bdfgklmnprst") for _ in range(6)] for k in range(7)}
+    rows = [(i, " ".join(rng.choice(sounds[f"l{i % 7}"]) for _ in range(20)), f"l{i % 7}") for i in range(140)] + [(200, None, None), (201, "1 2", "l0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language_id.prototypes(df)
+    one = by_id(language_id.predict(df, learned))
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    assert len(list(language_id.blocks(learned))) > 1
+    several = by_id(language_id.predict(df, learned))
+    assert {i: (r.lang_pred, round(r.score, 5)) for i, r in several.items()} == {i: (r.lang_pred, round(r.score, 5)) for i, r in one.items()}
+    assert one[200].lang_pred == one[201].lang_pred == "und" and one[3].lang_pred == "l3"
