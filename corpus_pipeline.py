@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, minhash_dedup, quality_rules, source_mixing, suffix_dedup
-from loomtext.llm.common import delete, settled, shared_dir, sweep
+from loomtext.llm.common import delete, finish, owning, settled, shared_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that earlier ones hold; n_chars follows the text."""
     out = suffix_dedup.deduplicated(docs)
-    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
+    if "n_chars" not in out.columns:
+        return out
+    return owning(out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)), lambda: finish(out))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +61,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     try:
         for number, (_, stage) in enumerate(STAGES[:-1]):
-            stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}")
+            result = stage(spark, docs, sf_dir)
+            try:
+                result.write.parquet(f"{base}/{number}")
+            finally:
+                finish(result)
             docs = spark.read.parquet(f"{base}/{number}")
-            sweep()
             if number:
                 delete(spark, f"{base}/{number - 1}")
         return settled(STAGES[-1][1](spark, docs, sf_dir))
