@@ -3,7 +3,8 @@
 Vectors are cut into blocks by a hash of their ids and each block keeps one list per component, sorted by value. For a query the lists
 are read in step, from the end that multiplies to large products. What has been read of a vector plus the lists' least products bounds
 its score from below, plus the lists' present products from above. Vectors whose upper bound falls under the k-th lower bound leave;
-reading stops when nothing outside the remaining few can qualify, and their final scores are resolved.
+reading stops when nothing outside the remaining few can qualify, and their final scores are resolved. A few queries find out from which
+depth on bounds decide anything; the others are compared from there on.
 
 Each block meets the queries in groups of QUERIES, so a task holds BLOCK vectors and QUERIES queries whatever the size of the input.
 One block is searched first; its k-th score is a lower bound that the queries take along to all others. A block whose lists' ends
@@ -33,7 +34,11 @@ BLOCK, QUERIES = 4096, 8192
 #: Queries that read a block's lists together.
 TOGETHER = 1024
 #: Shares of the lists after which the bounds are compared.
-DEPTHS = (1 / 4, 1 / 2, 1)
+DEPTHS = (1 / 8, 1 / 2, 1)
+#: Queries that try the depths first, and the share of vectors that may still qualify at the depth from which all others read.
+PROBES, WORTHWHILE = 4, 1 / 16
+#: Sums of whole numbers below it are exact as doubles.
+EXACT = 2.0**53
 #: Reading stops when so many times k vectors remain.
 FEW = 8
 
@@ -47,57 +52,91 @@ def scaled(vector: Column) -> Column:
 class Lists:
     """The sorted lists of one block, read from both ends in step for many queries at once.
 
-    What has been read lies in two tables, `top` for the ends of large values and `bottom` for those of small ones, with zeros where a
-    list has not come to a vector yet. A query multiplies its positive components with the former and its negative ones with the latter.
+    What has been read lies in a table of two halves, for the ends of large values and for those of small ones, with zeros where a list has
+    not come to a vector yet. A query multiplies its positive components with the former and its negative ones with the latter.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.floats = ids, vectors, vectors.astype(float)
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(vectors, self.order, axis=0).astype(np.float64)
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(query, id, score) of the k highest scores of each query, ties to smaller ids; scores under `least` may be left out."""
-        count, width = self.vectors.shape
-        columns = np.arange(width)
-        top, bottom, seen_top, seen_bottom = (np.zeros((count, width)) for _ in range(4))
+        """(query, id, score) of the k highest scores of each query, ties to smaller ids; scores under `least` may be left out.
+
+        A few queries try all depths. The others start at the first one at which these had few vectors left: where bounds decide late,
+        comparing them early would only cost time.
+        """
+        width = self.vectors.shape[1]
         signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).astype(np.float64)
-        ends = np.concatenate([self.values[0], self.values[-1]])  # the least products' values
-        slack = np.abs(signed) @ np.abs(ends) * 1e-12  # sums below 2**53 are exact
-        reach = np.maximum(signed[:, :width], 0) @ self.values[-1] + np.minimum(signed[:, width:], 0) @ self.values[0]
-        left, found, start = np.flatnonzero(reach >= least - slack), [], 0
-        for depth in DEPTHS if len(left) else ():
+        slack = np.abs(signed) @ np.abs(np.concatenate([self.values[0], self.values[-1]])) * 1e-12  # sums below EXACT are exact
+        reach = signed[:, :width] @ self.values[-1] + signed[:, width:] @ self.values[0]
+        left = np.flatnonzero(reach >= least - slack)
+        ask = lambda some, depths: self.read(some, query_ids[some], queries[some], signed[some], least[some], slack[some], k, depths)
+        found, shares = ask(left[:PROBES], DEPTHS)
+        first = next((i for i, share in enumerate(shares) if share <= WORTHWHILE), len(DEPTHS) - 1)
+        return found + ask(left[PROBES:], DEPTHS[first:])[0]
+
+    def read(self, left, query_ids, queries, signed, least, slack, k: int, depths) -> tuple[list[tuple[int, int, int]], list[float]]:
+        """The best of some queries, and the share of vectors that could still qualify after each depth."""
+        count, width = self.vectors.shape
+        ends, columns = np.concatenate([self.values[0], self.values[-1]]), np.arange(width)
+        found, shares, left, here = [], [], np.arange(len(left)), np.arange(count)
+        for depth in depths if len(left) else ():
             stop = max(1, int(count * depth))
-            low, high = self.order[start:stop], self.order[count - stop : count - start]
-            bottom[low, columns], seen_bottom[low, columns] = self.values[start:stop], 1
-            top[high, columns], seen_top[high, columns] = self.values[count - stop : count - start], 1
-            start = stop
-            q = signed[left]
-            present = np.concatenate([self.values[count - stop], self.values[stop - 1]])
-            read, seen = np.concatenate([top, bottom], axis=1), np.concatenate([seen_top, seen_bottom], axis=1)
+            if stop == count:  # all lists are read: bounds are scores
+                found += self.scored(here, query_ids[left], queries[left], least[left], k)
+                break
+            read, seen = np.zeros((count, 2 * width)), np.zeros((count, 2 * width))
+            low, high = self.order[:stop], self.order[count - stop :]
+            read[high, columns], seen[high, columns] = self.values[count - stop :], 1
+            read[low, columns + width], seen[low, columns + width] = self.values[:stop], 1
+            read, seen = read[here], seen[here]  # vectors that no query needs any more have left
+            q, present = signed[left], np.concatenate([self.values[count - stop], self.values[stop - 1]])
             lower = q @ (read - ends * seen).T + (q @ ends)[:, None]
             upper = q @ (read - present * seen).T + (q @ present)[:, None]
-            own = query_ids[left][:, None] == self.ids
-            lower[own], upper[own] = -np.inf, -np.inf
-            if count > k:
-                bound = np.maximum(np.partition(lower, count - k, axis=1)[:, count - k], least[left])
-            else:
-                bound = least[left]
+            own = query_ids[left][:, None] == self.ids[here]
+            lower[own] = -np.inf
+            bound = least[left]
+            if len(here) > k:
+                bound = np.maximum(np.partition(lower, len(here) - k, axis=1)[:, len(here) - k], bound)
             alive = (upper >= (bound - slack[left])[:, None]) & ~own
-            # Nothing outside the remaining few can qualify: resolve their scores. At full depth all bounds are scores.
-            done = (alive.sum(axis=1) <= k * FEW) | (stop == count)
+            shares.append(float(alive.sum() / (len(left) * count)))
+            # Nothing outside the remaining few can qualify: resolve their scores.
+            done = alive.sum(axis=1) <= k * FEW
             for i in np.flatnonzero(done):
-                rows = np.flatnonzero(alive[i])
-                scores = self.resolve(rows, queries[left[i]])
-                first = sorted(zip((-scores).tolist(), self.ids[rows].tolist()))[:k]
-                found += [(int(query_ids[left[i]]), x, -s) for s, x in first]
-            left = left[~done]
+                found += self.first(query_ids[left[i]], queries[left[i]], here[alive[i]], least[left[i]], k)
+            left, here = left[~done], here[alive[~done].any(axis=0)]
             if not len(left):
                 break
-        return found
+        return found, shares
+
+    def scored(self, here: np.ndarray, query_ids, queries, least, k: int) -> list[tuple[int, int, int]]:
+        """The k best of the vectors `here` for each query, by their scores."""
+        if not len(here) or float(np.abs(self.values[[0, -1]]).max() * np.abs(queries.astype(float)).sum(axis=1).max()) >= EXACT:
+            return [x for i in range(len(queries)) for x in self.first(query_ids[i], queries[i], here[self.ids[here] != query_ids[i]], least[i], k)]
+        scores, found = queries.astype(float) @ self.floats[here].T, []
+        scores[query_ids[:, None] == self.ids[here]] = -np.inf
+        bound = least if len(here) <= k else np.maximum(np.partition(scores, len(here) - k, axis=1)[:, len(here) - k], least)
+        row, column = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))
+        ids, values = self.ids[here[column]], scores[row, column].astype(np.int64)
+        order = np.lexsort((ids, -values, row))
+        row, ids, values = row[order], ids[order], values[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)  # ties beyond the k-th place are cut off
+        keep = nth < k
+        return list(zip(query_ids[row[keep]].tolist(), ids[keep].tolist(), values[keep].tolist()))
+
+    def first(self, query_id: int, query: np.ndarray, rows: np.ndarray, least: float, k: int) -> list[tuple[int, int, int]]:
+        """The k best of some vectors by their scores."""
+        scores = self.resolve(rows, query)
+        ordered = sorted(zip((-scores).tolist(), self.ids[rows].tolist()))[:k]
+        return [(int(query_id), x, -s) for s, x in ordered if -s >= least]
 
     def resolve(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Scores in whole numbers; where 64 bits could overflow, Python's integers, cut off at the ends of a long."""
+        most = np.abs(self.values[[0, -1]]).max(initial=0) * float(np.abs(query.astype(float)).sum())
+        if most < EXACT:
+            return (self.floats[rows] @ query.astype(float)).astype(np.int64)
         vectors = self.vectors[rows]
         if float(np.abs(vectors.astype(float)).max(initial=0)) * float(np.abs(query.astype(float)).sum()) < 2.0**62:
             return vectors @ query
