@@ -17,23 +17,24 @@ whole; an empty table gives an empty result; lang, source and doc_id never enter
 
 from __future__ import annotations
 
-import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomtext.llm.common import sub_batches
+from loomtext.llm.common import in_small_batches, settled, sub_batches
 
 SIZE = 1024
 CLASSES, OWN = 64, 27
 GRAMS = CLASSES**3
 SEED = 20_240
 BATCH_BYTES = 1 << 20
-#: Languages whose prototypes are broadcast, SIZE numbers each: more than there are known. TOGETHER of them are counted at once in a task.
-MAX_LANGUAGES, TOGETHER = 10_000, 64
+#: Languages whose prototypes are broadcast at once, SIZE numbers each; TOGETHER of them are counted at once in a task.
+LANGUAGES, TOGETHER = 2_000, 64
 
 
 @cache
@@ -84,8 +85,8 @@ def learns(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) != 2
 
 
-def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Language -> prototype of length 1, learned from the rows with a language and text."""
+def prototypes(docs: DataFrame) -> DataFrame:
+    """lang and the sums of its learning texts' vectors (v), from the rows with a language and text."""
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
@@ -111,19 +112,39 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
                     np.add.at(total, grams[here], counts[here])
         yield from closed()
 
-    parts = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(bundle, "lang string, place int, sum long")
+    parts = in_small_batches(docs).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(bundle, "lang string, place int, sum long")
     sums = parts.groupBy("lang", "place").agg(F.sum("sum").alias("sum")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "sum"))).alias("v"))
-    rows = sums.limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    found = {r.lang: np.array([x.sum for x in r.v], float) for r in sorted(rows, key=lambda r: r.lang)}
-    return {lang: (v / n).astype(np.float32) for lang, v in found.items() if (n := np.linalg.norm(v))}
+    return settled(sums.select("lang", F.transform("v", lambda x: x["sum"]).alias("v")))
 
 
-def predict(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred and score (the cosine, at least 0) of each row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast((list(learned), np.array(list(learned.values()), np.float32).reshape(-1, SIZE)))
+def blocks(learned: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Names and prototypes of length 1 of some LANGUAGES languages each, so that the driver holds one block at a time."""
+    count = max(1, -(-learned.count() // LANGUAGES))
+    part = F.pmod(F.xxhash64("lang"), F.lit(count))
+    for k in range(count):
+        rows = (learned.filter(part == k) if count > 1 else learned).toArrow().sort_by("lang")
+        table = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE).astype(float)
+        length = np.linalg.norm(table, axis=1)
+        names = [x for x, n in zip(rows["lang"].to_pylist(), length) if n]
+        yield names, (table[length > 0] / length[length > 0, None]).astype(np.float32)
+
+
+def predict(docs: DataFrame, learned: DataFrame) -> DataFrame:
+    """doc_id, lang_pred and score (the cosine, at least 0) of each row.
+
+    More languages than one block holds take one pass over the texts per block; each passes on the best so far.
+    """
+    schema = T.StructType([docs.schema["doc_id"]]).add("lang_pred", "string").add("score", "double")
+    out = docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang_pred"), F.lit(-2.0).alias("score"))
+    for names, table in blocks(learned):
+        out = better(out, names, table)
+    score = F.when(F.col("lang_pred").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
+    return out.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score")).to(schema)
+
+
+def better(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
+    """The same rows with lang_pred and score of a block's languages where these are closer, or as close and earlier by name."""
+    held = docs.sparkSession.sparkContext.broadcast((names, table))
 
     def run(batches):
         langs, table = held.value
@@ -141,12 +162,15 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
                 size = np.linalg.norm(vectors, axis=1)
                 known = (letters > 0) & (size > 0) & (len(langs) > 0)
                 scores = (vectors @ table.T) / np.maximum(size, 1e-9)[:, None] if langs else np.zeros((len(texts), 1))
-                best = scores.argmax(axis=1)
-                names = [langs[b] if k else "und" for b, k in zip(best, known)]
-                top = np.where(known, np.clip(scores.max(axis=1), 0, 1), 0).astype(float)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(top)], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+                top = scores.max(axis=1).astype(float)
+                best, so_far = [], zip(known.tolist(), scores.argmax(axis=1).tolist(), top.tolist(), batch.column("lang_pred").to_pylist(), batch.column("score").to_pylist())
+                for ok, k, score, name, other in so_far:
+                    mine = ok and (name is None or score > other or (score == other and langs[k] < name))
+                    best.append((langs[k], score) if mine else (name, other))
+                columns = [pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
