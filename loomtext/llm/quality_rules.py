@@ -7,6 +7,9 @@ documents more, and each source's that of its language, so the fewer documents a
 
 Limits are fences that the sketches alone decide: as far beyond an outer quantile as that lies from the median. Documents outside
 them are rejected. Which quantile is a parameter of the rate: 0.9 for symbols, since a tenth of a source may be junk, 0.99 for repeats.
+Where so many documents of a group have none of what a rate counts that its outer quantile is 0, those that have some are the group's
+outliers, and their own sketch sets the fence: half of their lower quantile. So a few symbols in a long clean text are no fault where junk
+has many.
 
 Everything is built from DataFrame functions: no Python runs on the executors.
 
@@ -38,6 +41,8 @@ RATES = {
     "line_rate": ("n_dup_lines", "n_lines", 1000, None, 990),
     "repeat_rate": ("n_repeat_words", "n_words", 1000, None, 990),
 }
+#: The lower quantile, in per mille, of the documents whose rate is not 0.
+SOME = 100
 #: A fence lies so many times the distance from the median to the outer quantile beyond the outer quantile.
 STRETCH = 1
 GROUPS_BROADCAST, IDS_BROADCAST = 20_000, 1_000_000
@@ -119,7 +124,17 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     merged = sketch.withColumn("upto", F.sum("n").over(part.orderBy("bucket")).cast("decimal(38,0)") * 1000).withColumn("total", F.sum("n").over(part))
     level = lambda side: F.coalesce(*[F.when(F.col("rate") == r, F.lit(x[side])) for r, x in RATES.items()])
     reach = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bucket")))
-    return merged.groupBy(*keys, "rate").agg(reach(level(3)).alias("low"), reach(F.lit(500)).alias("mid"), reach(level(4)).alias("high"))
+    # The same over the buckets above 0.
+    some = F.when(F.col("bucket") > 0, F.col("n")).otherwise(F.lit(0)).cast(EXACT)
+    merged = merged.withColumn("upto_some", F.sum(some).over(part.orderBy("bucket")).cast("decimal(38,0)") * 1000).withColumn("total_some", F.sum(some).over(part))
+    above = lambda q: F.min(F.when((F.col("bucket") > 0) & (F.col("upto_some") >= F.col("total_some") * q), F.col("bucket")))
+    return merged.groupBy(*keys, "rate").agg(reach(level(3)).alias("low"), reach(F.lit(500)).alias("mid"), reach(level(4)).alias("high"), above(SOME).alias("some_low"))
+
+
+def upper_fence() -> Column:
+    """From the quantiles of a group's rate, as whole numbers."""
+    usual = F.col("high") + STRETCH * (F.col("high") - F.col("mid"))
+    return F.when(F.col("high") > 0, usual).otherwise(F.coalesce(F.floor(F.col("some_low") / 2).cast("long"), F.lit(0)))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
@@ -130,7 +145,7 @@ def limits(sketch: DataFrame) -> DataFrame:
     found = []
     for name, (_, _, _, low, high) in RATES.items():
         here = F.col("rate") == name
-        found += [F.max(F.when(here, F.col("high") + STRETCH * (F.col("high") - F.col("mid")))).alias(f"{name}_upper")] if high else []
+        found += [F.max(F.when(here, upper_fence())).alias(f"{name}_upper")] if high else []
         found += [F.max(F.when(here, F.col("low") - STRETCH * (F.col("mid") - F.col("low")))).alias(f"{name}_lower")] if low else []
     return both.groupBy("lang", "source").agg(*found)
 
@@ -171,6 +186,7 @@ def oracle_sql() -> str:
     rows = " union all ".join(f"select doc_id, lang, source, base_failed, '{r}' rate, {rate(*x[:3])} x from counts" for r, x in RATES.items())
     level = lambda side: "case rate " + " ".join(f"when '{r}' then {x[side]}" for r, x in RATES.items() if x[side]) + " end"
     reach = lambda q: f"min(case when upto * 1000 >= total * {q} then b end)"
+    above = lambda q: f"min(case when b > 0 and upto_some * 1000 >= total_some * {q} then b end)"
     return f"""
 with w as (
   select doc_id, lang, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{WORD}') ws,
@@ -199,9 +215,11 @@ mixed as (
     union all select g.lang, source, g.rate, p.b, p.n * {PRIOR}
     from (select distinct lang, source, rate from own) g join of_lang p on g.rate = p.rate and g.lang is not distinct from p.lang) group by all),
 picked as (
-  select lang, source, rate, {reach(level(3))} low, {reach(500)} mid, {reach(level(4))} high
-  from (select *, sum(n) over (partition by lang, source, rate order by b) upto, sum(n) over (partition by lang, source, rate) total from mixed) group by all),
-fences as (select lang, source, rate, high + {STRETCH} * (high - mid) upper, low - {STRETCH} * (mid - low) lower from picked),
+  select lang, source, rate, {reach(level(3))} low, {reach(500)} mid, {reach(level(4))} high, {above(SOME)} some_low
+  from (select *, sum(n) over part upto, sum(n) over whole_part total, coalesce(sum(n) filter (b > 0) over part, 0) upto_some, coalesce(sum(n) filter (b > 0) over whole_part, 0) total_some
+    from mixed window part as (partition by lang, source, rate order by b), whole_part as (partition by lang, source, rate)) group by all),
+fences as (
+  select lang, source, rate, case when high > 0 then high + {STRETCH} * (high - mid) else coalesce(some_low // 2, 0) end upper, low - {STRETCH} * (mid - low) lower from picked),
 outside as (
   select distinct doc_id from rated r join fences f
   on r.lang is not distinct from f.lang and r.source is not distinct from f.source and r.rate = f.rate where b > upper or b < lower)
