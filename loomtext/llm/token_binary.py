@@ -35,16 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, words
-from loomtext.llm.common import Table, settled, sub_batches
+from loomtext.llm.common import Table, in_small_batches, settled, sub_batches
 
 BLOCK = 256
 PERCENTILES = (75, 90, 95, 99, 100)
 END = 0
 #: A segment is closed with the document that brings it to so many ids.
-SEGMENT = 1 << 18
+SEGMENT = 1 << 20
 BATCH_BYTES = 2 << 20
 #: Words that a worker remembers; unseen ones cost most of the time.
-WORDS_HELD = 1_000_000
+WORDS_HELD = 700_000
+#: Words that the library encodes as one text.
+TOGETHER = 512
 INDEX = np.dtype([("start", "<u8"), ("least", "<u4"), ("width", "<u2"), ("exceptions", "<u2")])
 
 
@@ -147,22 +149,47 @@ class LibraryEncoder(bpe.Encoder):
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = self.cut_words(joined, points, np.cumsum(lengths))
         ends = np.append(starts[1:], len(points)) if len(starts) else starts
-        first, number = words.distinct(points, starts, ends, words.names(self.values[points], starts, ends))
+        first, number = words.distinct(points.astype(np.uint16), starts, ends, words.names(self.values[points], starts, ends))
         begin, end = starts[first].tolist(), ends[first].tolist()
         distinct = [joined[a:b] for a, b in zip(begin, end)]
-        self.learn(distinct)
-        table = bpe.Offsets(list(map(self.memory.__getitem__, distinct)))
-        ids = np.frombuffer(table.gather(number), np.uint32) if len(number) else np.zeros(0, np.uint32)
-        stops = np.concatenate([[0], np.cumsum(table.size[number] // 4)])[np.searchsorted(starts, np.cumsum(lengths))] if len(number) else np.zeros(len(kept), np.int64)
+        table = bpe.Offsets(self.looked_up(distinct), np.uint32)
+        ids = table.take(number)
+        stops = np.concatenate([[0], np.cumsum(table.size[number])])[np.searchsorted(starts, np.cumsum(lengths))] if len(number) else np.zeros(len(kept), np.int64)
         parts = iter(np.split(ids, stops[:-1])) if kept else iter(())
         out = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else next(parts) for t, w in zip(texts, whole, strict=True)]
         self.memory.trim(WORDS_HELD)
         return out
 
-    def learn(self, some: list[str]) -> None:
-        unseen = [w for w in some if w not in self.memory]
-        found = self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False) if unseen else ()
-        for word, x in zip(unseen, found, strict=True):
+    def looked_up(self, some: list[str]) -> list[bytes]:
+        """The ids of words."""
+        found = list(map(self.memory.get, some))
+        unseen = [k for k, x in enumerate(found) if x is None]
+        if unseen:
+            self.learn([some[k] for k in unseen])
+            for k in unseen:
+                found[k] = self.memory[some[k]]
+        return found
+
+    def learn(self, unseen: list[str]) -> None:
+        """Has the library encode words that are not known yet.
+
+        Words of a space and something else are cut from each other wherever they stand, so many of them go as one text, and the lengths of
+        the tokens tell where each word's end.
+        """
+        spaced, alone = [], []
+        for w in unseen:
+            (spaced if w[0] == " " and len(w) > 1 and not w[-1].isspace() else alone).append(w)
+        parts = [spaced[k : k + TOGETHER] for k in range(0, len(spaced), TOGETHER)]
+        for part, x in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False) if parts else (), strict=True):
+            ids = np.array(x.ids, np.uint32)
+            cuts = words.token_cuts(self.decoded.size[ids], part)
+            if cuts is None:
+                alone += part
+                continue
+            raw = ids.tobytes()
+            self.memory.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
+        found = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else ()
+        for word, x in zip(alone, found, strict=True):
             self.memory[word] = array("I", x.ids).tobytes()
 
     def cut_words(self, text: str, points: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -242,7 +269,7 @@ def write(docs: DataFrame, name: str = "byte_bpe_50k.json", path: str | None = N
 
     columns = ["shard", "segment", "first_id", "doc_ids", "sizes", "payload"]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
     return Table(rows.mapInArrow(run, FILE_SCHEMA))
 

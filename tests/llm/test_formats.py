@@ -281,3 +281,17 @@ def test_long_words_are_told_apart(spark, size):
             if first[t[k : k + 50]] < r.doc_id - 1:
                 gone[k : k + 50] = b"\1" * 50
         assert r.n_removed == sum(gone) and r.kept_sha256 == hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "ab", "abcdefgh", "abcdefghi", "abcdefgi", "é", "日本", "x" * 17, "x" * 16 + "y", "\0", "a\0"]), max_size=12), st.integers(1, 3), st.sampled_from([np.uint8, np.uint16, np.uint32]))
+def test_words_by_content(some, kinds, unit):
+    """Names that say little: the characters decide."""
+    code = {np.uint8: "utf-8", np.uint16: "utf-16-le", np.uint32: "utf-32-le"}[unit]
+    raw = [w.encode(code) for w in some]
+    units = np.frombuffer(b"".join(raw), unit)
+    ends = np.cumsum([len(r) // unit().itemsize for r in raw], dtype=np.int64)
+    starts = ends - [len(r) // unit().itemsize for r in raw] if raw else ends
+    first, number = words.distinct(units, starts, ends, np.array([sum(r) % kinds for r in raw], np.uint64))
+    assert [some[first[n]] for n in number] == some
+    assert all((number[i] == number[j]) == (some[i] == some[j]) for i in range(len(some)) for j in range(i))
