@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomtext.llm.common import sub_batches
+from loomtext.llm.common import in_small_batches, sub_batches
 
 BATCH_BYTES = 4 << 20
 #: Distinct words that one worker remembers; beyond it, it starts anew.
-WORDS_HELD = 400_000
+WORDS_HELD = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -159,19 +159,22 @@ class Merges:
 
 
 class Offsets:
-    """Byte strings laid end to end, gathered by their numbers."""
+    """Byte strings laid end to end, gathered by their numbers, in units of one or more bytes."""
 
-    def __init__(self, strings: list[bytes]):
-        self.blob = np.frombuffer(b"".join(strings), np.uint8)
-        self.size = np.array([len(s) for s in strings], np.int64)
+    def __init__(self, strings: list[bytes], unit=np.uint8):
+        self.blob = np.frombuffer(b"".join(strings), unit)
+        self.size = np.array([len(s) for s in strings], np.int64) // self.blob.itemsize
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
 
-    def gather(self, ids: np.ndarray) -> bytes:
+    def take(self, ids: np.ndarray) -> np.ndarray:
         sizes = self.size[ids]
         ends = np.cumsum(sizes)
         if not len(ids) or not ends[-1]:
-            return b""
-        return self.blob[np.repeat(self.start[ids] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
+            return self.blob[:0]
+        return self.blob[np.repeat(self.start[ids] - ends + sizes, sizes) + np.arange(ends[-1])]
+
+    def gather(self, ids: np.ndarray) -> bytes:
+        return self.take(ids).tobytes()
 
 
 class Encoder:
@@ -304,7 +307,7 @@ def encode_decode(docs: DataFrame, name: str = "word_bpe_49k.json", path: str |
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_text else [])]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep_text
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

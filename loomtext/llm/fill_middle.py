@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import sub_batches, with_row
+from loomtext.llm.common import in_small_batches, sub_batches, with_row
 
 BATCH_BYTES = 2 << 20
 #: Units between two checkpoints.
@@ -99,7 +99,7 @@ def restored(output: bytes, form: str) -> bytes:
 def transformed(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",), seed: int = SEED, rate: int = RATE, spm: int = SPM) -> DataFrame:
     """The carried columns, n, form, prefix_chars, middle_chars and output of each row; doc_id and text are read."""
     other = "_".join(carried)  # longer names than theirs clash with none
-    rows = docs.select(*carried, F.col("doc_id").cast("string").alias(f"{other}_id"), F.col("text").alias(f"{other}_text"))
+    rows = in_small_batches(docs).select(*carried, F.col("doc_id").cast("string").alias(f"{other}_id"), F.col("text").alias(f"{other}_text"))
     id_at, text_at = len(carried), len(carried) + 1
     schema = T.StructType([docs.schema[c] for c in carried])
     for name, kind in zip(NAMES, (T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType()), strict=True):

@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtext.llm import words
-from loomtext.llm.common import WORD, Table, release, settled, small, sub_batches, with_row
+from loomtext.llm.common import WORD, Table, in_small_batches, release, settled, small, sub_batches, with_row
 from loomtext.llm.components import components
 
 WIDTH = 5
@@ -285,7 +285,7 @@ def links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
-    table = Table(described(docs))
+    table = Table(described(in_small_batches(docs)))
     try:
         rows = table.read()
         full = rows.filter("n_shingles > 0 and doc_id is not null")
