@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.bpe import Offsets, byte_letters, tokenizer_file
-from loomtext.llm.common import Table, settled, sub_batches
+from loomtext.llm import token_binary, words
+from loomtext.llm.bpe import Offsets, tokenizer_file
+from loomtext.llm.common import Table, in_small_batches, settled, sub_batches
 
 A, B = 0, 1
-BATCH_BYTES = 2 << 20
+SPACE = "\u2581"
+#: Words of each side that a worker remembers.
+WORDS_HELD = 250_000
+BATCH_BYTES = 1 << 20
 #: Tokens of one row of events.
 BLOCK = 1 << 14
 #: A pair of ids is a number: the A id, then SHIFT bits for the B id.
@@ -45,37 +50,84 @@ NO_TOKENS = -1
 DECIMAL = Offsets([b",%d" % i for i in range(1 << 16)])
 
 
-class ByteLevel:
-    """Side A: a space and the text, without special tokens."""
+class ByteLevel(token_binary.LibraryEncoder):
+    """Side A: a space and the text, without special tokens. Distinct words are looked up, and encoded by the library once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel unit
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        super().__init__(path)
+        self.cut, self.tokenizer.encode_special_tokens = None, True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        back = {c: b for b, c in enumerate(byte_letters())}
-        vocab = {i: t for t, i in self.tokenizer.get_vocab().items()}
-        self.bytes = Offsets([bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in (vocab.get(i, "") for i in range(max(vocab) + 1))])
+        self.bytes = self.decoded
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        found = [x.astype(np.uint16) for x in self.encode_all([" " + t for t in texts])]
+        self.memory.trim(WORDS_HELD)
+        return found
 
 
 class Pieces:
-    """Side B: the text; the library adds the space."""
+    """Side B: the text; the library adds the space.
+
+    Where no piece has a space behind another character, no merge crosses the start of a run of spaces, so words (such a run and what
+    follows it) are encoded by themselves, each distinct one once. Other vocabularies get whole texts.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.tokenizer = tool = sentencepiece.SentencePieceProcessor(model_file=path)
-        count = tool.get_piece_size()
-        self.bytes = Offsets([bytes([int(tool.id_to_piece(i)[1:-1], 16)]) if tool.is_byte(i) else tool.id_to_piece(i).replace("▁", " ").encode() for i in range(count)])
+        pieces = [tool.id_to_piece(i) for i in range(tool.get_piece_size())]
+        self.bytes = Offsets([bytes([int(p[1:-1], 16)]) if tool.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)])
+        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.values = np.random.default_rng(11).integers(1, 2**63, 256, np.uint64)
+        self.fresh()
+
+    def fresh(self) -> None:
+        self.memory = {"": np.array([self.tokenizer.piece_to_id(SPACE)], np.uint16).tobytes()}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.uint16) for ids in self.tokenizer.encode(texts, num_threads=1)]
+        if not self.by_word:
+            return [np.array(ids, np.uint16) for ids in self.tokenizer.encode(texts, num_threads=1)]
+        raw = [(" " + t).encode() for t in texts]
+        buffer, stops = b"".join(raw), np.cumsum([len(r) for r in raw])
+        data = np.frombuffer(buffer, np.uint8)
+        start = data == 32
+        start[1:] &= ~start[:-1]
+        start[stops - [len(r) for r in raw]] = True
+        starts = np.flatnonzero(start)
+        ends = np.append(starts[1:], len(data))
+        first, number = words.distinct(data, starts, ends, words.names(self.values[data], starts, ends))
+        table = Offsets(self.looked_up([buffer[a + 1 : b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]), np.uint16)
+        ids = table.take(number)
+        sizes = np.concatenate([[0], np.cumsum(table.size[number])])
+        return np.split(ids, sizes[np.searchsorted(starts, stops[:-1])])
+
+    def looked_up(self, some: list[str]) -> list[bytes]:
+        """The ids of words without their first space, which the library adds."""
+        if len(self.memory) > WORDS_HELD:
+            self.fresh()
+        memory = self.memory
+        got = list(map(memory.get, some))
+        unseen = [k for k, x in enumerate(got) if x is None]
+        closed, alone = [], []
+        for k in unseen:
+            (alone if some[k][-1] == " " else closed).append(some[k])
+        parts = [closed[k : k + token_binary.TOGETHER] for k in range(0, len(closed), token_binary.TOGETHER)]
+        for part, found in zip(parts, self.tokenizer.encode([" ".join(p) for p in parts], num_threads=1) if parts else (), strict=True):
+            ids = np.array(found, np.uint16)
+            cuts = words.token_cuts(self.bytes.size[ids], [" " + w for w in part], 2)
+            if cuts is None:  # a text of which a piece stands for other bytes
+                alone += part
+                continue
+            raw = ids.tobytes()
+            memory.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
+        for w, ids in zip(alone, self.tokenizer.encode(alone, num_threads=1) if alone else (), strict=True):
+            memory[w] = array("H", ids).tobytes()
+        for k in unseen:
+            got[k] = memory[some[k]]
+        return got
 
 
 SIDES = ((ByteLevel, "byte_bpe_50k.json"), (Pieces, "piece_bpe_32k.model"))
@@ -94,7 +146,7 @@ def tool(side: int, path: str | None = None):
 
 def end_events(docs: DataFrame, side: int, path: str | None = None) -> DataFrame:
     """doc_id, digest of the text, offset, side and ids (16 bit each) of one side; offset NO_TOKENS says that the document has none."""
-    rows = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
+    rows = in_small_batches(docs).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
 
     def run(batches):
         mine = tool(side, path)
