@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from loomtext.functions import matching
 from loomtext.functions import text as T
 
 # What numbers, placeholders, citations, headings and tokens look like.
@@ -143,21 +143,19 @@ def overlaps(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.withColumn("bigram_overlap", jaccard(T.ngrams(F.col("ta"), 2), T.ngrams(F.col("tb"), 2)))
 
 
-@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("chars", "joined", "tokens")]))
-def matching(a: pd.Series, b: pd.Series, ta: pd.Series, tb: pd.Series) -> pd.DataFrame:
-    """Shares of matching characters, of characters of the joined tokens, and of tokens. The longest-match recursion has no column form."""
-
-    def ratio(x, y) -> float:
-        return SequenceMatcher(None, x, y).ratio()
-
-    rows = [(ratio(x.lower(), y.lower()), ratio(" ".join(p), " ".join(q)), ratio(list(p), list(q))) for x, y, p, q in zip(a, b, ta, tb)]
-    return pd.DataFrame(rows, columns=["chars", "joined", "tokens"])
+@F.arrow_udf(StructType([StructField(n, DoubleType()) for n in ("chars", "joined", "tokens")]))
+def matched_shares(a: pa.Array, b: pa.Array, ta: pa.Array, tb: pa.Array) -> pa.Array:
+    """Shares of matching characters, of characters of the joined tokens, and of tokens, from the texts and their joined tokens. The longest-match
+    recursion has no column form. Rows become Python's strings one by one."""
+    rows = ([v.as_py() for v in row] for row in zip(a, b, ta, tb))
+    shares = [(matching.ratio(x.lower(), y.lower()), matching.ratio(p, q), matching.ratio(p.split(), q.split())) for x, y, p, q in rows]
+    return pa.StructArray.from_arrays([pa.array([s[k] for s in shares], pa.float64()) for k in range(3)], ["chars", "joined", "tokens"])
 
 
 def quick_similarity(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adds quick_similarity: 1 for two texts without tokens, 0 if only one has some."""
     df = overlaps(df, a, b)
-    df = df.withColumn("_m", matching(a, b, "ta", "tb"))
+    df = df.withColumn("_m", matched_shares(a, b, F.array_join("ta", " "), F.array_join("tb", " ")))
     blend = 0.28 * F.col("_m.chars") + 0.27 * F.col("_m.joined") + 0.18 * F.col("_m.tokens") + 0.17 * F.col("unigram_overlap") + 0.10 * F.col("bigram_overlap")
     both, one = (F.size("ta") == 0) & (F.size("tb") == 0), (F.size("ta") == 0) | (F.size("tb") == 0)
     either = (F.length(a) == 0) != (F.length(b) == 0)

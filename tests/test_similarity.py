@@ -1,11 +1,14 @@
 """Similarity of whole documents against a plain version."""
 
+import random
 import re
+import time
 from difflib import SequenceMatcher
 from itertools import pairwise
 
 import pytest
 
+from loomtext.functions import matching
 from loomtext.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +31,27 @@ def test_documents_whole(spark):
     got = {r.doc_id: r.quick_similarity for r in catalogue.queries()["quick_similarity_documents"](spark, SF).collect()}
     want = {i: plain(t, texts[i + 1]) for i, t in texts.items() if i + 1 in texts}
     assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_shares_equal_the_standard_library(monkeypatch):
+    """Both ways, over texts and lists below and above the size from which frequent items begin no match."""
+    draw = random.Random(5)
+    for k in range(400):
+        letters = draw.choice(["ab", "abcdef", "abcdefghijklmnopqrstuvwxyz0123456789 é\U0001f600"])
+        a = "".join(draw.choices(letters, k=draw.randint(0, 400)))
+        b = "".join(draw.choices(letters, k=draw.randint(0, 400)))
+        if k % 2:
+            b = "".join(x if draw.random() < 0.9 else draw.choice(letters) for x in a) + a[: draw.randint(0, 99)]
+        monkeypatch.setattr(matching, "LARGE", draw.choice([0, 5_000, 3_000_000]))
+        for x, y in ((a, b), (list(a), list(b))):
+            assert matching.ratio(x, y) == SequenceMatcher(None, x, y).ratio()
+
+
+def test_long_texts_take_less_than_the_square():
+    """The standard library takes minutes for these, as the recursion looks at all pairs of equal characters."""
+    draw = random.Random(7)
+    letters = "".join(chr(0x4E00 + i) for i in range(150))
+    a, b = ("".join(draw.choices(letters, k=150_000)) for _ in range(2))
+    start = time.monotonic()
+    assert 0 < matching.ratio(a, b) < 1
+    assert time.monotonic() - start < 30
