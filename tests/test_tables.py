@@ -4,6 +4,7 @@ import json
 import random
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,3 +342,19 @@ def test_members_get_their_groups_results(spark):
     found = spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.7)], "doc long, group_no long, score double")
     got = sorted((r.doc, r.pos, r.score) for r in chunks.fanned_out(groups, found, "doc").collect())
     assert got == [(1, 0, 0.5), (1, 1, 0.5), (1, 3, None), (2, 5, 0.7)]
+
+
+@pytest.mark.parametrize("parse", [markup.markdown_chunks, markup.latex_chunks])
+def test_chunks_leave_python_in_bounded_parts(spark, monkeypatch, parse):
+    """A batch of many texts is not held as a whole: what Python makes of it at once does not grow with it."""
+    frames = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, run, schema: frames.append((run, schema)) or df)
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    markup.chunked(docs, parse, "doc_id")
+    texts = [None, "", *["some words here\n\nand there\n" * 2_000] * 100]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    parts = list(frames[0][0](iter([batch])))
+    assert len(parts) > 4 and max(p.nbytes for p in parts) < 5 << 20
+    got = [r for p in parts for r in p.to_pylist()]
+    want = [(k, *chunk[:5]) for k, t in enumerate(texts) for chunk in parse(t or "")]
+    assert [tuple(r[c] for c in ("doc_id", "pos", "kind", "start", "end", "text")) for r in got] == want
