@@ -33,17 +33,9 @@ def parsed(docs: DataFrame, *keys: str, parsers: dict | None = None, prose_envs:
     known = dict(parsers or PARSERS)
     if prose_envs or structural_macros:
         known["latex"] = partial(known["latex"], prose_envs=prose_envs, structural_macros=structural_macros)
-    names = ["pos", "kind", "start", "end", "text", "math"]
-
-    def run(batches):
-        for batch in batches:
-            rows = [(*key, *chunk) for *key, kind, text in batch[[*keys, "format", "text"]].itertuples(index=False) for chunk in known[kind](text or "")]
-            yield pd.DataFrame(rows, columns=[*keys, *names])
-
     odd = F.raise_error(F.concat(F.lit("no parser for format "), F.coalesce("format", F.lit("null"))))
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     rows = docs.select(*keys, F.when(F.col("format").isin(*known), F.col("format")).otherwise(odd).alias("format"), "text")
-    return rows.mapInPandas(run, f"{kinds}, {markup.SCHEMA}")
+    return markup.parsed_rows(rows, keys, ["format", "text"], lambda kind, text: known[kind](text or ""))
 
 
 def prose(chunks: DataFrame) -> DataFrame:
