@@ -98,10 +98,13 @@ def transitions(docs: DataFrame) -> DataFrame:
 
 def tagged(docs: DataFrame, tag: str = "tags", relation: str | None = None, head: str | None = None) -> DataFrame:
     """disc_pos_trigram_entropy from a column of tags; with relations and heads also clause_density_mean and style_clause_density_variance."""
-    docs = docs.withColumn("disc_pos_trigram_entropy", F.when(F.size("words") >= 6, tags.tag_entropy(F.col(tag))))
+    # Each sort stands in a column of its own: inside a lambda Spark would compare boxed numbers.
+    docs = docs.withColumn("_names", T.hashed(F.col(tag))).withColumn("_runs", tags.tag_runs(F.col("_names")))
+    docs = docs.withColumn("disc_pos_trigram_entropy", F.when(F.size("words") >= 6, tags.run_entropy(F.col("_runs")))).drop("_names", "_runs")
     if relation is None or head is None:
         return docs
-    docs = docs.withColumn("_clauses", tags.clause_density(F.col(tag), F.col(relation), F.col(head)))
+    docs = docs.withColumn("_top", tags.roots(F.col(head))).withColumn("_places", tags.clause_places(F.col(tag), F.col(relation), F.col("_top")))
+    docs = docs.withColumn("_clauses", tags.clause_shape(F.col("_top"), F.col("_places"))).drop("_top", "_places")
     return docs.withColumn("clause_density_mean", F.col("_clauses.mean")).withColumn("style_clause_density_variance", F.col("_clauses.variance")).drop("_clauses")
 
 

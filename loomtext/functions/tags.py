@@ -6,54 +6,71 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomtext.functions import constants as C
-from loomtext.functions.text import entropy_of, hashed, let, neighbours, repeats
+from loomtext.functions.text import entropy_of_counts, hashed, let, multiplicities
 
 # Word classes that head clauses, and the relations in which they do.
 CLAUSE_TAGS = ("VERB", "AUX")
 CLAUSE_RELATIONS = ("ROOT", "advcl", "relcl", "ccomp", "xcomp", "conj")
 
 
+def tag_runs(names: Column) -> Column:
+    """Names of runs of three neighbours, sorted. `names` is a plain column or a lambda's, of numbers."""
+    runs = F.transform(F.sequence(F.lit(2), F.greatest(F.size(names) - 1, F.lit(2))), lambda i: F.xxhash64(F.get(names, i - 2), F.get(names, i - 1), F.get(names, i)))
+    return F.sort_array(F.slice(runs, F.lit(1), F.greatest(F.size(names) - 2, F.lit(0))))
+
+
+def run_entropy(runs: Column) -> Column:
+    """Shannon entropy in bits of sorted runs, which are a plain column or a lambda's; null if there are none.
+
+    Few distinct runs occur very often, so they are counted by where they begin and not folded one by one.
+    """
+    return F.when(F.size(runs) > 0, entropy_of_counts(F.size(runs), multiplicities(runs)))
+
+
 def tag_entropy(tags: Column) -> Column:
     """Shannon entropy in bits of runs of three tags; null for fewer than three."""
-    runs = let(hashed(tags), lambda one: neighbours(neighbours(one, one), one))
-    return F.when(F.size(tags) >= 3, let(F.sort_array(runs), lambda s: entropy_of(F.size(s), repeats(s))))
+    return let(let(hashed(tags), tag_runs), run_entropy)
 
 
 def roots(heads: Column) -> Column:
     """The root above each token, from the index of each token's head (a root's is its own, or none).
 
-    Each step doubles how far up the tree it looks, so a tree of depth d takes log2(d) passes over the array.
+    Each step doubles how far up the tree it looks, so a tree of depth d takes log2(d) passes over the array, and one that finds nothing new.
     """
     sound = F.transform(heads, lambda h, i: F.when((h >= 0) & (h < F.size(heads)), h).otherwise(i).cast("int"))
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(heads), F.lit(1)))).cast("int"))
-    return F.aggregate(steps, sound, lambda above, _: F.transform(above, lambda i: F.get(above, i)))
-
+    state = lambda above, done: F.struct(above.alias("above"), done.alias("done"))
 
-def clause_density(tags: Column, relations: Column, heads: Column) -> Column:
-    """Struct of mean and variance of the number of clauses of a sentence, which is a tree; null for fewer than three sentences.
+    def step(a: Column, _: Column) -> Column:
+        further = F.transform(a["above"], lambda i: F.get(a["above"], i))
+        return F.when(a["done"], a).otherwise(let(further, lambda new: state(new, F.coalesce(new == a["above"], F.lit(False)))))
 
-    A clause is a verb or auxiliary in one of CLAUSE_RELATIONS. Missing tags and relations count for none.
-    """
+    return F.aggregate(steps, state(sound, F.lit(False)), step, lambda a: a["above"])
 
-    def of(top: Column) -> Column:
-        clause = lambda i: F.coalesce(F.get(tags, i).isin(*CLAUSE_TAGS) & F.get(relations, i).isin(*CLAUSE_RELATIONS), F.lit(False))
-        marked = F.filter(F.transform(top, lambda r, i: F.when(clause(i), r)), lambda r: r.isNotNull())
-        return let(F.struct(F.size(F.array_distinct(top)).alias("n"), F.size(marked).alias("sum"), squares(F.sort_array(marked)).alias("squares")), shape)
 
-    def squares(ordered: Column) -> Column:
-        # c * c is the sum of 1, 3, 5 ... over the c clauses of a sentence.
-        start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+def clause_places(tags: Column, relations: Column, top: Column) -> Column:
+    """The sorted roots of the sentences that each clause belongs to, with one entry per clause. The columns are plain ones or a lambda's."""
+    clause = lambda i: F.coalesce(F.get(tags, i).isin(*CLAUSE_TAGS) & F.get(relations, i).isin(*CLAUSE_RELATIONS), F.lit(False))
+    return F.sort_array(F.filter(top, lambda r, i: r.isNotNull() & clause(i)))
 
-        def add(a: Column, r: Column) -> Column:
-            return let(F.when(a["last"] == r, a["run"] + 1).otherwise(F.lit(1).cast("long")), lambda run: F.struct(r.alias("last"), run.alias("run"), (a["sum"] + 2 * run - 1).alias("sum")))
 
-        return F.aggregate(ordered, start, add, lambda a: a["sum"])
+def clause_shape(top: Column, places: Column) -> Column:
+    """Struct of mean and variance of the number of clauses of a sentence, from the roots of tokens and those of clauses."""
 
     def shape(x: Column) -> Column:
         mean = x["sum"] / x["n"]
         return F.when(x["n"] >= C.MIN_SENTENCES, F.struct(mean.alias("mean"), ((x["n"] * x["squares"] - x["sum"] * x["sum"]) / (x["n"] * x["n"])).alias("variance")))
 
-    return let(roots(heads), of)
+    squares = F.aggregate(multiplicities(places), F.lit(0).cast("long"), lambda a, c: a + c.cast("long") * c)
+    return let(F.struct(F.size(F.array_distinct(top)).cast("long").alias("n"), F.size(places).cast("long").alias("sum"), squares.alias("squares")), shape)
+
+
+def clause_density(tags: Column, relations: Column, heads: Column) -> Column:
+    """Struct of mean and variance of the number of clauses of a sentence, which is a tree; null for fewer than three sentences.
+
+    A clause is a verb or auxiliary in one of CLAUSE_RELATIONS. Missing tags and relations count for none.
+    """
+    return let(roots(heads), lambda top: let(clause_places(tags, relations, top), lambda places: clause_shape(top, places)))
 
 
 #: Words with a full stop that do not end a sentence.
