@@ -115,7 +115,7 @@ def modelled(docs: DataFrame, losses: str | None = None, loss_tokens: str | None
         docs = docs.withColumn("_losses", signals.sentence_losses(F.col(losses), F.col(loss_tokens)))
         docs = docs.withColumn("lm_perplexity_mean", F.col("_losses.mean")).withColumn("lm_burstiness", F.col("_losses.std")).drop("_losses")
     if log_probs is not None:
-        docs = docs.withColumn("lm_token_prob_tail_ratio", signals.token_distribution(F.col(log_probs))["tail_ratio"])
+        docs = docs.withColumn("lm_token_prob_tail_ratio", signals.tail_ratio(F.col(log_probs)))
     return docs
 
 

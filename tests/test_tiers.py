@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import features, scoring, signals, tags
+from loomtext.functions import text as T
 from loomtext.operators import alignment, tiers
 
 
@@ -254,3 +255,31 @@ def test_gate_is_strict(spark):
     assert of(human_max=0.3, ai_min=0.7) == [False, True, False, True, None]
     assert of(human_max=0.5, ai_min=0.9)[1] is False
     assert of(always=True) == [True] * 5
+
+
+def test_multiplicities(spark):
+    rows = [([],), ([5],), ([1, 1, 1],), ([1, 2, 2, 3, 3, 3, -4][::-1],), (None,)]
+    df = spark.createDataFrame(rows, "v array<long>").select(T.multiplicities(F.sort_array("v")).alias("n"))
+    got = [r.n for r in df.collect()]
+    assert got[:4] == [[], [1], [3], [1, 1, 2, 3]] and not got[4]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tag_sorts_stand_in_columns_of_their_own(spark):
+    """Inside a lambda Spark sorts boxed numbers."""
+    docs = spark.createDataFrame([(["x"] * 9, ["NOUN", "VERB", "AUX"] * 3, ["ROOT", "obj", "conj"] * 3, [0, 0, 1] * 3)], "words array<string>, tags array<string>, rels array<string>, heads array<int>")
+    out = features.tagged(docs, "tags", "rels", "heads")
+    assert "AS _runs#" in plan_of(out) and "AS _places#" in plan_of(out)
+    row = out.first()
+    assert row.disc_pos_trigram_entropy == pytest.approx(-sum(c / 7 * math.log2(c / 7) for c in (3, 2, 2)))
+    assert row.clause_density_mean is None
+
+
+def test_tail_ratio_takes_no_moments(spark):
+    df = spark.createDataFrame([([-1.0, -2.0, -9.0, -3.0],), ([-1.0],), (None,)], "v array<double>")
+    out = features.modelled(df, log_probs="v")
+    assert "power(" not in plan_of(out).lower()
+    assert [r.lm_token_prob_tail_ratio for r in out.collect()] == [0.25, None, None]
