@@ -131,16 +131,21 @@ def tokens(text: Column) -> Column:
     return found(F.lower(text), TOKEN)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    sizes = F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("any"))
-    return T.let(sizes, lambda x: F.when(x["any"] == 0, 1.0).otherwise(x["both"] / x["any"]))
+def with_jaccard(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds the share of the distinct items of both columns that both hold; 1 if there are none. Each count stands in a column of its own."""
+    df = df.withColumn("_both", F.size(F.array_intersect(a, b)))
+    df = df.withColumn("_any", F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - F.col("_both"))
+    return df.withColumn(name, F.when(F.col("_any") == 0, 1.0).otherwise(F.col("_both") / F.col("_any"))).drop("_both", "_any")
 
 
 def overlaps(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Adds the tokens of both texts (ta, tb) and their unigram and bigram overlaps."""
+    """Adds the tokens of both texts (ta, tb) and their unigram and bigram overlaps. Tokens and bigrams are compared by 64-bit names, since
+    sets of numbers take less than those of strings, and no bigram is written out."""
     df = df.withColumn("ta", tokens(F.col(a))).withColumn("tb", tokens(F.col(b)))
-    df = df.withColumn("unigram_overlap", jaccard(F.col("ta"), F.col("tb")))
-    return df.withColumn("bigram_overlap", jaccard(T.ngrams(F.col("ta"), 2), T.ngrams(F.col("tb"), 2)))
+    df = df.withColumn("_one_a", T.hashed(F.col("ta"))).withColumn("_one_b", T.hashed(F.col("tb")))
+    df = df.withColumn("_two_a", T.neighbours(F.col("_one_a"), F.col("_one_a"))).withColumn("_two_b", T.neighbours(F.col("_one_b"), F.col("_one_b")))
+    df = with_jaccard(with_jaccard(df, "_one_a", "_one_b", "unigram_overlap"), "_two_a", "_two_b", "bigram_overlap")
+    return df.drop("_one_a", "_one_b", "_two_a", "_two_b")
 
 
 @F.arrow_udf(StructType([StructField(n, DoubleType()) for n in ("chars", "joined", "tokens")]))

@@ -8,7 +8,7 @@ from itertools import pairwise
 
 import pytest
 
-from loomtext.functions import matching
+from loomtext.functions import matching, pairs
 from loomtext.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +55,13 @@ def test_long_texts_take_less_than_the_square():
     start = time.monotonic()
     assert 0 < matching.ratio(a, b) < 1
     assert time.monotonic() - start < 30
+
+
+def test_overlaps_write_no_bigrams(spark):
+    """Bigrams and tokens are compared by numbers."""
+    rows = [("a b a b c", "b a b 2.5%"), ("", ""), ("a", ""), ("x y", "x y"), ("only", "only")]
+    out = pairs.overlaps(spark.createDataFrame(rows, "a string, b string"), "a", "b")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat_ws" not in plan and "xxhash64" in plan
+    got = [(r.unigram_overlap, r.bigram_overlap) for r in out.collect()]
+    assert got == [(2 / 4, 2 / 4), (1.0, 1.0), (0.0, 1.0), (1.0, 1.0), (1.0, 1.0)]
