@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomtext.functions import matching
 from loomtext.functions import text as T
+from loomtext.operators.shared import in_small_batches
 
 # What numbers, placeholders, citations, headings and tokens look like.
 DRIFT_NUMBER = r"\b\d+\.?\d*\b"
@@ -159,7 +160,7 @@ def matched_shares(a: pa.Array, b: pa.Array, ta: pa.Array, tb: pa.Array) -> pa.A
 
 def quick_similarity(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adds quick_similarity: 1 for two texts without tokens, 0 if only one has some."""
-    df = overlaps(df, a, b)
+    df = in_small_batches(overlaps(df, a, b))
     df = df.withColumn("_m", matched_shares(a, b, F.array_join("ta", " "), F.array_join("tb", " ")))
     blend = 0.28 * F.col("_m.chars") + 0.27 * F.col("_m.joined") + 0.18 * F.col("_m.tokens") + 0.17 * F.col("unigram_overlap") + 0.10 * F.col("bigram_overlap")
     both, one = (F.size("ta") == 0) & (F.size("tb") == 0), (F.size("ta") == 0) | (F.size("tb") == 0)

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 from itertools import pairwise
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomtext.functions import matching, pairs
 from loomtext.plans import catalogue
@@ -65,3 +66,15 @@ def test_overlaps_write_no_bigrams(spark):
     assert "concat_ws" not in plan and "xxhash64" in plan
     got = [(r.unigram_overlap, r.bigram_overlap) for r in out.collect()]
     assert got == [(2 / 4, 2 / 4), (1.0, 1.0), (0.0, 1.0), (1.0, 1.0), (1.0, 1.0)]
+
+
+def test_python_gets_few_rows_at_once(spark):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    try:
+        spark.conf.set(rows, "10000")
+        sizes = spark.range(5_000, numPartitions=1).select(F.concat(F.lit("some text "), F.col("id")).alias("a"), F.lit("some text 7").alias("b"))
+        out = pairs.quick_similarity(sizes, "a", "b")
+        assert spark.conf.get(rows) == "1000" and out.filter("quick_similarity = 1").count() == 1
+    finally:
+        spark.conf.set(rows, before)
