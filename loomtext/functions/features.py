@@ -19,7 +19,8 @@ def with_words(docs: DataFrame, rules: bool = False) -> DataFrame:
     """Adds words, sents (the words of each sentence) and lens (their numbers). With `rules`, abbreviations and the like do not end sentences."""
     text = F.coalesce("text", F.lit(""))
     sentences = tags.rule_sentences(text) if rules else T.sentences(text)
-    docs = docs.withColumn("words", T.words(text)).withColumn("sents", F.transform(sentences, T.words))
+    # No word goes on beyond a sentence's end, so the words of the text are those of its sentences, and are looked for once.
+    docs = docs.withColumn("sents", F.transform(sentences, T.words)).withColumn("words", F.flatten("sents"))
     return docs.withColumn("lens", F.transform("sents", lambda s: F.size(s).cast("double")))
 
 

@@ -283,3 +283,13 @@ def test_tail_ratio_takes_no_moments(spark):
     out = features.modelled(df, log_probs="v")
     assert "power(" not in plan_of(out).lower()
     assert [r.lm_token_prob_tail_ratio for r in out.collect()] == [0.25, None, None]
+
+
+def test_words_are_looked_for_once(spark):
+    """The words of a text are those of its sentences: one pass of the pattern, with the same words as over the whole text."""
+    texts = ["One two. Three3 four!five 5six?", "a.b..c 3.5x y", "", None, "No end", "...", "É.à l'été, x2y. \n\nZ"]
+    df = features.with_words(spark.createDataFrame([(t,) for t in texts], "text string"))
+    plan = plan_of(df.select("words", "lens"))
+    assert plan.count("regexp_extract_all") == 1
+    whole = df.select("words", T.words(F.coalesce("text", F.lit(""))).alias("want")).collect()
+    assert all(r.words == r.want for r in whole) and whole[0].words == ["one", "two", "four", "five"]
