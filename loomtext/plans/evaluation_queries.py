@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import constants as C
@@ -15,19 +15,25 @@ POINTS = [(0.0, 0.05), (0.3, 0.2), (0.6, 0.55), (0.9, 0.95)]
 THRESHOLDS = (0.3, 0.5, 0.65, 0.8)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """As the SQL rounds: the scaled double, halves away from zero. Spark's round takes the shortest decimal of the double, and differs at ties."""
+    scale = 10.0**digits
+    return F.round(value * scale) / scale
+
+
 def labelled(spark, sf_dir) -> DataFrame:
     """Documents with labels: y is 1 for low quality, the score is the normalized lexical diversity with two digits, so that scores tie."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("y"), "toxic")
     rows = X.lexical(X.with_words(docs.join(labels, "doc_id")))
-    score = F.round(F.coalesce(X.normalized("style_ttr", F.col("style_ttr")), F.lit(0.5)), 2)
+    score = rounded(F.coalesce(X.normalized("style_ttr", F.col("style_ttr")), F.lit(0.5)), 2)
     return rows.select("doc_id", "lang", "source", "toxic", "y", score.alias("score"))
 
 
 def slice_metrics(spark, sf_dir):
     out = O.slice_metrics(labelled(spark, sf_dir), ["lang", "toxic"])
     names = ("auroc", "auprc", "tpr_at_fpr5", "human_fpr", "mean_score_human", "mean_score_ai", "calibration_error")
-    return out.select("dimension", "value", "n_samples", *[F.round(n, 6).alias(n) for n in names])
+    return out.select("dimension", "value", "n_samples", *[rounded(F.col(n), 6).alias(n) for n in names])
 
 
 def auroc_by_lang(spark, sf_dir):

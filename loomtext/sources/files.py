@@ -121,10 +121,15 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+@F.udf
+def four_digits(x):
+    """Rounded from what the double is exactly, ties to even. Java, and so format_string, rounds its shortest decimal, and ties up."""
+    return None if x is None else f"{x:.4f}"
+
+
 def metrics_rows(metrics: DataFrame) -> DataFrame:
     """Metrics with four digits, empty where undefined."""
-    four = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c).cast("double"))).alias(c)
-    return metrics.select(*[four(c) if t in ("double", "float") else F.col(c) for c, t in metrics.dtypes])
+    return metrics.select(*[four_digits(F.col(c).cast("double")).alias(c) if t in ("double", "float") else F.col(c) for c, t in metrics.dtypes])
 
 
 # The columns of a metrics file, in order.

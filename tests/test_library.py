@@ -1,5 +1,6 @@
 """The library's own operators on fixtures, and all queries against their SQL on the smallest tables."""
 
+import itertools
 import math
 import os
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import pairs, policy, scoring
 from loomtext.functions import text as T
 from loomtext.operators import cascade, chunks, markup, protect, slices
-from loomtext.plans import catalogue
+from loomtext.plans import catalogue, evaluation_queries
 from loomtext.sources import files
 from loomtext.streaming import scoring as stream
 
@@ -206,3 +207,30 @@ def test_reports(spark):
     assert '"n_chunks":2' in files.json_report(rows).first().report
     m = slices.slice_metrics(spark.createDataFrame([(0, 0.2, "x"), (1, 0.8, "y")], "y int, score double, d string"), ["d"])
     assert files.summary_markdown(m).startswith("## overall")
+
+
+def test_metrics_have_the_digits_of_the_double(spark, duck):
+    values = [0.12345, 0.00005, 0.00015, 0.03125, 0.09375, 0.2, 1.0, 0.0, -0.12345, 12.34565, 1 / 3, None]
+    got = [r.x for r in files.metrics_rows(spark.createDataFrame([(v,) for v in values], "x double").coalesce(1)).collect()]
+    assert got == [None if v is None else f"{v:.4f}" for v in values] == [duck.execute("select printf('%.4f', ?::double)", [v]).fetchone()[0] for v in values]
+
+
+@pytest.mark.parametrize(("value", "digits"), [(0.575, 2), (0.46499999999999997, 2), (math.nextafter(0.1234565, 0), 6), (math.nextafter(0.2345675, 0), 6), (0.0078125, 6), (-0.575, 2), (None, 6)])
+def test_rounding_is_that_of_the_sql(spark, duck, value, digits):
+    assert one(spark, evaluation_queries.rounded(F.lit(value).cast("double"), digits)) == duck.execute(f"select round(?::double, {digits})", [value]).fetchone()[0]
+
+
+def test_metrics_report_at_ties(spark, tmp_path):
+    import duckdb
+
+    words = ["".join(p) for p in itertools.product("abcdefgh", repeat=3)]
+    docs = [(i, "en", "s", " ".join(words[:60]) if i else "word " * 60) for i in range(32)]  # one of 32 is flagged: 0.03125
+    docs += [(32, "de", "s", " ".join(words[:199] + words[:1] * 201))]  # its score is 0.575, whose double lies just below
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d[0], 1, d[0] % 2) for d in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    c = duckdb.connect()
+    for name in ("documents", "labels"):
+        c.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = normal(catalogue.queries()["metrics_report"](spark, str(tmp_path)).collect())
+    assert got == normal(c.sql(catalogue.oracle_sql()["metrics_report"]).fetchall())
+    assert ("lang", "en", "32", "0.0312", "0.0312") in got and ("lang", "de", "1", "1.0000", "0.5700") in got
